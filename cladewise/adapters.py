@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladewise.plans.sizing import spread_if_small
 from cladewise.schema import GAP
 
 N_SPECIES = 100
@@ -115,7 +116,8 @@ def permuted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as ragged sequences, sources as genes."""
-    return table(spark, sf_dir, "documents").select(
+    documents = spread_if_small(table(spark, sf_dir, "documents"), row_bytes=4096)
+    return documents.select(
         F.col("source").alias("gene"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("species"),
         F.col("text").alias("seq"),
@@ -168,7 +170,7 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Newick tree per customer: orders as inner nodes, lines as tips."""
 
     def bracket(names: str) -> Column:
-        return F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(names)), ","), F.lit(")"))
+        return F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list(names)), ","), F.lit(")"))
 
     tips = order_lines(spark, sf_dir).withColumn(
         "text", F.concat("tip", F.lit(":"), F.col("line_length").cast("string"))

@@ -29,7 +29,7 @@ DIGITS = 9
 
 
 def _joined(names: Column) -> Column:
-    return F.array_join(F.array_sort(names), ",")
+    return F.array_join(F.sort_array(names), ",")
 
 
 def _rounded(df: DataFrame, column: str) -> DataFrame:

@@ -42,24 +42,34 @@ def column_pvalue(counts: Column, n_fg: Column, n_bg: Column) -> Column:
     n_fg, n_bg = n_fg.cast("bigint"), n_bg.cast("bigint")
     total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, n: s + n)
     rest = total - n_fg
-
-    fg_one = F.transform(counts, lambda n: all_drawn(total, n_fg, n))
-    bg_one = F.transform(counts, lambda n: all_drawn(rest, n_bg, n))
-    fg_others = F.transform(counts, lambda n: all_drawn(total, n_fg, total - n))
-    bg_others = F.transform(counts, lambda n: all_drawn(rest, n_bg, total - n))
-
-    def dot(a: Column, b: Column) -> Column:
-        return _sum(F.zip_with(a, b, lambda x, y: x * y))
-
-    fg_converges = dot(fg_one, bg_others)
-    bg_converges = dot(fg_others, bg_one)
-    one_against_one = _sum(fg_one) * _sum(bg_one) - dot(fg_one, bg_one)
-    return (
-        F.when(n_fg == n_bg, fg_converges)
-        .when(F.size(counts) == 2, fg_converges + bg_converges)
-        .otherwise(fg_converges + bg_converges - one_against_one)
+    factors = F.transform(
+        counts,
+        lambda n: F.struct(
+            all_drawn(total, n_fg, n).alias("fg_one"),
+            all_drawn(rest, n_bg, n).alias("bg_one"),
+            all_drawn(total, n_fg, total - n).alias("fg_others"),
+            all_drawn(rest, n_bg, total - n).alias("bg_others"),
+        ),
     )
 
+    def add(s: Column, x: Column) -> Column:
+        return F.struct(
+            (s["fg_converges"] + x["fg_one"] * x["bg_others"]).alias("fg_converges"),
+            (s["bg_converges"] + x["fg_others"] * x["bg_one"]).alias("bg_converges"),
+            (s["fg_one"] + x["fg_one"]).alias("fg_one"),
+            (s["bg_one"] + x["bg_one"]).alias("bg_one"),
+            (s["same"] + x["fg_one"] * x["bg_one"]).alias("same"),
+        )
+
+    def finish(s: Column) -> Column:
+        one_against_one = s["fg_one"] * s["bg_one"] - s["same"]
+        both = s["fg_converges"] + s["bg_converges"]
+        return (
+            F.when(n_fg == n_bg, s["fg_converges"])
+            .when(F.size(counts) == 2, both)
+            .otherwise(both - one_against_one)
+        )
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    names = ("fg_converges", "bg_converges", "fg_one", "bg_one", "same")
+    zeros = F.struct(*[F.lit(0.0).alias(name) for name in names])
+    return F.aggregate(factors, zeros, add, finish)

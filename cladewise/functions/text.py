@@ -30,12 +30,12 @@ def pair_key(a: Column, b: Column) -> Column:
 def substitution(fg: Column, bg: Column) -> Column:
     """Sorted foreground symbols, a slash, sorted background symbols."""
     return F.concat(
-        F.array_join(F.array_sort(fg), ""), F.lit("/"), F.array_join(F.array_sort(bg), "")
+        F.array_join(F.sort_array(fg), ""), F.lit("/"), F.array_join(F.sort_array(bg), "")
     )
 
 
 def comma_list(names: Column) -> Column:
-    return F.array_join(F.array_sort(names), ",")
+    return F.array_join(F.sort_array(names), ",")
 
 
 def comma_list_or_dash(names: Column) -> Column:

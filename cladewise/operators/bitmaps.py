@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.functions.verdict import DEFAULT_PATTERNS, parse_patterns
+from cladewise.functions.verdict import ALL_PATTERNS, DEFAULT_PATTERNS, parse_patterns
 from cladewise.operators.columns import cells, finish_profile, profile_aggregates
 from cladewise.plans.sizing import Groups, pin_groups
 from cladewise.schema import GAP
@@ -63,23 +63,16 @@ def number_traits(groups: DataFrame | Groups) -> TraitBits:
 
 def membership_bitmaps(bits: TraitBits) -> DataFrame:
     """One row per (species, set) with a foreground and a background word per block."""
-
-    def word(block: int, grp: int) -> Column:
-        here = (F.col("block") == block) & (F.col("grp") == grp)
-        value = F.when(here, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("bigint"))
-        return F.bit_or(value)
-
-    words = [word(k, 1).alias(f"f{k}") for k in range(bits.n_blocks)]
-    words += [word(k, 0).alias(f"b{k}") for k in range(bits.n_blocks)]
+    words = [
+        F.expr(f"bit_or(if(block = {k} AND grp = {grp}, shiftleft(1L, bit), 0L)) AS {side}{k}")
+        for side, grp in (("f", 1), ("b", 0))
+        for k in range(bits.n_blocks)
+    ]
     members = bits.groups.rows.join(bits.places, "trait").drop("trait")
     if not bits.single_set:
         # Histogram counts ride on set 0, so each member species needs a row there.
-        home = members.select(
-            "species",
-            F.lit(0).cast("bigint").alias("set_id"),
-            F.lit(0).alias("block"),
-            F.lit(0).alias("bit"),
-            F.lit(-1).alias("grp"),
+        home = members.selectExpr(
+            "species", "-1 AS grp", "0L AS set_id", "0 AS block", "0 AS bit"
         ).distinct()
         members = members.unionByName(home)
     return members.groupBy("species", "set_id").agg(*words)
@@ -102,100 +95,73 @@ def test_columns(
     key = ["gene", "pos"] if bits.single_set else ["gene", "pos", "set_id"]
 
     bitmaps = bits.groups.near(membership_bitmaps(bits))
-    tagged = records.join(bitmaps, "species", "left")
-    zero = F.lit(0).cast("bigint")
-    tagged = tagged.select(
+    tagged = records.join(bitmaps, "species", "left").selectExpr(
         "gene",
         "seq",
-        F.coalesce("set_id", zero).alias("set_id"),
-        *[F.coalesce(w, zero).alias(w) for w in words],
+        *([] if bits.single_set else ["coalesce(set_id, 0L) AS set_id"]),
+        *[f"coalesce({w}, 0L) AS {w}" for w in words],
     )
-    if bits.single_set:
-        tagged = tagged.drop("set_id")
-
-    counted = F.count("*") if bits.single_set else F.count_if(F.col("set_id") == 0)
+    counted = "count(*)" if bits.single_set else "count_if(set_id = 0)"
     per_symbol = (
         cells(tagged)
         .groupBy(*key, "symbol")
-        .agg(counted.alias("n"), *[F.bit_or(w).alias(w) for w in words])
+        .agg(F.expr(f"{counted} AS n"), *[F.expr(f"bit_or({w}) AS {w}") for w in words])
     )
 
     # A bit seen in an earlier symbol and again in this one has two symbols.
     # Everything from here on is clustered by column, so it shuffles once.
-    solid = F.col("symbol") != GAP
-    earlier = (
-        Window.partitionBy(*key)
-        .orderBy("symbol")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     if not bits.single_set:
         per_symbol = per_symbol.repartition("gene", "pos")
-    solid_words = per_symbol.withColumns(
-        {w: F.when(solid, F.col(w)).otherwise(zero) for w in words}
-    )
-    seen = solid_words.withColumns(
-        {f"m{w}": F.col(w).bitwiseAND(F.coalesce(F.bit_or(w).over(earlier), zero)) for w in words}
+    earlier = (
+        f"OVER (PARTITION BY {', '.join(key)} ORDER BY symbol "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
+    seen = per_symbol.selectExpr(
+        *key, "symbol", "n", *[f"if(symbol = '{GAP}', 0L, {w}) AS {w}" for w in words]
+    ).selectExpr("*", *[f"{w} & coalesce(bit_or({w}) {earlier}, 0L) AS m{w}" for w in words])
 
     aggregates = profile_aggregates()
     aggregates.append(
-        F.array_sort(F.collect_list(F.when(solid & (F.col("n") > 0), F.col("n")))).alias("counts")
+        F.expr(f"collect_list(if(symbol <> '{GAP}' AND n > 0, n, NULL)) AS counts")
     )
     for k in blocks:
-        f, b = F.col(f"f{k}"), F.col(f"b{k}")
         aggregates += [
-            F.bit_or(f).alias(f"f{k}"),
-            F.bit_or(b).alias(f"b{k}"),
-            F.bit_or(f.bitwiseAND(b)).alias(f"x{k}"),
-            F.bit_or(F.col(f"mf{k}")).alias(f"mf{k}"),
-            F.bit_or(F.col(f"mb{k}")).alias(f"mb{k}"),
+            F.expr(f"bit_or(f{k}) AS f{k}"),
+            F.expr(f"bit_or(b{k}) AS b{k}"),
+            F.expr(f"bit_or(f{k} & b{k}) AS x{k}"),
+            F.expr(f"bit_or(mf{k}) AS mf{k}"),
+            F.expr(f"bit_or(mb{k}) AS mb{k}"),
         ]
-    columns = seen.groupBy(*key).agg(*aggregates)
-
-    set_id = zero if bits.single_set else F.col("set_id")
-    found = [
-        F.struct(
-            set_id.alias("set_id"),
-            F.lit(k).alias("block"),
-            _hit_word(k, wanted).alias("hits"),
-            F.col(f"mf{k}").alias("fg_many"),
-            F.col(f"mb{k}").alias("bg_many"),
-        )
+    profile = ["listed", "nongap", "n_symbols", "top", "counts"]
+    set_id = "0L" if bits.single_set else "set_id"
+    found = ", ".join(
+        f"named_struct('set_id', {set_id}, 'block', {k}, 'hits', {_hit_word(k, wanted)}, "
+        f"'fg_many', mf{k}, 'bg_many', mb{k})"
         for k in blocks
-    ]
-    columns = columns.select(
-        *key,
-        "listed",
-        "nongap",
-        "n_symbols",
-        "top",
-        "counts",
-        F.filter(F.array(*found), lambda s: s["hits"] != 0).alias("blocks"),
+    )
+    columns = (
+        seen.groupBy(*key)
+        .agg(*aggregates)
+        .selectExpr(*key, *profile, f"filter(array({found}), s -> s.hits <> 0L) AS blocks")
     )
     if not bits.single_set:
-        home = F.col("set_id") == 0
-        profile = ["listed", "nongap", "n_symbols", "top", "counts"]
         columns = columns.groupBy("gene", "pos").agg(
-            *[F.max(F.when(home, F.col(c))).alias(c) for c in profile],
+            *[F.expr(f"max(if(set_id = 0, {c}, NULL)) AS {c}") for c in profile],
             F.flatten(F.collect_list("blocks")).alias("blocks"),
         )
     return finish_profile(columns, records, ragged)
 
 
-def _hit_word(block: int, patterns: tuple[int, ...]) -> Column:
+def _hit_word(block: int, patterns: tuple[int, ...]) -> str:
     """Bits of a block whose groups share nothing and show one of the patterns."""
-    f, b, shared, fg_many, bg_many = (
-        F.col(f"{name}{block}") for name in ("f", "b", "x", "mf", "mb")
-    )
-    hits = f.bitwiseAND(b).bitwiseAND(F.bitwise_not(shared))
-    if set(patterns) == {1, 2, 3, 4}:
-        return hits
-    admitted = F.lit(0).cast("bigint")
-    for p in patterns:
-        fg_side = fg_many if p in (3, 4) else F.bitwise_not(fg_many)
-        bg_side = bg_many if p in (2, 4) else F.bitwise_not(bg_many)
-        admitted = admitted.bitwiseOR(fg_side.bitwiseAND(bg_side))
-    return hits.bitwiseAND(admitted)
+    hits = f"f{block} & b{block} & ~x{block}"
+    if set(patterns) == set(ALL_PATTERNS):
+        return f"({hits})"
+    sides = [
+        f"({'' if p in (3, 4) else '~'}mf{block} & {'' if p in (2, 4) else '~'}mb{block})"
+        for p in patterns
+    ]
+    return f"({hits} & ({' | '.join(sides)}))"
 
 
 def hit_count(blocks: Column) -> Column:
@@ -203,22 +169,42 @@ def hit_count(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(0), lambda n, s: n + F.bit_count(s["hits"]))
 
 
-def explode_hits(columns: DataFrame, bits: TraitBits, *carried: str, keep_empty: bool = False) -> DataFrame:
-    """One row per hit (gene, pos, trait) with its pattern."""
-    explode = F.explode_outer if keep_empty else F.explode
-    per_block = columns.select("gene", "pos", *carried, explode("blocks").alias("s")).select(
-        "gene", "pos", *carried, "s.*"
+def hit_names(columns: DataFrame, bits: TraitBits, *carried: str) -> DataFrame:
+    """Columns with ``traits``, the sorted names of the traits hit; empty where none is.
+
+    Names are picked block by block, so a column makes one row per block
+    with hits and not one per hit.
+    """
+    in_block = bits.places.groupBy("set_id", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("bit", "trait"))).alias("by_bit")
     )
-    set_bits = F.expr("filter(sequence(0, 63), i -> (shiftright(hits, i) & 1L) = 1L)")
-    per_bit = per_block.withColumn("bit", explode(set_bits))
-    many_fg = F.expr("cast(shiftright(fg_many, bit) & 1L as int)")
-    many_bg = F.expr("cast(shiftright(bg_many, bit) & 1L as int)")
-    return per_bit.join(
-        bits.places, ["set_id", "block", "bit"], "left" if keep_empty else "inner"
-    ).select(
-        "gene",
-        "pos",
-        *carried,
-        "trait",
-        (1 + many_bg + 2 * many_fg).alias("pattern"),
+    per_block = columns.select(
+        "gene", "pos", *carried, F.explode_outer("blocks").alias("s")
+    ).select("gene", "pos", *carried, "s.set_id", "s.block", "s.hits")
+    names = F.expr(f"transform({_SET_BITS}, i -> by_bit[i])")
+    return (
+        per_block.join(bits.groups.near(in_block), ["set_id", "block"], "left")
+        .withColumn("names", names)
+        .groupBy("gene", "pos", *carried)
+        .agg(F.sort_array(F.flatten(F.collect_list("names"))).alias("traits"))
+    )
+
+
+_SET_BITS = "filter(sequence(0, 63), i -> (shiftright(hits, i) & 1L) = 1L)"
+
+
+def explode_hits(columns: DataFrame, bits: TraitBits, *carried: str) -> DataFrame:
+    """One row per hit (gene, pos, trait) with its pattern."""
+    return (
+        columns.select("gene", "pos", *carried, F.explode("blocks").alias("s"))
+        .select("gene", "pos", *carried, "s.*")
+        .withColumn("bit", F.explode(F.expr(_SET_BITS)))
+        .join(bits.places, ["set_id", "block", "bit"])
+        .selectExpr(
+            "gene",
+            "pos",
+            *carried,
+            "trait",
+            "1 + int(shiftright(bg_many, bit) & 1L) + 2 * int(shiftright(fg_many, bit) & 1L) AS pattern",
+        )
     )

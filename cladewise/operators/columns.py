@@ -137,7 +137,7 @@ def column_pvalues(records: DataFrame, n_fg: int, n_bg: int) -> DataFrame:
     return (
         symbol_histogram(records)
         .groupBy("gene", "pos")
-        .agg(F.array_sort(F.collect_list("n")).alias("counts"))
+        .agg(F.sort_array(F.collect_list("n")).alias("counts"))
         .select(
             "gene",
             "pos",
@@ -151,7 +151,7 @@ def symbol_species(records: DataFrame) -> DataFrame:
     return (
         cells(records)
         .groupBy("gene", "pos", "symbol")
-        .agg(F.array_sort(F.collect_set("species")).alias("species"))
+        .agg(F.sort_array(F.collect_set("species")).alias("species"))
     )
 
 

@@ -52,7 +52,7 @@ def member_counts(
     if with_lists:
         present = F.concat("fg_found", "bg_found", "gapped")
         missing = F.array_except(F.concat("fg_all", "bg_all"), present)
-        joined = joined.withColumn("missing", F.array_sort(missing))
+        joined = joined.withColumn("missing", F.sort_array(missing))
     return (
         joined.withColumn("mfg", F.size("fg_all") - F.col("ffgn") - F.col("gfg"))
         .withColumn("mbg", F.size("bg_all") - F.col("fbgn") - F.col("gbg"))

@@ -47,8 +47,8 @@ def group_evidence(records: DataFrame, groups: DataFrame | Groups) -> DataFrame:
     return (
         per_symbol.groupBy("gene", "pos", "trait")
         .agg(
-            F.array_sort(F.collect_list(F.when(in_fg, F.col("symbol")))).alias("fg_symbols"),
-            F.array_sort(F.collect_list(F.when(in_bg, F.col("symbol")))).alias("bg_symbols"),
+            F.sort_array(F.collect_list(F.when(in_fg, F.col("symbol")))).alias("fg_symbols"),
+            F.sort_array(F.collect_list(F.when(in_bg, F.col("symbol")))).alias("bg_symbols"),
             F.count_if(in_fg & in_bg).alias("n_shared"),
             F.sum(F.when(solid, F.col("n1")).otherwise(0)).alias("ffgn"),
             F.sum(F.when(solid, F.col("n0")).otherwise(0)).alias("fbgn"),
@@ -84,7 +84,7 @@ def missing_members(records: DataFrame, groups: DataFrame | Groups) -> DataFrame
         "trait",
         F.size(fg).alias("mfg"),
         F.size(bg).alias("mbg"),
-        F.array_sort(F.concat(fg, bg)).alias("missing"),
+        F.sort_array(F.concat(fg, bg)).alias("missing"),
     )
 
 

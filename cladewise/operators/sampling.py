@@ -59,7 +59,7 @@ def draw_indexes(size: Column, wanted: Column, *key: Column, seed: int) -> Colum
             ).otherwise(hash60(_seeded(seed, *key, j)) % (j + 1)),
         ),
     )
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             picked,
             lambda i: F.struct(F.md5(_seeded(seed, *key, F.lit("order"), i)).alias("h"), i.alias("i")),
@@ -202,7 +202,7 @@ def cycle_lists(groups: DataFrame) -> DataFrame:
     """One row per cycle with sorted foreground and background names."""
 
     def names(grp: int) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("grp") == grp, F.col("species"))))
+        return F.sort_array(F.collect_list(F.when(F.col("grp") == grp, F.col("species"))))
 
     return groups.groupBy(F.col("trait").alias("cycle")).agg(
         names(1).alias("fg"), names(0).alias("bg")

@@ -129,6 +129,9 @@ def root_distances(trees: DataFrame) -> DataFrame:
     return (
         tokens.withColumn("here", F.sum(step).over(order))
         .withColumn("root_distance", F.when(F.col("kind") == "tip", F.col("here") + length))
+        # An opening bracket lies deeper than the token before it, so it is never the
+        # lowest point between two tips.
+        .where(F.col("kind") != "open")
         .select("tree", "at", "kind", "label", "depth", "here", "root_distance")
     )
 
@@ -168,16 +171,15 @@ def with_farthest_tip(trees: DataFrame) -> DataFrame:
 
     The farthest tip is the alphabetically first tip of the farthest pair;
     among equally far pairs the greatest (first, second) labels win. Lengths
-    must not be negative. Two sweeps find the diameter, the third tells which
-    tips reach it, the last fixes the pair: its second label is the greatest
+    must not be negative. The tip farthest from the root ends a longest path,
+    one sweep from there finds the diameter, one from its far end tells which
+    tips reach it, a third fixes the pair: its second label is the greatest
     reaching label, its first the greatest label at full distance from that.
     """
     tree = Window.partitionBy("tree")
     tip = F.col("kind") == "tip"
     tokens = root_distances(trees)
-    tokens = tokens.withColumn("s0", F.min(F.when(tip, F.col("at"))).over(tree))
-    tokens = _sweep(tokens, "s0", "d0")
-    tokens = tokens.withColumn("s1", _farthest("s1", "d0"))
+    tokens = tokens.withColumn("s1", _farthest("s1", "root_distance"))
     tokens = _sweep(tokens, "s1", "d1")
     tokens = tokens.withColumn("s2", _farthest("s2", "d1"))
     tokens = _sweep(tokens, "s2", "d2")
@@ -219,20 +221,16 @@ def pair_distances(trees: DataFrame, pairs: DataFrame, max_tokens: int | None =
     pair reads the two runs that cover the stretch between its tips. The full
     pair matrix of a tree is never formed.
     """
-    tokens = root_distances(trees)
     if max_tokens is None:
-        max_tokens = tokens.agg(F.max("at")).first()[0] or 0
+        max_tokens = trees.agg(F.max(F.length("newick"))).first()[0] or 1
     steps = max(1, int(max_tokens).bit_length())
-    order = Window.partitionBy("tree").orderBy("nth")
-    tokens = tokens.withColumn(
-        "nth", F.row_number().over(Window.partitionBy("tree").orderBy("at"))
-    ).withColumn("r0", F.struct("depth", "here"))
+    order = Window.partitionBy("tree").orderBy("at")
+    tokens = root_distances(trees).withColumn("nth", F.row_number().over(order))
+    tokens = tokens.withColumn("r0", F.struct("depth", "here"))
     for k in range(1, steps + 1):
         half = F.lead(f"r{k - 1}", 2 ** (k - 1)).over(order)
         tokens = tokens.withColumn(f"r{k}", F.least(F.col(f"r{k - 1}"), half))
-    runs = tokens.select(
-        "tree", "nth", F.posexplode(F.array(*[f"r{k}" for k in range(steps + 1)])).alias("k", "low")
-    )
+    runs = tokens.select("tree", "nth", F.array(*[f"r{k}" for k in range(steps + 1)]).alias("runs"))
     tips = tokens.where(F.col("kind") == "tip").select("tree", "label", "nth", "root_distance")
 
     def end(side: str) -> DataFrame:
@@ -248,9 +246,15 @@ def pair_distances(trees: DataFrame, pairs: DataFrame, max_tokens: int | None =
     k = F.floor(F.log2((hi - lo + 1).cast("double"))).cast("int")
     placed = placed.withColumn("k", k).withColumn("lo", lo)
     placed = placed.withColumn("hi", (hi - F.pow(F.lit(2), F.col("k")) + 1).cast("int"))
-    left = runs.select("tree", "k", F.col("nth").alias("lo"), F.col("low").alias("left"))
-    right = runs.select("tree", "k", F.col("nth").alias("hi"), F.col("low").alias("right"))
-    covered = placed.join(left, ["tree", "k", "lo"]).join(right, ["tree", "k", "hi"])
+    left = runs.select("tree", F.col("nth").alias("lo"), F.col("runs").alias("from_lo"))
+    right = runs.select("tree", F.col("nth").alias("hi"), F.col("runs").alias("from_hi"))
+    covered = (
+        placed.join(left, ["tree", "lo"])
+        .withColumn("left", F.get("from_lo", F.col("k")))
+        .drop("from_lo")
+        .join(right, ["tree", "hi"])
+        .withColumn("right", F.get("from_hi", F.col("k")))
+    )
     meet = F.least("left", "right")["here"]
     distance = F.round(F.col("d_a") + F.col("d_b") - 2 * meet, _DIGITS)
     return covered.select(

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from cladewise.functions.bounds import Bounds
 from cladewise.functions.text import comma_list, position_key
 from cladewise.functions.verdict import DEFAULT_PATTERNS
-from cladewise.operators.bitmaps import explode_hits, hit_count, number_traits, test_columns
+from cladewise.operators.bitmaps import (
+    explode_hits,
+    hit_count,
+    hit_names,
+    number_traits,
+    test_columns,
+)
 from cladewise.operators.columns import DEFAULT_MAX_GAP_RATIO, kept_column
 from cladewise.operators.details import member_counts
 from cladewise.operators.evidence import group_sizes
@@ -51,25 +57,25 @@ def bootstrap(
         kept_column(threshold, max_gap_ratio)
     )
     key = ["gene", "pos"]
-    if bounds.unlimited and not with_cycle_list:
-        counted = columns.select(
-            *key, hit_count(F.col("blocks")).alias("count"), F.lit("").alias("cycle_list")
-        )
-    else:
-        if bounds.unlimited:
-            hits = explode_hits(columns, bits, keep_empty=True)
+    if bounds.unlimited:
+        if with_cycle_list:
+            named = hit_names(columns, bits)
         else:
-            found = member_counts(explode_hits(columns, bits), records, cycles)
-            accepted = found.where(
-                bounds.accepts(F.col("gfg"), F.col("gbg"), F.col("mfg"), F.col("mbg"))
-            )
-            hits = columns.select(*key).join(accepted.select(*key, "trait"), key, "left")
-        counted = hits.groupBy(*key).agg(
-            F.count("trait").cast("int").alias("count"),
-            comma_list(F.collect_list("trait")).alias("cycle_list"),
+            named = columns.withColumn("traits", F.array().cast("array<string>"))
+        count = F.size("traits") if with_cycle_list else hit_count(F.col("blocks"))
+        counted = named.select(*key, count.alias("count"), F.array_join("traits", ",").alias("cycle_list"))
+    else:
+        found = member_counts(explode_hits(columns, bits), records, cycles)
+        accepted = found.where(
+            bounds.accepts(F.col("gfg"), F.col("gbg"), F.col("mfg"), F.col("mbg"))
+        )
+        names = F.collect_list("trait") if with_cycle_list else F.array().cast("array<string>")
+        counted = (
+            columns.select(*key)
+            .join(accepted.select(*key, "trait"), key, "left")
+            .groupBy(*key)
+            .agg(F.count("trait").cast("int").alias("count"), comma_list(names).alias("cycle_list"))
         )
-        if not with_cycle_list:
-            counted = counted.withColumn("cycle_list", F.lit(""))
     return counted.select(
         position_key(F.col("gene"), F.col("pos")).alias("position"),
         "count",

@@ -32,6 +32,18 @@ def broadcast_if_small(
     return F.broadcast(df) if fits(df, row_bytes, budget) else df
 
 
+def spread_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Deal a small input out to all cores before its rows are expanded.
+
+    Applies only below one file split per core, where few row groups would
+    leave cores idle; larger inputs keep the partitioning of their files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if fits(df, row_bytes, cores * BROADCAST_BYTES):
+        return df.repartition(cores)
+    return df
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write a frame that several branches read to the checkpoint folder once."""
     ensure_checkpoint_dir(df.sparkSession)

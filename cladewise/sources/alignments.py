@@ -60,7 +60,7 @@ def _phylip_relaxed(spark: SparkSession, path: str) -> DataFrame:
 def _blocks(rows: DataFrame) -> DataFrame:
     """Join the segments of each record in file order."""
     segments = rows.groupBy("gene", "species").agg(
-        F.array_sort(F.collect_list(F.struct("place", "segment"))).alias("parts")
+        F.sort_array(F.collect_list(F.struct("place", "segment"))).alias("parts")
     )
     return segments.select(
         "gene",
