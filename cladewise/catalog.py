@@ -193,12 +193,7 @@ def bootstrap_bounded(spark: SparkSession, sf: str) -> DataFrame:
 
 def newick_edges(spark: SparkSession, sf: str) -> DataFrame:
     edges = T.tree_edges(A.order_trees(spark, sf))
-    parents = edges.select(
-        "tree", F.col("node").alias("parent"), F.col("label").alias("parent_label")
-    )
-    return edges.join(parents, ["tree", "parent"], "left").select(
-        "tree", "label", "parent_label", "length", "is_tip"
-    )
+    return edges.select("tree", "label", "parent_label", "length", "is_tip")
 
 
 def tree_tips(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,8 +83,9 @@ def test_columns(
     bits: TraitBits,
     patterns: str | Iterable[int] = DEFAULT_PATTERNS,
     ragged: bool = False,
+    with_counts: bool = True,
 ) -> DataFrame:
-    """One row per column: profile, symbol counts, and the hit blocks.
+    """One row per column: profile, symbol counts if asked for, and the hit blocks.
 
     ``blocks`` lists, for blocks with any hit, the hit bits and where the
     foreground or background shows more than one symbol.
@@ -121,9 +122,12 @@ def test_columns(
     ).selectExpr("*", *[f"{w} & coalesce(bit_or({w}) {earlier}, 0L) AS m{w}" for w in words])
 
     aggregates = profile_aggregates()
-    aggregates.append(
-        F.expr(f"collect_list(if(symbol <> '{GAP}' AND n > 0, n, NULL)) AS counts")
-    )
+    profile = ["listed", "nongap", "n_symbols", "top"]
+    if with_counts:
+        profile.append("counts")
+        aggregates.append(
+            F.expr(f"collect_list(if(symbol <> '{GAP}' AND n > 0, n, NULL)) AS counts")
+        )
     for k in blocks:
         aggregates += [
             F.expr(f"bit_or(f{k}) AS f{k}"),
@@ -132,7 +136,6 @@ def test_columns(
             F.expr(f"bit_or(mf{k}) AS mf{k}"),
             F.expr(f"bit_or(mb{k}) AS mb{k}"),
         ]
-    profile = ["listed", "nongap", "n_symbols", "top", "counts"]
     set_id = "0L" if bits.single_set else "set_id"
     found = ", ".join(
         f"named_struct('set_id', {set_id}, 'block', {k}, 'hits', {_hit_word(k, wanted)}, "

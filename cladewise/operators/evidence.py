@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions.verdict import is_hit, pattern_class
-from cladewise.operators.columns import cells, gene_species
+from cladewise.operators.columns import cells
 from cladewise.plans.sizing import Groups, pin_groups
 from cladewise.schema import GAP
 
@@ -71,7 +71,7 @@ def missing_members(records: DataFrame, groups: DataFrame | Groups) -> DataFrame
     """Members absent from a whole gene, for each (gene, trait) with at least one present."""
     groups = pin_groups(groups)
     present = (
-        gene_species(records)
+        records.select("gene", "species")
         .join(groups.near(groups.rows), "species")
         .groupBy("gene", "trait")
         .agg(F.collect_list("species").alias("present"))

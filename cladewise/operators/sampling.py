@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions.text import comma_list, hash60, names_in
-from cladewise.plans.sizing import broadcast_if_small
+from cladewise.plans.sizing import broadcast_if_small, pin
 
 
 def number_members(pool: DataFrame) -> DataFrame:
@@ -69,28 +69,20 @@ def draw_indexes(size: Column, wanted: Column, *key: Column, seed: int) -> Colum
 
 
 def sample_strata(
-    pool: DataFrame, quotas: DataFrame, n_cycles: int, seed: int
+    numbered: DataFrame, quotas: DataFrame, n_cycles: int, seed: int
 ) -> DataFrame:
     """Per cycle and stratum, ``n_fg`` then ``n_bg`` different species of the stratum.
 
-    ``pool`` is ``(stratum, species)``, ``quotas`` is ``(stratum, n_fg,
-    n_bg)``. A stratum too small for its quota fails the job.
+    ``numbered`` comes from ``number_members``, ``quotas`` is ``(stratum,
+    size, n_fg, n_bg)``. A stratum too small for its quota fails the job.
     """
-    numbered = number_members(pool)
-    sizes = numbered.select("stratum", "size").distinct()
     wanted = F.col("n_fg") + F.col("n_bg")
     too_small = F.concat(
         F.lit("too few species to resample in stratum '"), F.col("stratum"), F.lit("'")
     )
-    checked = (
-        quotas.where(wanted > 0)
-        .join(sizes, "stratum", "left")
-        .withColumn(
-            "size",
-            F.when(F.coalesce("size", F.lit(0)) < wanted, F.raise_error(too_small)).otherwise(
-                F.col("size")
-            ),
-        )
+    enough = F.coalesce("size", F.lit(0)) >= wanted
+    checked = quotas.where(wanted > 0).withColumn(
+        "size", F.when(enough, F.col("size")).otherwise(F.raise_error(too_small))
     )
     # Spread the cycles before drawing: quotas may be a single row.
     cycles = checked.withColumn(
@@ -120,12 +112,11 @@ def resample_random(
     species: DataFrame, n_fg: int, n_bg: int, n_cycles: int, seed: int = 0
 ) -> DataFrame:
     """Groups of fixed sizes drawn uniformly from all species."""
-    pool = species.select(F.lit("").alias("stratum"), "species")
-    # One quota row that follows from the pool keeps this a plain aggregation.
-    quotas = pool.groupBy("stratum").agg(
-        F.lit(n_fg).alias("n_fg"), F.lit(n_bg).alias("n_bg")
+    numbered = pin(number_members(species.select(F.lit("").alias("stratum"), "species")))
+    quotas = numbered.groupBy("stratum").agg(
+        F.max("size").alias("size"), F.lit(n_fg).alias("n_fg"), F.lit(n_bg).alias("n_bg")
     )
-    return sample_strata(pool, quotas, n_cycles, seed)
+    return sample_strata(numbered, quotas, n_cycles, seed)
 
 
 def family_quotas(template: DataFrame, families: DataFrame) -> DataFrame:
@@ -147,7 +138,10 @@ def resample_family(
 ) -> DataFrame:
     """Groups that keep the template's family composition."""
     pool = families.select(F.col("family").alias("stratum"), "species")
-    return sample_strata(pool, family_quotas(template, families), n_cycles, seed)
+    numbered = pin(number_members(pool))
+    sizes = numbered.groupBy("stratum").agg(F.max("size").alias("size"))
+    quotas = family_quotas(template, families).join(sizes, "stratum", "left")
+    return sample_strata(numbered, quotas, n_cycles, seed)
 
 
 def value_candidates(permuted: DataFrame, values: DataFrame, template: DataFrame) -> DataFrame:
@@ -176,24 +170,23 @@ def select_by_value(
     sizes = template.agg(
         F.count_if(F.col("grp") == 1).alias("fg"), F.count_if(F.col("grp") == 0).alias("bg")
     ).first()
-    up, down = F.col("value").asc(), F.col("value").desc()
-    shuffled = F.md5(_seeded(seed, F.col("cycle"), F.col("grp"), F.col("species"))).asc()
-    orders = {"inner": (down, up), "edges": (up, down), "random": (shuffled, shuffled)}
-    if strategy not in orders:
-        raise ValueError(f"strategy must be one of {sorted(orders)}")
-    candidates = value_candidates(permuted, values, template)
-
-    def take(grp: int, order: Column, n: int) -> DataFrame:
-        # The literal bound lets Spark keep the first n per cycle before it shuffles.
-        ranked = candidates.where(F.col("grp") == grp).withColumn(
-            "rank", F.row_number().over(Window.partitionBy("cycle").orderBy(order, "species"))
-        )
-        return ranked.where(F.col("rank") <= n)
-
-    fg_order, bg_order = orders[strategy]
+    # Sort keys that grow from the first choice to the last, per group.
+    is_fg = F.col("grp") == 1
+    keys = {
+        "inner": F.when(is_fg, -F.col("value")).otherwise(F.col("value")),
+        "edges": F.when(is_fg, F.col("value")).otherwise(-F.col("value")),
+        "random": F.md5(_seeded(seed, F.col("cycle"), F.col("grp"), F.col("species"))),
+    }
+    if strategy not in keys:
+        raise ValueError(f"strategy must be one of {sorted(keys)}")
+    order = Window.partitionBy("cycle", "grp").orderBy(keys[strategy], "species")
+    ranked = value_candidates(permuted, values, template).withColumn(
+        "rank", F.row_number().over(order)
+    )
+    # The literal bound lets Spark keep the first n per group before it shuffles.
     return (
-        take(1, fg_order, sizes["fg"])
-        .unionByName(take(0, bg_order, sizes["bg"]))
+        ranked.where(F.col("rank") <= max(sizes["fg"], sizes["bg"]))
+        .where(F.col("rank") <= F.when(is_fg, sizes["fg"]).otherwise(sizes["bg"]))
         .select(F.col("cycle").alias("trait"), "species", "grp")
     )
 

@@ -90,7 +90,8 @@ def tree_edges(trees: DataFrame) -> DataFrame:
         .orderBy("at")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    parent = F.last(F.when(F.col("is_parent"), F.col("at")), ignorenulls=True).over(order)
+    opened = F.when(F.col("is_parent"), F.struct("at", "label"))
+    parent = F.last(opened, ignorenulls=True).over(order)
     return (
         as_child.unionByName(as_parent)
         .withColumn("parent", parent)
@@ -98,8 +99,9 @@ def tree_edges(trees: DataFrame) -> DataFrame:
         .select(
             "tree",
             F.col("at").cast("bigint").alias("node"),
-            F.col("parent").cast("bigint").alias("parent"),
+            F.col("parent.at").cast("bigint").alias("parent"),
             "label",
+            F.col("parent.label").alias("parent_label"),
             F.coalesce("length", F.lit(0.0)).alias("length"),
             (F.col("kind") == "tip").alias("is_tip"),
         )
@@ -217,47 +219,57 @@ def distances_from_farthest(trees: DataFrame) -> DataFrame:
 def pair_distances(trees: DataFrame, pairs: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """Path length between the tips of given pairs ``(tree, a, b)``.
 
-    Range minima over power-of-two runs of tokens are built by doubling; a
-    pair reads the two runs that cover the stretch between its tips. The full
-    pair matrix of a tree is never formed.
+    Each tip carries the lowest points of the 1, 2, 4, ... tokens from it on
+    and up to it, built by doubling. The run from the first tip on and the run
+    up to the second together cover the stretch between them. The full pair
+    matrix of a tree is never formed.
     """
     if max_tokens is None:
-        max_tokens = trees.agg(F.max(F.length("newick"))).first()[0] or 1
-    steps = max(1, int(max_tokens).bit_length())
+        # A tip ends at a comma or bracket, so this counts all tokens that are kept.
+        max_tokens = trees.agg(F.max(F.regexp_count("newick", F.lit("[,)]")))).first()[0] or 0
+    steps = (int(max_tokens) + 1).bit_length()
     order = Window.partitionBy("tree").orderBy("at")
     tokens = root_distances(trees).withColumn("nth", F.row_number().over(order))
-    tokens = tokens.withColumn("r0", F.struct("depth", "here"))
-    for k in range(1, steps + 1):
-        half = F.lead(f"r{k - 1}", 2 ** (k - 1)).over(order)
-        tokens = tokens.withColumn(f"r{k}", F.least(F.col(f"r{k - 1}"), half))
-    runs = tokens.select("tree", "nth", F.array(*[f"r{k}" for k in range(steps + 1)]).alias("runs"))
-    tips = tokens.where(F.col("kind") == "tip").select("tree", "label", "nth", "root_distance")
+    low = F.struct("depth", "here")
+    tokens = tokens.withColumns({"on0": low, "upto0": low})
+    for k in range(1, steps):
+        half = 2 ** (k - 1)
+        tokens = tokens.withColumns(
+            {
+                f"on{k}": F.least(f"on{k - 1}", F.lead(f"on{k - 1}", half).over(order)),
+                f"upto{k}": F.least(f"upto{k - 1}", F.lag(f"upto{k - 1}", half).over(order)),
+            }
+        )
+    tips = tokens.where(F.col("kind") == "tip").select(
+        "tree",
+        "label",
+        F.struct(
+            "nth",
+            "root_distance",
+            F.array(*[f"on{k}.here" for k in range(steps)]).alias("on_here"),
+            F.array(*[f"on{k}.depth" for k in range(steps)]).alias("on_depth"),
+            F.array(*[f"upto{k}.here" for k in range(steps)]).alias("upto_here"),
+            F.array(*[f"upto{k}.depth" for k in range(steps)]).alias("upto_depth"),
+        ).alias("tip"),
+    )
 
     def end(side: str) -> DataFrame:
-        return tips.select(
-            "tree",
-            F.col("label").alias(side),
-            F.col("nth").alias(f"n_{side}"),
-            F.col("root_distance").alias(f"d_{side}"),
-        )
+        return tips.select("tree", F.col("label").alias(side), F.col("tip").alias(f"tip_{side}"))
 
-    placed = pairs.join(end("a"), ["tree", "a"]).join(end("b"), ["tree", "b"])
-    lo, hi = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    k = F.floor(F.log2((hi - lo + 1).cast("double"))).cast("int")
-    placed = placed.withColumn("k", k).withColumn("lo", lo)
-    placed = placed.withColumn("hi", (hi - F.pow(F.lit(2), F.col("k")) + 1).cast("int"))
-    left = runs.select("tree", F.col("nth").alias("lo"), F.col("runs").alias("from_lo"))
-    right = runs.select("tree", F.col("nth").alias("hi"), F.col("runs").alias("from_hi"))
-    covered = (
-        placed.join(left, ["tree", "lo"])
-        .withColumn("left", F.get("from_lo", F.col("k")))
-        .drop("from_lo")
-        .join(right, ["tree", "hi"])
-        .withColumn("right", F.get("from_hi", F.col("k")))
+    swap = F.col("tip_a.nth") > F.col("tip_b.nth")
+    placed = pairs.join(end("a"), ["tree", "a"]).join(end("b"), ["tree", "b"]).select(
+        "tree",
+        "a",
+        "b",
+        F.when(swap, F.col("tip_b")).otherwise(F.col("tip_a")).alias("x"),
+        F.when(swap, F.col("tip_a")).otherwise(F.col("tip_b")).alias("y"),
     )
-    meet = F.least("left", "right")["here"]
-    distance = F.round(F.col("d_a") + F.col("d_b") - 2 * meet, _DIGITS)
-    return covered.select(
+    k = F.floor(F.log2((F.col("y.nth") - F.col("x.nth") + 1).cast("double"))).cast("int")
+    from_x = F.struct(F.get("x.on_depth", k), F.get("x.on_here", k).alias("here"))
+    upto_y = F.struct(F.get("y.upto_depth", k), F.get("y.upto_here", k).alias("here"))
+    meet = F.least(from_x, upto_y)["here"]
+    distance = F.round(F.col("x.root_distance") + F.col("y.root_distance") - 2 * meet, _DIGITS)
+    return placed.select(
         "tree",
         "a",
         "b",

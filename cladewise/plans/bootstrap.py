@@ -53,7 +53,7 @@ def bootstrap(
         raise ValueError("n_cycles must be positive")
     cycles = pin_groups(cycles)
     bits = number_traits(cycles)
-    columns = test_columns(records, bits, patterns, ragged).where(
+    columns = test_columns(records, bits, patterns, ragged, with_counts=False).where(
         kept_column(threshold, max_gap_ratio)
     )
     key = ["gene", "pos"]

@@ -31,5 +31,6 @@ BOOTSTRAP = (
 )
 
 TREE_EDGES = (
-    "tree STRING, node BIGINT, parent BIGINT, label STRING, length DOUBLE, is_tip BOOLEAN"
+    "tree STRING, node BIGINT, parent BIGINT, label STRING, "
+    "parent_label STRING, length DOUBLE, is_tip BOOLEAN"
 )

@@ -17,6 +17,8 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "cladewi
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # Rows grow when sequences are taken apart, so keep small shuffles spread out.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
