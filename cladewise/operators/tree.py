@@ -1,8 +1,9 @@
 """Trees as token tables: edges, root distances, distances between tips.
 
-Every step is a window over a tree's tokens. Between two tips, the token where
-the bracket depth is lowest stands inside their last common ancestor, so
-distances need a running or ranged minimum and no walk along ancestors.
+Every step is a window over a tree's tokens or tips. Between two tips, the
+token where the bracket depth is lowest stands inside their last common
+ancestor, so distances need a running or ranged minimum over the tips in file
+order and no walk along ancestors.
 """
 
 from __future__ import annotations
@@ -38,18 +39,34 @@ def tree_tokens(trees: DataFrame) -> DataFrame:
     ).where((F.col("token") != ",") & ~F.coalesce("belongs_before", F.lit(False)))
     text_of = F.when(F.col("is_text"), F.col("token")).otherwise(F.col("closing_text"))
     step = F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0)
-    label = F.regexp_replace(F.regexp_replace(text_of, r":[^:']*$", ""), r"^'|'$", "")
-    label = F.regexp_replace(label, "''", "'")
+    kind = F.when(F.col("is_text"), "tip").when(F.col("token") == "(", "open").otherwise("close")
     return tagged.select(
         "tree",
         "at",
-        F.when(F.col("is_text"), "tip").when(F.col("token") == "(", "open").otherwise("close").alias("kind"),
-        F.nullif(F.regexp_replace(label, " ", "_"), F.lit("")).alias("label"),
-        F.regexp_extract(F.coalesce(text_of, F.lit("")), r":([^:']+)$", 1).try_cast("double").alias("length"),
+        kind.alias("kind"),
+        _label(text_of).alias("label"),
+        _length(text_of).alias("length"),
         F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
     )
 
 
+def _has_length(text: Column) -> Column:
+    return text.contains(":") & ~text.endswith("'")
+
+
+def _length(text: Column) -> Column:
+    return F.when(_has_length(text), F.substring_index(text, ":", -1).try_cast("double"))
+
+
+def _label(text: Column) -> Column:
+    """The name before the length; quotes taken off, blanks turned to underscores."""
+    suffix = F.length(F.substring_index(text, ":", -1)) + 1
+    name = F.when(_has_length(text), F.substr(text, F.lit(1), F.length(text) - suffix)).otherwise(text)
+    bare = F.replace(F.substr(name, F.lit(2), F.length(name) - 2), F.lit("''"), F.lit("'"))
+    name = F.when(name.startswith("'"), bare).otherwise(name)
+    return F.nullif(F.translate(name, " ", "_"), F.lit(""))
+
+
 def _matched(tokens: DataFrame) -> DataFrame:
     """Tokens where an opening bracket knows the label and length of its closing one.
 
@@ -78,24 +95,23 @@ def tree_edges(trees: DataFrame) -> DataFrame:
     """
     nodes = _matched(tree_tokens(trees)).where(F.col("kind") != "close")
     # A child stands one level below its parent's bracket: put both in one group.
-    inside = F.when(F.col("kind") == "tip", F.col("level")).otherwise(F.col("level") - 1)
-    as_child = nodes.withColumn("group", inside).withColumn("is_parent", F.lit(False))
-    as_parent = (
-        nodes.where(F.col("kind") == "open")
-        .withColumn("group", F.col("level"))
-        .withColumn("is_parent", F.lit(True))
+    is_tip, is_open = F.col("kind") == "tip", F.col("kind") == "open"
+    as_child = F.struct(
+        F.when(is_tip, F.col("level")).otherwise(F.col("level") - 1).alias("group"),
+        F.lit(False).alias("is_parent"),
     )
+    as_parent = F.struct(F.col("level").alias("group"), F.lit(True).alias("is_parent"))
+    roles = F.explode(F.when(is_open, F.array(as_child, as_parent)).otherwise(F.array(as_child)))
     order = (
-        Window.partitionBy("tree", "group")
+        Window.partitionBy("tree", "role.group")
         .orderBy("at")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    opened = F.when(F.col("is_parent"), F.struct("at", "label"))
-    parent = F.last(opened, ignorenulls=True).over(order)
+    opened = F.when(F.col("role.is_parent"), F.struct("at", "label"))
     return (
-        as_child.unionByName(as_parent)
-        .withColumn("parent", parent)
-        .where(~F.col("is_parent"))
+        nodes.withColumn("role", roles)
+        .withColumn("parent", F.last(opened, ignorenulls=True).over(order))
+        .where(~F.col("role.is_parent"))
         .select(
             "tree",
             F.col("at").cast("bigint").alias("node"),
@@ -116,8 +132,11 @@ def tree_tips(trees: DataFrame) -> DataFrame:
 
 
 def root_distances(trees: DataFrame) -> DataFrame:
-    """Tokens with ``here``, the root distance of the bracket a token stands in,
-    and for tips ``root_distance``."""
+    """Tips in file order with their root distance and the low points around them.
+
+    ``low`` is the depth and root distance of the shallowest bracket open
+    between a tip and the next one, ``low_before`` the same before the tip.
+    """
     tokens = _matched(tree_tokens(trees))
     length = F.coalesce("length", F.lit(0.0))
     step = (
@@ -125,47 +144,54 @@ def root_distances(trees: DataFrame) -> DataFrame:
         .when(F.col("kind") == "close", -length)
         .otherwise(0.0)
     )
-    order = Window.partitionBy("tree").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    # The summed steps leave rounding noise; a bracket's own sum is exact enough
-    # to compare after rounding to nine digits.
-    return (
-        tokens.withColumn("here", F.sum(step).over(order))
-        .withColumn("root_distance", F.when(F.col("kind") == "tip", F.col("here") + length))
-        # An opening bracket lies deeper than the token before it, so it is never the
-        # lowest point between two tips.
-        .where(F.col("kind") != "open")
-        .select("tree", "at", "kind", "label", "depth", "here", "root_distance")
+    order = Window.partitionBy("tree").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    is_tip = F.col("kind") == "tip"
+    # Tips are numbered from 1; a closing bracket counts to the tip before it. An
+    # opening bracket lies deeper than the token before it and is never a low point.
+    placed = tokens.select(
+        "tree",
+        "kind",
+        "depth",
+        "label",
+        length.alias("length"),
+        F.sum(step).over(so_far).alias("here"),
+        F.count_if(is_tip).over(so_far).cast("int").alias("nth"),
+    ).where(F.col("kind") != "open")
+    tips = placed.groupBy("tree", "nth").agg(
+        F.max(F.when(is_tip, F.col("label"))).alias("label"),
+        F.max(F.when(is_tip, F.col("here") + F.col("length"))).alias("root_distance"),
+        F.min(F.struct("depth", "here")).alias("low"),
     )
+    in_order = Window.partitionBy("tree").orderBy("nth")
+    return tips.withColumn("low_before", F.lag("low").over(in_order))
 
 
+# Summed lengths carry rounding noise; distances are compared at this many digits.
 _DIGITS = 9
 
 
-def _sweep(tokens: DataFrame, source: str, out: str) -> DataFrame:
-    """Distance of every tip to the tip at token ``source``, as column ``out``."""
+def _sweep(tips: DataFrame, source: str, out: str) -> DataFrame:
+    """Distance of every tip to the tip numbered ``source``, as column ``out``."""
+    nth, start = F.col("nth"), F.col(source)
     tree = Window.partitionBy("tree")
-    start = F.max(F.when(F.col("at") == F.col(source), F.col("root_distance"))).over(tree)
-    after = F.col("at") >= F.col(source)
-    low = F.struct("depth", "here")
-    running = (
-        Window.partitionBy("tree", after)
-        .orderBy(F.abs(F.col("at") - F.col(source)))
+    from_root = F.max(F.when(nth == start, F.col("root_distance"))).over(tree)
+    between = F.when(nth > start, F.col("low_before")).when(nth < start, F.col("low"))
+    outward = (
+        Window.partitionBy("tree", nth >= start)
+        .orderBy(F.abs(nth - start))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    # Left of the source the tip's own surroundings count too, and the source's.
-    own = F.max(F.when(F.col("at") == F.col(source), low)).over(tree)
-    lowest = F.least(F.min(low).over(running), own)
-    distance = F.col("root_distance") + start - 2 * lowest["here"]
-    return tokens.withColumn(
-        out,
-        F.when(F.col("at") == F.col(source), F.lit(0.0)).otherwise(F.round(distance, _DIGITS)),
+    lowest = F.min(between).over(outward)
+    distance = F.col("root_distance") + from_root - 2 * lowest["here"]
+    return tips.withColumn(
+        out, F.when(nth == start, F.lit(0.0)).otherwise(F.round(distance, _DIGITS))
     )
 
 
-def _farthest(out: str, distance: str) -> Column:
-    """Token place of a tip at the greatest ``distance``, over the whole tree."""
-    far = F.when(F.col("kind") == "tip", F.struct(F.col(distance), F.col("label"), F.col("at")))
-    return F.max(far).over(Window.partitionBy("tree"))["at"].alias(out)
+def _farthest(distance: str) -> Column:
+    """Number of a tip at the greatest ``distance`` of its tree."""
+    return F.max(F.struct(distance, "label", "nth")).over(Window.partitionBy("tree"))["nth"]
 
 
 def with_farthest_tip(trees: DataFrame) -> DataFrame:
@@ -179,33 +205,28 @@ def with_farthest_tip(trees: DataFrame) -> DataFrame:
     reaching label, its first the greatest label at full distance from that.
     """
     tree = Window.partitionBy("tree")
-    tip = F.col("kind") == "tip"
-    tokens = root_distances(trees)
-    tokens = tokens.withColumn("s1", _farthest("s1", "root_distance"))
-    tokens = _sweep(tokens, "s1", "d1")
-    tokens = tokens.withColumn("s2", _farthest("s2", "d1"))
-    tokens = _sweep(tokens, "s2", "d2")
-    tokens = tokens.withColumn("diameter", F.max(F.when(tip, F.col("d1"))).over(tree))
-    reaches = tip & (F.greatest("d1", "d2") == F.col("diameter"))
-    second = F.max(F.when(reaches, F.struct("label", "at"))).over(tree)
-    tokens = tokens.withColumn("s3", second["at"])
-    tokens = _sweep(tokens, "s3", "d3")
-    at_full = tip & (F.col("d3") == F.col("diameter")) & (F.col("at") != F.col("s3"))
-    first = F.max(F.when(at_full, F.struct("label", "at"))).over(tree)
-    tokens = tokens.withColumn("s4", first["at"]).withColumn("first_label", first["label"])
-    tokens = tokens.withColumn("second_label", second["label"])
-    return _sweep(tokens, "s4", "d").where(tip & F.col("s4").isNotNull())
+    tips = root_distances(trees)
+    tips = _sweep(tips.withColumn("s1", _farthest("root_distance")), "s1", "d1")
+    tips = _sweep(tips.withColumn("s2", _farthest("d1")), "s2", "d2")
+    tips = tips.withColumn("diameter", F.max("d1").over(tree))
+    reaches = F.greatest("d1", "d2") == F.col("diameter")
+    second = F.max(F.when(reaches, F.struct("label", "nth"))).over(tree)
+    tips = _sweep(tips.withColumn("s3", second["nth"]).withColumn("second", second["label"]), "s3", "d3")
+    at_full = (F.col("d3") == F.col("diameter")) & (F.col("nth") != F.col("s3"))
+    first = F.max(F.when(at_full, F.struct("label", "nth"))).over(tree)
+    tips = tips.withColumn("s4", first["nth"]).withColumn("first", first["label"])
+    return _sweep(tips, "s4", "d").where(F.col("s4").isNotNull())
 
 
 def farthest_tip(trees: DataFrame) -> DataFrame:
     """Per tree the farthest pair and its distance; trees of one tip give no row."""
     return (
         with_farthest_tip(trees)
-        .where(F.col("at") == F.col("s4"))
+        .where(F.col("nth") == F.col("s4"))
         .select(
             "tree",
-            F.col("first_label").alias("farthest"),
-            F.col("second_label").alias("partner"),
+            F.col("first").alias("farthest"),
+            F.col("second").alias("partner"),
             F.col("diameter").alias("max_distance"),
         )
     )
@@ -216,40 +237,36 @@ def distances_from_farthest(trees: DataFrame) -> DataFrame:
     return with_farthest_tip(trees).select("tree", F.col("label").alias("species"), "d")
 
 
-def pair_distances(trees: DataFrame, pairs: DataFrame, max_tokens: int | None = None) -> DataFrame:
+def pair_distances(trees: DataFrame, pairs: DataFrame, max_tips: int | None = None) -> DataFrame:
     """Path length between the tips of given pairs ``(tree, a, b)``.
 
-    Each tip carries the lowest points of the 1, 2, 4, ... tokens from it on
-    and up to it, built by doubling. The run from the first tip on and the run
-    up to the second together cover the stretch between them. The full pair
-    matrix of a tree is never formed.
+    Each tip carries the lowest points over the 1, 2, 4, ... gaps between tips
+    from it on and up to it, built by doubling. The run from the first tip on
+    and the run up to the second together cover the stretch between them. The
+    full pair matrix of a tree is never formed.
     """
-    if max_tokens is None:
-        # A tip ends at a comma or bracket, so this counts all tokens that are kept.
-        max_tokens = trees.agg(F.max(F.regexp_count("newick", F.lit("[,)]")))).first()[0] or 0
-    steps = (int(max_tokens) + 1).bit_length()
-    order = Window.partitionBy("tree").orderBy("at")
-    tokens = root_distances(trees).withColumn("nth", F.row_number().over(order))
-    low = F.struct("depth", "here")
-    tokens = tokens.withColumns({"on0": low, "upto0": low})
+    if max_tips is None:
+        # Every tip but the last of a tree is followed by a comma sooner or later.
+        max_tips = 1 + (trees.agg(F.max(F.regexp_count("newick", F.lit(",")))).first()[0] or 0)
+    steps = max_tips.bit_length()
+    order = Window.partitionBy("tree").orderBy("nth")
+    tips = root_distances(trees).withColumns({"on0": F.col("low"), "upto0": F.col("low_before")})
     for k in range(1, steps):
         half = 2 ** (k - 1)
-        tokens = tokens.withColumns(
+        tips = tips.withColumns(
             {
                 f"on{k}": F.least(f"on{k - 1}", F.lead(f"on{k - 1}", half).over(order)),
                 f"upto{k}": F.least(f"upto{k - 1}", F.lag(f"upto{k - 1}", half).over(order)),
             }
         )
-    tips = tokens.where(F.col("kind") == "tip").select(
+    tips = tips.select(
         "tree",
         "label",
         F.struct(
             "nth",
             "root_distance",
-            F.array(*[f"on{k}.here" for k in range(steps)]).alias("on_here"),
-            F.array(*[f"on{k}.depth" for k in range(steps)]).alias("on_depth"),
-            F.array(*[f"upto{k}.here" for k in range(steps)]).alias("upto_here"),
-            F.array(*[f"upto{k}.depth" for k in range(steps)]).alias("upto_depth"),
+            F.array(*[f"on{k}" for k in range(steps)]).alias("on"),
+            F.array(*[f"upto{k}" for k in range(steps)]).alias("upto"),
         ).alias("tip"),
     )
 
@@ -264,10 +281,9 @@ def pair_distances(trees: DataFrame, pairs: DataFrame, max_tokens: int | None =
         F.when(swap, F.col("tip_b")).otherwise(F.col("tip_a")).alias("x"),
         F.when(swap, F.col("tip_a")).otherwise(F.col("tip_b")).alias("y"),
     )
-    k = F.floor(F.log2((F.col("y.nth") - F.col("x.nth") + 1).cast("double"))).cast("int")
-    from_x = F.struct(F.get("x.on_depth", k), F.get("x.on_here", k).alias("here"))
-    upto_y = F.struct(F.get("y.upto_depth", k), F.get("y.upto_here", k).alias("here"))
-    meet = F.least(from_x, upto_y)["here"]
+    gaps = F.greatest(F.col("y.nth") - F.col("x.nth"), F.lit(1))
+    k = F.floor(F.log2(gaps.cast("double"))).cast("int")
+    meet = F.least(F.get("x.on", k), F.get("y.upto", k))["here"]
     distance = F.round(F.col("x.root_distance") + F.col("y.root_distance") - 2 * meet, _DIGITS)
     return placed.select(
         "tree",
