@@ -16,9 +16,12 @@ _GROUP_ROW_BYTES = 400
 
 
 def fits(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> bool:
-    """Whether at most ``budget // row_bytes`` rows exist; stops counting just beyond."""
-    most = max(1, budget // row_bytes)
-    return df.limit(most + 1).count() <= most
+    """Whether the counted rows stay within the budget.
+
+    A plain count is combined in the map tasks; a limit would send rows of
+    every partition to one task.
+    """
+    return df.count() * row_bytes <= budget
 
 
 def broadcast_if_small(
