@@ -91,6 +91,16 @@ class Bounds:
 
         The overall bounds take no part; unset bounds count as zero.
         """
-        spare_fg = (self.max_fg_gaps or 0) + (self.max_fg_miss or 0)
-        spare_bg = (self.max_bg_gaps or 0) + (self.max_bg_miss or 0)
+        spare_fg, spare_bg = self._spare()
         return min(n_fg - spare_fg, n_bg - spare_bg)
+
+    def threshold_of(self, n_fg: Column, n_bg: Column) -> Column:
+        """``threshold`` where the group sizes are columns."""
+        spare_fg, spare_bg = self._spare()
+        return F.least(n_fg - spare_fg, n_bg - spare_bg)
+
+    def _spare(self) -> tuple[int, int]:
+        return (
+            (self.max_fg_gaps or 0) + (self.max_fg_miss or 0),
+            (self.max_bg_gaps or 0) + (self.max_bg_miss or 0),
+        )

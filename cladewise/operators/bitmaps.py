@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.verdict import ALL_PATTERNS, DEFAULT_PATTERNS, parse_patterns
 from cladewise.operators.columns import cells, finish_profile, profile_aggregates
-from cladewise.plans.sizing import Groups, pin_groups
+from cladewise.operators.evidence import group_sizes
+from cladewise.plans.sizing import Groups, pin, pin_groups
 from cladewise.schema import GAP
 
 BITS = 64
@@ -28,7 +29,7 @@ TRAITS_PER_SET = BITS * BLOCKS_PER_SET
 
 @dataclass(frozen=True)
 class TraitBits:
-    """Traits with their place: ``set_id`` (a pass-wide set), block inside the set, bit."""
+    """Traits with their group sizes and their place: set of blocks, block, bit."""
 
     groups: Groups
     places: DataFrame
@@ -39,7 +40,7 @@ class TraitBits:
 def number_traits(groups: DataFrame | Groups) -> TraitBits:
     """Give every trait a set, a block and a bit; numbering is spread over hash buckets."""
     groups = pin_groups(groups)
-    traits = groups.rows.select("trait").distinct()
+    traits = group_sizes(groups.rows)
     n_traits = groups.n_traits
     n_buckets = max(1, n_traits // (8 * TRAITS_PER_SET))
     in_bucket = Window.partitionBy("bucket").orderBy("trait")
@@ -49,6 +50,8 @@ def number_traits(groups: DataFrame | Groups) -> TraitBits:
         .withColumn("number", number)
         .select(
             "trait",
+            "n_fg",
+            "n_bg",
             (
                 F.col("bucket") * 1_000_000 + F.floor(F.col("number") / TRAITS_PER_SET)
             ).cast("bigint").alias("set_id"),
@@ -58,7 +61,7 @@ def number_traits(groups: DataFrame | Groups) -> TraitBits:
     )
     single = n_traits <= TRAITS_PER_SET
     n_blocks = max(1, -(-n_traits // BITS)) if single else BLOCKS_PER_SET
-    return TraitBits(groups, groups.near(places), n_blocks, single)
+    return TraitBits(groups, groups.near(pin(places)), n_blocks, single)
 
 
 def membership_bitmaps(bits: TraitBits) -> DataFrame:
@@ -68,7 +71,7 @@ def membership_bitmaps(bits: TraitBits) -> DataFrame:
         for side, grp in (("f", 1), ("b", 0))
         for k in range(bits.n_blocks)
     ]
-    members = bits.groups.rows.join(bits.places, "trait").drop("trait")
+    members = bits.groups.rows.join(bits.places, "trait").drop("trait", "n_fg", "n_bg")
     if not bits.single_set:
         # Histogram counts ride on set 0, so each member species needs a row there.
         home = members.selectExpr(
@@ -197,7 +200,7 @@ _SET_BITS = "filter(sequence(0, 63), i -> (shiftright(hits, i) & 1L) = 1L)"
 
 
 def explode_hits(columns: DataFrame, bits: TraitBits, *carried: str) -> DataFrame:
-    """One row per hit (gene, pos, trait) with its pattern."""
+    """One row per hit (gene, pos, trait) with its pattern and the trait's group sizes."""
     return (
         columns.select("gene", "pos", *carried, F.explode("blocks").alias("s"))
         .select("gene", "pos", *carried, "s.*")
@@ -208,6 +211,8 @@ def explode_hits(columns: DataFrame, bits: TraitBits, *carried: str) -> DataFram
             "pos",
             *carried,
             "trait",
+            "n_fg",
+            "n_bg",
             "1 + int(shiftright(bg_many, bit) & 1L) + 2 * int(shiftright(fg_many, bit) & 1L) AS pattern",
         )
     )

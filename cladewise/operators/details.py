@@ -17,15 +17,14 @@ def member_counts(
     """Found, gapped and missing members of both groups for each hit row.
 
     Only records of member species are read back, whole sequences join the
-    hits on (gene, species), and single symbols leave the join. Columns of
-    ``hits`` beyond the key are kept.
+    hits on (gene, species), and single symbols leave the join. ``hits`` names
+    the group sizes ``n_fg`` and ``n_bg``; its other columns are kept.
     """
     key = ["gene", "pos", "trait"]
     carried = [c for c in hits.columns if c not in key]
     groups = pin_groups(groups)
     names = groups.near(groups.rows.select("species").distinct())
     member_records = records.join(names, "species", "left_semi")
-    # The salt-free key is fine-grained: one record per (gene, species).
     symbols = (
         hits.join(groups.near(groups.rows), "trait")
         .join(member_records, ["gene", "species"])
@@ -48,13 +47,17 @@ def member_counts(
             F.collect_set(F.when(bg & solid, F.col("symbol"))).alias("bg_symbols"),
         ]
     counted = symbols.groupBy(*key).agg(*aggregates)
-    joined = counted.join(groups.near(member_lists(groups.rows)), "trait")
-    if with_lists:
-        present = F.concat("fg_found", "bg_found", "gapped")
-        missing = F.array_except(F.concat("fg_all", "bg_all"), present)
-        joined = joined.withColumn("missing", F.sort_array(missing))
+    counted = (
+        counted.withColumn("mfg", (F.col("n_fg") - F.col("ffgn") - F.col("gfg")).cast("int"))
+        .withColumn("mbg", (F.col("n_bg") - F.col("fbgn") - F.col("gbg")).cast("int"))
+        .drop("n_fg", "n_bg")
+    )
+    if not with_lists:
+        return counted
+    present = F.concat("fg_found", "bg_found", "gapped")
+    missing = F.sort_array(F.array_except(F.concat("fg_all", "bg_all"), present))
     return (
-        joined.withColumn("mfg", F.size("fg_all") - F.col("ffgn") - F.col("gfg"))
-        .withColumn("mbg", F.size("bg_all") - F.col("fbgn") - F.col("gbg"))
+        counted.join(groups.near(member_lists(groups.rows)), "trait")
+        .withColumn("missing", missing)
         .drop("fg_all", "bg_all", "gapped")
     )

@@ -14,19 +14,10 @@ from cladewise.functions.verdict import DEFAULT_PATTERNS
 from cladewise.operators.bitmaps import explode_hits, number_traits, test_columns
 from cladewise.operators.columns import DEFAULT_MAX_GAP_RATIO
 from cladewise.operators.details import member_counts
-from cladewise.operators.evidence import gene_trait_grid, group_sizes
+from cladewise.operators.evidence import gene_trait_grid
 from cladewise.plans.sizing import Groups, pin_groups
 
 
-def trait_thresholds(groups: DataFrame, bounds: Bounds) -> DataFrame:
-    """Minority threshold per trait from its group sizes and the bounds."""
-    spare_fg = (bounds.max_fg_gaps or 0) + (bounds.max_fg_miss or 0)
-    spare_bg = (bounds.max_bg_gaps or 0) + (bounds.max_bg_miss or 0)
-    return group_sizes(groups).select(
-        "trait", F.least(F.col("n_fg") - spare_fg, F.col("n_bg") - spare_bg).alias("threshold")
-    )
-
-
 def discovery(
     records: DataFrame,
     groups: DataFrame | Groups,
@@ -45,12 +36,10 @@ def discovery(
     columns = test_columns(records, bits, patterns, ragged).where(
         (F.size("blocks") > 0) & (F.col("gaps") / F.col("total") <= F.lit(float(max_gap_ratio)))
     )
-    thresholds = groups.near(trait_thresholds(groups.rows, bounds))
     hits = (
         explode_hits(columns, bits, "counts", "minority")
-        .join(thresholds, "trait")
-        .where(F.col("minority") >= F.col("threshold"))
-        .drop("minority", "threshold")
+        .where(F.col("minority") >= bounds.threshold_of(F.col("n_fg"), F.col("n_bg")))
+        .drop("minority")
     )
     found = member_counts(hits, records, groups, with_lists=True)
     if not bounds.unlimited:
