@@ -31,7 +31,14 @@ def frames(spark, seed, ragged):
     )
 
 
-@pytest.fixture(params=["one set", "several sets", "no broadcast"])
+def combinations(*other_layout_cases):
+    """The usual layout runs all cases, the others a few."""
+    usual = [("one set", case) for case in range(len(CASES))]
+    others = [(x, c) for x in ("several sets", "no broadcast") for c in other_layout_cases]
+    return pytest.mark.parametrize("layout, case", usual + others, indirect=["layout"])
+
+
+@pytest.fixture()
 def layout(request, monkeypatch, spark):
     """The same rules must come out however traits are laid out and joins are run."""
     threshold = "spark.sql.autoBroadcastJoinThreshold"
@@ -46,10 +53,8 @@ def layout(request, monkeypatch, spark):
     spark.conf.set(threshold, before)
 
 
-@pytest.mark.parametrize("case", range(len(CASES)))
+@combinations(1, 2)
 def test_discovery(spark, layout, case):
-    if layout != "one set" and case not in (1, 2):
-        pytest.skip("the first layout runs all cases")
     bounds, patterns, ratio, ragged = CASES[case]
     records, groups, records_df, groups_df = frames(spark, case, ragged)
     rows = discovery(records_df, groups_df, bounds, patterns, ratio, ragged)
@@ -60,10 +65,8 @@ def test_discovery(spark, layout, case):
     assert set(got) == expected
 
 
-@pytest.mark.parametrize("case", range(len(CASES)))
+@combinations(1, 3)
 def test_bootstrap(spark, layout, case):
-    if layout != "one set" and case not in (1, 3):
-        pytest.skip("the first layout runs all cases")
     bounds, patterns, ratio, ragged = CASES[case]
     records, groups, records_df, groups_df = frames(spark, 100 + case, ragged)
     rows = bootstrap(records_df, groups_df, 75, 2, bounds, patterns, ratio, ragged, "cfg")
