@@ -20,6 +20,8 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "cladewi
         # Rows grow when sequences are taken apart, so keep small shuffles spread out.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call-site capture costs several driver round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

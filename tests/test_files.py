@@ -5,8 +5,10 @@ import pytest
 from cladewise.functions.bounds import Bounds
 from cladewise.operators import sampling as S
 from cladewise.operators import tree as T
+from cladewise.operators.columns import cells
 from cladewise.plans.bootstrap import bootstrap, empirical_values
 from cladewise.plans.discovery import discovery
+from cladewise import schema
 from cladewise.schema import RECORDS
 from cladewise.sinks import tables as K
 from cladewise.sources import alignments as R
@@ -157,6 +159,25 @@ def test_cycles_and_bootstrap_round_trip(spark, tmp_path, toy):
         assert len(named) == r["count"] and r.empval == pytest.approx(r["count"] / 30)
 
 
+def test_readers_give_the_named_layouts(spark, tmp_path):
+    (tmp_path / "x").write_text("a\tb\tc\n")
+    path = str(tmp_path / "x")
+    read = {
+        schema.RECORDS: R.read_alignments(spark, path, "phylip-relaxed"),
+        schema.GROUPS: G.read_groups(spark, path),
+        schema.CYCLES: G.read_cycles(spark, path),
+        schema.FAMILIES: G.read_families(spark, path),
+        schema.TRAIT_VALUES: G.read_trait_values(spark, path),
+        schema.CELLS: cells(R.read_alignments(spark, path, "phylip-relaxed")).select(
+            "gene", "species", "pos", "symbol"
+        ),
+        schema.TREE_EDGES: T.tree_edges(G.read_newick(spark, path)),
+    }
+    for layout, frame in read.items():
+        got = [f"{f.name} {f.dataType.simpleString().upper()}" for f in frame.schema]
+        assert ", ".join(got) == layout
+
+
 def test_cycle_configs(spark, tmp_path):
     groups = spark.createDataFrame(
         [(f"b_{i}", s, g) for i in range(1, 13) for s, g in (("a", 1), ("b", 0))],
