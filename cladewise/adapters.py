@@ -85,7 +85,7 @@ def customer_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def balance_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of very high against very low balance."""
-    customers = table(spark, sf_dir, "customer").where("c_acctbal > 9900 or c_acctbal < -900")
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 9500 or c_acctbal < -500")
     return customers.select(
         F.lit("balance").alias("trait"),
         F.col("c_name").alias("species"),

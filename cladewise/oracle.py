@@ -255,7 +255,7 @@ quotas AS (SELECT '' AS stratum, 5 AS n_fg, 4 AS n_bg)"""
 _FAMILY_POOL = """
 pool AS (SELECT n_name AS stratum, c_name AS species FROM customer JOIN nation ON c_nationkey = n_nationkey),
 template AS (SELECT c_name AS species, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS grp
-             FROM customer WHERE c_acctbal > 9900 OR c_acctbal < -900),
+             FROM customer WHERE c_acctbal > 9500 OR c_acctbal < -500),
 quotas AS (SELECT stratum, count(*) FILTER (grp = 1) AS n_fg, count(*) FILTER (grp = 0) AS n_bg
            FROM template JOIN pool USING (species) GROUP BY stratum)"""
 
