@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Entries that a worker remembers before it starts afresh.
-MEMORY = 400_000
+MEMORY = 700_000
 #: Longer units are not remembered.
 MEMORY_CHARS = 64
 
@@ -141,40 +141,57 @@ def special_tokens(path: str) -> dict[str, int]:
     return {t.content: i for i, t in load(path).get_added_tokens_decoder().items()}
 
 
-def segments(text: str, special: re.Pattern) -> list[str]:
-    """A text cut at the special tokens, which stand at the odd places."""
-    return special.split(text)
-
-
 def special_pattern(path: str) -> re.Pattern:
+    """Cuts a text at the special tokens, which then stand at the odd places."""
     names = sorted(special_tokens(path), key=len, reverse=True)
     return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else re.compile("((?!))")
 
 
+@lru_cache(maxsize=1)
+def _byte_chars() -> dict[int, str]:
+    """Byte-level BPE writes printable Latin-1 bytes as themselves and the rest as characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class PreTokens(dict):
+    """Ids of pre-tokens, merged by the library's model when first met; ``value`` turns them into what is kept."""
+
+    def __init__(self, path: str, value: Callable[[list[int]], object]) -> None:
+        super().__init__()
+        self.merge, self.value, self.chars = load(path).model.tokenize, value, _byte_chars()
+
+    def __missing__(self, pre_token: str) -> object:
+        mapped = pre_token.encode().decode("latin-1").translate(self.chars)
+        found = self.value([t.id for t in self.merge(mapped)])
+        if len(pre_token) <= MEMORY_CHARS:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[pre_token] = found
+        return found
+
+
 class Counter:
     """Counts the tokens of texts in one worker."""
 
     def __init__(self, path: str, whole: frozenset[str]) -> None:
         self.path, self.whole = path, whole
-        self.pattern = pre_token_pattern(path)
+        self.cut = pre_token_pattern(path).findall
         self.special = special_pattern(path)
+        self.merged = PreTokens(path, len)
         self.units = Units(self._unit)
 
-    def _merged(self, texts: list[str]) -> int:
-        coded = load(self.path).encode_batch_fast(texts, add_special_tokens=False)
-        return sum(len(e.ids) for e in coded)
-
     def _unit(self, text: str) -> int:
         if _ASTRAL.search(text):
-            return self._merged([text])
-        rest = [t for t in self.pattern.findall(text) if t not in self.whole]
-        total = len(self.pattern.findall(text)) - len(rest)
-        return total + (self._merged(rest) if rest else 0)
+            return len(load(self.path).encode(text, add_special_tokens=False).ids)
+        whole, merged = self.whole, self.merged
+        return sum(1 if t in whole else merged[t] for t in self.cut(text))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        parts = segments(text, self.special)
+        parts = self.special.split(text)
         return len(parts) // 2 + sum(sum(self.units.of(part)) for part in parts[::2])
 
 
