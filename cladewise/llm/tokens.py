@@ -198,6 +198,13 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
+def counter(path: str, whole: frozenset[str]) -> Counter:
+    """The worker's counter, which keeps what it has met from task to task."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path, whole)
+    return _COUNTERS[path]
+
+
 def token_count(df: DataFrame, text: Column, path: str) -> Column:
     """The number of tokens of a text column, as the library gives it.
 
@@ -208,9 +215,9 @@ def token_count(df: DataFrame, text: Column, path: str) -> Column:
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _COUNTERS.setdefault(path, Counter(path, whole.value))
+        count = counter(path, whole.value).count
         for texts in batches:
-            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
+            yield pd.Series([count(t) for t in texts], dtype="int64")
 
     return counted(text)
 
