@@ -13,8 +13,10 @@ leaders of its bucket (the same nodes lead in all their buckets, so there are fe
 different pairs), the verified links are contracted to components, and buckets
 that lie in one component are done. In the others every pair of members of
 different components that is still open is compared, in blocks of ``BLOCK``
-signatures: members outside the bucket's largest component against all. Nothing is
-capped, so no link between components is lost.
+members: those outside the bucket's largest component against all. A pair is looked
+at in the first bucket it shares, its full sets are compared in the same task, and
+one link is sent for each two components and pair of blocks. Nothing is capped, so
+no link between components is lost.
 
 Components are contracted with stars on the links, stored after each round.
 
@@ -45,7 +47,9 @@ HASHES = ROWS * BANDS
 BATCH = 30
 MISS = 1e-6
 LEADERS = 3
-BLOCK = 128
+BLOCK = 512
+#: So many pairs of a block are looked up one by one; more are counted together.
+FEW = 64
 #: Ids of texts that are read again are sent to all executors up to this number.
 BROADCAST_IDS = 1_000_000
 MEMORY = 500_000
@@ -136,15 +140,50 @@ def open_pairs(left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> np.nda
     return pairs
 
 
-def linked(a: bytes, b: bytes) -> bool:
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two full sets reach the threshold."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
     if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, a slice of the shingles at a time."""
+    both = left + right
+    values, place = np.unique(np.concatenate(both), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    width = 4096
+    for low in range(0, len(values), width):
+        part = slice(*np.searchsorted(place, (low, low + width)))
+        has = np.zeros((len(both), width), dtype=np.float32)
+        has[row[part], place[part] - low] = 1.0
+        out += has[: len(left)] @ has[len(left) :].T
+    return out.astype(np.int64)
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The pairs whose full sets reach the threshold."""
+    if len(pairs) <= FEW:
+        true = [linked(left[i], right[j]) for i, j in pairs]
+        return pairs[np.array(true, dtype=bool)] if len(pairs) else pairs
+    both = common_counts(left, right)[pairs[:, 0], pairs[:, 1]]
+    sizes = np.array([len(s) for s in left])[pairs[:, 0]] + np.array([len(s) for s in right])[pairs[:, 1]]
+    return pairs[100 * both >= PERCENT * (sizes - both)]
+
+
+def bucket_keys(sigs: np.ndarray) -> np.ndarray:
+    """The buckets of each signature, a column for each band."""
+    sigs = sigs.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sigs.shape[:2])
+    for i in range(ROWS):
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sigs[:, :, i])
+    return key.view(np.int64)
+
+
 # --- Spark -----------------------------------------------------------------
 
 
@@ -180,12 +219,9 @@ def banded(nodes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1024)
                 if not part.num_rows:
                     continue
-                sigs = _matrix(part.column(1).to_pylist()).astype(np.uint64).reshape(-1, BANDS, ROWS)
-                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sigs.shape[:2])
-                for i in range(ROWS):
-                    key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sigs[:, :, i])
+                key = bucket_keys(_matrix(part.column(1).to_pylist()))
                 node = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), node], ["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), node], ["bucket", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "bucket long, node binary")
 
@@ -194,6 +230,10 @@ def _matrix(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), dtype="<u4").reshape(len(sigs), HASHES)
 
 
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
+
+
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -235,7 +275,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            true = [linked(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
+            true = [linked(_set(x), _set(y)) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(true, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
@@ -295,8 +335,8 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and that their signatures do not rule out.
+def remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links between different components that share a bucket, one for each two components and pair of blocks.
 
     In each bucket the members outside its largest component, in blocks, meet all
     members, in blocks; a task holds two blocks at a time.
@@ -316,7 +356,8 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) ->
             F.ceil(F.col("n") / BLOCK).cast("int").alias("n_right"),
         )
     )
-    mixed = placed.join(buckets, "bucket").join(nodes.select("node", "sig"), "node")
+    known = nodes.select("node", "sig").join(sets, "node")
+    mixed = placed.join(buckets, "bucket").join(known, "node")
 
     def blocks(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -324,40 +365,60 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) ->
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
 
-    left = mixed.where("label != main").select(
-        "bucket", block("n_left").alias("i"), blocks("n_right").alias("j"), F.lit(0).alias("side"), "node", "label", "sig"
+    rest = ["node", "label", "sig", "set"]
+    # A member outside the main component is needed on both sides; where one task holds all, one row is both.
+    alone = F.col("n_right") == 1
+    outside = F.col("label") != F.col("main")
+    one = mixed.where(alone).select(
+        "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(outside, 2).otherwise(1).alias("side"), *rest
     )
-    right = mixed.select(
-        "bucket", blocks("n_left").alias("i"), block("n_right").alias("j"), F.lit(1).alias("side"), "node", "label", "sig"
+    left = mixed.where(~alone & outside).select(
+        "bucket", block("n_left").alias("i"), blocks("n_right").alias("j"), F.lit(0).alias("side"), *rest
+    )
+    right = mixed.where(~alone).select(
+        "bucket", blocks("n_left").alias("i"), block("n_right").alias("j"), F.lit(1).alias("side"), *rest
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         found: list[tuple[bytes, bytes]] = []
-        for _, group in groupby(rows, key=lambda r: r[:3]):
-            sides: tuple[list, list] = ([], [])
-            for r in group:
-                sides[r[3]].append(r)
-            if not sides[0] or not sides[1]:
-                continue
-            place: dict[bytes, int] = {}
-            (la, lb) = (np.array([place.setdefault(r[5], len(place)) for r in s]) for s in sides)
-            pairs = np.argwhere(la[:, None] != lb[None, :])
-            if not len(pairs):
-                continue
-            left, right = (_matrix([r[6] for r in s]) for s in sides)
-            for i, j in open_pairs(left, right, pairs):
-                x, y = sides[0][i][4], sides[1][j][4]
-                found.append((x, y) if x < y else (y, x))
+        for (bucket, _, _), group in groupby(rows, key=lambda r: r[:3]):
+            held = list(group)
+            found += block_links(bucket, [r for r in held if r[3] != 1], [r for r in held if r[3] != 0])
             if len(found) > 5000:
                 yield _pairs_batch(found)
                 found = []
         yield _pairs_batch(found)
 
-    work = left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
+    work = one.union(left).union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return work.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def block_links(bucket: int, left: list[tuple], right: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links of two blocks' rows ``bucket, i, j, side, node, label, sig, set`` that join components."""
+    if not left or not right:
+        return []
+    place: dict[bytes, int] = {}
+    la, lb = (np.array([place.setdefault(r[5], len(place)) for r in side]) for side in (left, right))
+    pairs = np.argwhere(la[:, None] != lb[None, :])
+    if not len(pairs):
+        return []
+    sa, sb = (_matrix([r[6] for r in side]) for side in (left, right))
+    pairs = np.concatenate([open_pairs(sa, sb, pairs[k : k + 50_000]) for k in range(0, len(pairs), 50_000)])
+    if not len(pairs):
+        return []
+    ka, kb = bucket_keys(sa), bucket_keys(sb)
+    first = np.concatenate(
+        [(ka[p[:, 0]] == kb[p[:, 1]]).argmax(axis=1) for p in np.array_split(pairs, 1 + len(pairs) // 50_000)]
+    )
+    pairs = pairs[ka[pairs[:, 0], first] == bucket]
+    xa, xb = ([np.frombuffer(r[7], dtype=np.uint64) for r in side] for side in (left, right))
+    true = linked_pairs(xa, xb, pairs)
+    joins = {tuple(sorted((int(la[i]), int(lb[j])))): (i, j) for i, j in true.tolist()}
+    found = ((left[i][4], right[j][4]) for i, j in joins.values())
+    return [(x, y) if x < y else (y, x) for x, y in found]
+
+
 def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -371,7 +432,7 @@ def classes(docs: DataFrame) -> DataFrame:
     members = stored(bands.join(shared, "bucket"))
     sets = stored(full_sets(docs, rows, members))
     links = stored(confirmed(unpruned(leader_pairs(members), nodes), sets))
-    more = stored(confirmed(remaining_pairs(members, components(links), nodes), sets))
+    more = stored(remaining_links(members, components(links), nodes, sets))
     labels = components(links.union(more))
     placed = rows.select("doc_id", "tie", "n_shingles", "node").join(labels, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node")).drop("node")
