@@ -1,7 +1,7 @@
 """Language identification as inference over mixtures.
 
 A model holds, for every language, the probabilities of character n-grams of
-words (one to four characters, with a mark at both ends). A word's likelihood
+words (one to three characters, with a mark at both ends). A word's likelihood
 under a language is the geometric mean of its n-gram probabilities, raised to a
 fixed power, so that long words do not outweigh all others. A document is a bag
 of words drawn from a mixture of languages: expectation-maximisation estimates
@@ -61,7 +61,7 @@ def pieces(text: str | None) -> list[str]:
 
 def grams(word: str) -> list[str]:
     marked = f" {word} "
-    return [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+    return [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
 
 
 def _buckets(word: str, size: int) -> list[int]:
