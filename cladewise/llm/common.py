@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,21 +39,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, cores_factor: int = 1) -> DataFrame:
-    """Deal rows out evenly; for frames whose rows cost much more than their bytes."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * cores_factor)
-
-
 def byte_words(text: str | None) -> list[bytes]:
     """Words in UTF-8 with A-Z in lower case; ``split`` cuts at exactly the six characters of SPACE."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one with many long texts does not fill the memory."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def same(a: Column, b: Column) -> Column:

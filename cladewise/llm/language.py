@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.llm.common import unused
+
 MODEL_BYTES = 64 << 20
 MOST_BUCKETS = 1 << 17
 #: A letter run is cut after so many characters; scripts without spaces give such pieces too.
@@ -220,8 +222,6 @@ def predict(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows whose main language holds at least ``least`` of the text; columns stay as they are."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    name = "_identified"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "_identified")
     found = docs.withColumn(name, identify(docs, model, F.col("text")))
     return found.where((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= least)).drop(name)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import byte_words, same, stored
+from cladewise.llm.common import byte_words, same, stored, unused
 
 SHINGLE = 3
 PERCENT = 85
@@ -455,6 +455,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, the one of the smallest id; columns stay as they are."""
     kept = classes(docs).where(same(F.col("doc_id"), F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    here = same(F.col("doc_id").cast("long"), F.col("_id")) & (F.xxhash64("text") == F.col("_tie"))
+    of_id, of_tie = unused(docs, "_id"), unused(docs, "_tie")
+    kept = kept.select(F.col("doc_id").alias(of_id), F.col("tie").alias(of_tie)).distinct()
+    here = same(F.col("doc_id").cast("long"), F.col(of_id)) & (F.xxhash64("text") == F.col(of_tie))
     return docs.join(kept, here, "left_semi")

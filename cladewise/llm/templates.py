@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import SPACE, stored
+from cladewise.llm.common import SPACE, stored, unused
 from cladewise.llm.quality import let
 
 LEADING = 4
@@ -126,30 +126,30 @@ def recurring(docs: DataFrame, parsed: DataFrame, least_docs: int = LEAST_DOCS)
 def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = False) -> DataFrame:
     """The rows with their recurring lines taken out of ``text``; with ``counts`` also ``lines_before`` and ``lines_dropped``."""
     parsed = stored(parsed_lines(docs))
+    key, drop_name, short_name = (unused(docs, k) for k in ("_key", "_drop", "_short"))
     drops = (
         parsed.join(small(recurring(docs, parsed, least_docs).select("line").distinct()), "line")
-        .groupBy(F.col("t").alias("_t"))
-        .agg(F.collect_set("pos").alias("_drop"))
+        .groupBy(F.col("t").alias(key))
+        .agg(F.collect_set("pos").alias(drop_name))
     )
-    joined = docs.join(drops, text_key(F.col("text")) == F.col("_t"), "left")
-    lines, drop = F.split("text", "\n"), F.col("_drop")
+    joined = docs.join(drops, text_key(F.col("text")) == F.col(key), "left")
+    lines, drop, short = F.split("text", "\n"), F.col(drop_name), F.col(short_name)
 
     def shorter(ls: Column) -> Column:
         rest = F.filter(ls, lambda x, i: ~F.array_contains(drop, i))
         return let(rest, lambda r: F.struct(F.array_join(r, "\n").alias("text"), F.size(r).alias("n")))
 
-    short = F.when(drop.isNotNull(), let(lines, shorter))
-    loses = F.length("text") - F.length(F.col("_short.text"))
+    found = joined.withColumn(short_name, F.when(drop.isNotNull(), let(lines, shorter)))
+    loses = F.length("text") - F.length(short["text"])
     dropped = F.coalesce(loses <= MOST_LOSS * F.length("text"), F.lit(False))
-    found = joined.withColumn("_short", short)
     columns = [
-        F.when(dropped, F.col("_short.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
+        F.when(dropped, short["text"]).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
         for c in docs.columns
     ]
     if counts:
         n = F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0)
         columns += [
             n.cast("long").alias("lines_before"),
-            F.when(dropped, n - F.col("_short.n")).otherwise(0).cast("long").alias("lines_dropped"),
+            F.when(dropped, n - short["n"]).otherwise(0).cast("long").alias("lines_dropped"),
         ]
     return found.select(*columns)
