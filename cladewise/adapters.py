@@ -35,13 +35,14 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for n in LINE_NUMBERS
     ]
+    beyond = F.raise_error(F.lit(f"a line number is greater than {LINE_NUMBERS[-1]}"))
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(
             F.concat(F.lit("g"), F.col("l_suppkey").cast("string")).alias("gene"),
             species_name(F.col("l_partkey")).alias("species"),
         )
-        .agg(F.concat(*symbols).alias("seq"))
+        .agg(F.when(F.max("l_linenumber") <= LINE_NUMBERS[-1], F.concat(*symbols)).otherwise(beyond).alias("seq"))
     )
 
 

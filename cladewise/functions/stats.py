@@ -23,13 +23,6 @@ def all_drawn(deck: Column, drawn: Column, wanted: Column) -> Column:
     )
 
 
-def split_probability(
-    total: Column, n_fg: Column, n_bg: Column, fg_pool: Column, bg_pool: Column
-) -> Column:
-    """Foreground drawn inside ``fg_pool``, then background inside ``bg_pool`` of the rest."""
-    return all_drawn(total, n_fg, fg_pool) * all_drawn(total - n_fg, n_bg, bg_pool)
-
-
 def column_pvalue(counts: Column, n_fg: Column, n_bg: Column) -> Column:
     """Chance of a split of the column's symbols between groups of the given sizes.
 

@@ -147,20 +147,11 @@ def column_pvalues(records: DataFrame, n_fg: int, n_bg: int) -> DataFrame:
     )
 
 
-def symbol_species(records: DataFrame, per_part: int = 10_000) -> DataFrame:
-    """Species showing each symbol of each column, gaps included.
-
-    Genes with many species give several rows per symbol, told apart by
-    ``part``, so no list or task grows with the height of an alignment.
-    """
-    heights = broadcast_if_small(species_counts(records), row_bytes=64)
-    parts = F.floor(F.col("n_species") / per_part).cast("int") + 1
-    placed = records.join(heights, "gene").withColumn(
-        "part", F.pmod(F.xxhash64("species"), parts).cast("int")
-    )
+def symbol_species(records: DataFrame) -> DataFrame:
+    """Species showing each symbol of each column, gaps included; one row per symbol at every height."""
     return (
-        cells(placed.drop("n_species"))
-        .groupBy("gene", "pos", "symbol", "part")
+        cells(records)
+        .groupBy("gene", "pos", "symbol")
         .agg(F.sort_array(F.collect_set("species")).alias("species"))
     )
 

@@ -218,9 +218,10 @@ def cycles_to_groups(cycles: DataFrame, fg_label: int = 1) -> DataFrame:
 
 
 def first_cycles(groups: DataFrame, n: int) -> DataFrame:
-    """Groups of cycles ``b_1`` to ``b_n``."""
+    """Groups of the first ``n`` cycles: numbered ones in order of their number, then the others by name."""
     number = F.regexp_extract("trait", r"(\d+)$", 1).try_cast("bigint")
-    return groups.where(number <= n)
+    first = groups.select("trait").distinct().orderBy(number.asc_nulls_last(), "trait").limit(n)
+    return groups.join(first, "trait", "left_semi")
 
 
 def cycle_text(cycles: DataFrame) -> DataFrame:

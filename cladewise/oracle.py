@@ -346,7 +346,7 @@ ORACLE: dict[str, str] = {
     + "SELECT gene, pos, CAST(gaps AS BIGINT) AS gaps, CAST(minority AS BIGINT) AS minority FROM profile "
     "WHERE gaps / total <= 0.5 AND minority >= 20",
     "symbol_species": _with(_LINE_CELLS)
-    + "SELECT gene, pos, symbol, 0 AS part, string_agg(species, ',' ORDER BY species) AS species "
+    + "SELECT gene, pos, symbol, string_agg(species, ',' ORDER BY species) AS species "
     "FROM cells GROUP BY gene, pos, symbol",
     "symbol_traits": _with(_LINE_CELLS, _NATION_GROUPS)
     + "SELECT DISTINCT gene, pos, symbol, trait, grp FROM cells JOIN nation_groups USING (species)",

@@ -39,7 +39,7 @@ def write_bootstrap(rows: DataFrame, path: str) -> None:
 def write_cycle_configs(
     cycles: DataFrame, path: str, n: int | None = None, fg_label: int = 1
 ) -> None:
-    """``species label`` tables, one folder per cycle; ``n`` keeps cycles b_1 to b_n."""
+    """``species label`` tables, one folder per cycle; ``n`` keeps the first n cycles."""
     groups = cycles_to_groups(cycles, fg_label)
     if n is not None:
         groups = first_cycles(groups, n)

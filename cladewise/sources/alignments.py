@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.text import gene_name
 from cladewise.operators.columns import last_record_wins
+from cladewise.sources.files import require_unique
 
 # First words of CLUSTAL-family header lines.
 _CLUSTAL_HEADERS = ("CLUSTAL", "PROBCONS", "MUSCLE", "MSAPROBS", "Kalign", "Biopython")
@@ -106,12 +107,14 @@ def read_alignments(
 ) -> DataFrame:
     """Records of every alignment under ``path``.
 
-    A species named twice in a gene keeps its last record. Looking for such
+    Two files of one gene are an error, as their records would mix. A species
+    named twice in a gene keeps its last record. Looking for such
     names costs one pass over the keys; ``unique_ids=True`` skips it for data
     known to have none.
     """
     if fmt not in _READERS:
         raise ValueError(f"format must be one of {sorted(_READERS)}")
+    require_unique(spark, path, lambda file: file.split(".")[0])
     rows = _READERS[fmt](spark, path).where((F.col("species") != "") & (F.col("seq") != ""))
     if "place" in rows.columns:
         if not unique_ids and has_repeated_ids(rows):

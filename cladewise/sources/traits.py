@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.text import file_name, names_in
 from cladewise.operators.sampling import cycles_to_groups
+from cladewise.sources.files import require_unique
 
 
 def _columns(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -21,7 +22,8 @@ def _label_ok(label: Column) -> Column:
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """One trait per file, ``species label`` lines; other labels and short lines drop out."""
+    """One trait per file, ``species label`` lines; other labels and short lines drop out; file names differ, or the job fails."""
+    require_unique(spark, path)
     rows = _columns(spark, path, r"\s+").where(F.size("c") >= 2)
     return (
         rows.where(_label_ok(F.col("c")[1]))
@@ -88,7 +90,8 @@ def read_bootstrap(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """One tree per file, whatever its line breaks."""
+    """One tree per file, whatever its line breaks; file names differ, or the job fails."""
+    require_unique(spark, path)
     return spark.read.text(path, wholetext=True).select(
         file_name(F.col("_metadata.file_name")).alias("tree"), F.col("value").alias("newick")
     )

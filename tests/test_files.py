@@ -58,6 +58,21 @@ def test_repeated_ids_keep_the_last(spark, tmp_path):
     assert {(r.species, r.seq) for r in rows.collect()} == {("a", "CC"), ("b", "BB")}
 
 
+def test_files_of_one_name_are_an_error(spark, tmp_path):
+    for fmt, text in FORMATS.items():
+        folder = tmp_path / fmt
+        folder.mkdir()
+        for version in ("v1", "v2"):
+            (folder / f"toy.{version}.txt").write_bytes(text.encode())
+        with pytest.raises(ValueError, match="toy"):
+            R.read_alignments(spark, str(folder), fmt)
+    for folder in ("x", "y"):
+        (tmp_path / "traits" / folder).mkdir(parents=True)
+        (tmp_path / "traits" / folder / "one.cfg").write_text("a\t1\n")
+    with pytest.raises(ValueError, match="one.cfg"):
+        G.read_groups(spark, str(tmp_path / "traits" / "*"))
+
+
 def test_unknown_format(spark):
     with pytest.raises(ValueError):
         R.read_alignments(spark, "x", "nexus")

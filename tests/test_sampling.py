@@ -131,3 +131,8 @@ def test_cycles_and_groups_convert(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, cycles.collect()))
     first = S.first_cycles(groups, 10).select("trait").distinct().collect()
     assert {r.trait for r in first} == {f"b_{i}" for i in range(1, 11)}
+
+
+def test_first_cycles_keep_names_without_a_number(spark):
+    groups = spark.createDataFrame([("cycle_b", "x", 1), ("b_2", "x", 1), ("cycle_a", "x", 1)], "trait string, species string, grp int")
+    assert {r.trait for r in S.first_cycles(groups, 2).collect()} == {"b_2", "cycle_a"}
