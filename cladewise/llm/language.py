@@ -66,8 +66,18 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
 
 
-def _buckets(word: str, size: int) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(g) % size for g in grams(word)]
+class _Buckets(dict):
+    """Buckets of n-grams, of which a language has few."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        found = self[gram] = xxhash.xxh3_64_intdigest(gram) % self.size
+        return found
 
 
 def bucket_count(n_languages: int) -> int:
@@ -85,11 +95,17 @@ def gram_counts(labelled: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
+        bucket = _Buckets(size)
 
         def settle(lang: str) -> None:
             into = totals.setdefault(lang, np.zeros(size, dtype=np.int64))
+            places: list[int] = []
+            counts: list[int] = []
             for word, n in words.pop(lang).items():
-                np.add.at(into, _buckets(word, size), n)
+                found = [bucket[g] for g in grams(word)]
+                places += found
+                counts += [n] * len(found)
+            np.add.at(into, places, counts)
 
         for batch in batches:
             for lang, text in zip(*(batch.column(k).to_pylist() for k in ("lang", "text"))):
@@ -113,25 +129,38 @@ class Model:
     """Log probabilities of n-gram buckets for each language, and inference with them."""
 
     def __init__(self, languages: list[str], log_p: np.ndarray) -> None:
-        self.languages, self.log_p = languages, log_p
-        self.known: dict[str, np.ndarray] = {}
+        self.__setstate__((languages, log_p))
 
     def __getstate__(self) -> tuple:
         return self.languages, self.log_p
 
     def __setstate__(self, state: tuple) -> None:
         self.languages, self.log_p = state
-        self.known = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Scaled log-likelihood of a word under each language."""
-        found = self.known.get(word)
-        if found is None:
-            found = SHARPNESS * self.log_p[_buckets(word, len(self.log_p))].mean(axis=0)
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.bucket = _Buckets(len(self.log_p))
+        self.forget(0)
+
+    def forget(self, room: int) -> None:
+        """Start afresh with the words that a worker remembers, with place for so many rows."""
+        self.known: dict[str, int] = {}
+        self.rows = np.empty((room, len(self.languages)), dtype=np.float32)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scaled log-likelihood of words under each language, a row for each."""
+        new = [w for w in words if w not in self.known]
+        if new and len(self.known) + len(new) > MEMORY:
+            self.forget(0)
+            new = words
+        if new:
+            places = [[self.bucket[g] for g in grams(w)] for w in new]
+            sizes = np.array([len(p) for p in places])
+            rows = self.log_p[np.concatenate(places)]
+            sums = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+            first = len(self.known)
+            if first + len(new) > len(self.rows):
+                self.rows = np.vstack([self.rows[:first], np.empty((first + 2 * len(new), sums.shape[1]), np.float32)])
+            self.rows[first : first + len(new)] = SHARPNESS * sums / sizes[:, None]
+            self.known.update(zip(new, range(first, first + len(new))))
+        return self.rows[[self.known[w] for w in words]]
 
     def infer(self, text: str | None) -> tuple[str, float, list[float]]:
         """The main language, its share, and all shares in order of the languages."""
@@ -139,7 +168,7 @@ class Model:
         counts = Counter(pieces(text)) if n else Counter()
         if not counts:
             return UNKNOWN, 0.0, [0.0] * n
-        logs = np.array([self.word(w) for w in counts])
+        logs = self.words(list(counts)).astype(np.float64)
         weights = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
         top = logs.max(axis=1)
         likelihood = np.exp(logs - top[:, None])
