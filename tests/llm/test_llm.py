@@ -10,6 +10,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
@@ -423,3 +424,12 @@ def test_pipeline(spark, sf_dir, docs):
     for r in P.run(spark, sf_dir).collect():
         got[r.doc_id] += r.length
     assert got == expected and 0 < len(got) < len(docs)
+
+
+def test_item_on_both_sides_of_a_chunk_of_windows_counts_once():
+    """Windows are compared in chunks of 4096; an item at their border is one match of its text."""
+    item = " ".join(f"word{i}" for i in range(40))
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((decontam.FEATURES, decontam.RANK)))[0]
+    model = decontam.Model([(1, item)], basis, np.ones(decontam.FEATURES))
+    filler = " ".join(f"other{i % 50}" for i in range(4095 * decontam.STEP + 8))
+    assert [m["item_id"] for m in model.matches([f"{filler} {item} {filler}"])[0]] == [1]
