@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from cladewise.llm import chat, decontam, language, neardup, packing, quality, templates, tokenfile, tokens, warc
 from cladewise.llm.common import count_words, shared_folder, table
+from cladewise.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -77,4 +80,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
