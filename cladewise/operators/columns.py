@@ -133,12 +133,25 @@ def slice_columns(
     return column_profile(records, ragged).where(kept_column(threshold, max_gap_ratio))
 
 
-def column_pvalues(records: DataFrame, n_fg: int, n_bg: int) -> DataFrame:
-    """P-value of every column for fixed group sizes."""
+def column_pvalues(
+    records: DataFrame,
+    n_fg: int,
+    n_bg: int,
+    max_gap_ratio: float = DEFAULT_MAX_GAP_RATIO,
+    ragged: bool = False,
+) -> DataFrame:
+    """P-value of every column worth testing, for fixed group sizes; the smaller one is the minority threshold."""
+    symbols = (
+        cells(records.select("gene", "seq"))
+        .groupBy("gene", "pos", "symbol")
+        .agg(F.count("*").alias("n"))
+    )
+    # One number for each symbol of the alphabet.
+    counts = F.sort_array(F.collect_list(F.when(F.col("symbol") != GAP, F.col("n"))))
+    columns = symbols.groupBy("gene", "pos").agg(*profile_aggregates(), counts.alias("counts"))
     return (
-        symbol_histogram(records)
-        .groupBy("gene", "pos")
-        .agg(F.sort_array(F.collect_list("n")).alias("counts"))
+        finish_profile(columns, records, ragged)
+        .where(kept_column(min(n_fg, n_bg), max_gap_ratio))
         .select(
             "gene",
             "pos",

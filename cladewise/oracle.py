@@ -361,9 +361,11 @@ ORACLE: dict[str, str] = {
     + "SELECT gene, pos, trait, array_to_string(fgs, '') || '/' || array_to_string(bgs, '') AS tag, is_hit, pattern, "
     "is_hit AND pattern IN (1, 2, 3) AS admitted FROM judged",
     "position_pvalue": _with(_LINE_CELLS, _PROFILE, _pvalue("solid_hist", "4", "3", "gene, pos"))
-    + "SELECT gene, pos, pvalue FROM pvalues",
+    + "SELECT gene, pos, pvalue FROM pvalues JOIN profile USING (gene, pos) "
+    "WHERE gaps / total <= 0.5 AND minority >= 3",
     "position_pvalue_even": _with(_LINE_CELLS, _PROFILE, _pvalue("solid_hist", "3", "3", "gene, pos"))
-    + "SELECT gene, pos, pvalue FROM pvalues",
+    + "SELECT gene, pos, pvalue FROM pvalues JOIN profile USING (gene, pos) "
+    "WHERE gaps / total <= 0.5 AND minority >= 3",
     "discovery": _discovery(_LINE_CELLS, _SIZE_GROUPS, "size_groups"),
     "batch_discovery": _BATCH,
     "bounded_discovery": _discovery(

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import brute
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions import text
 from cladewise.functions.bounds import Bounds
-from cladewise.functions.stats import column_pvalue
+from cladewise.functions.stats import all_drawn, column_pvalue
 from cladewise.functions.verdict import parse_patterns
 from cladewise.operators import columns as C
 from cladewise.operators import evidence as E
@@ -29,6 +30,25 @@ def test_pvalue_against_exact_fractions(spark):
         assert r.p == pytest.approx(brute.pvalue(r.counts, r.f, r.b), rel=1e-9, abs=1e-15)
 
 
+def test_chances_in_decks_of_any_size(spark):
+    cases = [(1_500_003, 1_000_000, 1_500_000), (2_000_000, 3, 1_999_990), (60_000, 20_000, 59_999), (40, 40, 40), (9, 0, 4), (9, 5, 4)]
+    df = spark.createDataFrame(cases, "deck bigint, drawn bigint, wanted bigint")
+    for r in df.select("*", all_drawn(F.col("deck"), F.col("drawn"), F.col("wanted")).alias("p")).collect():
+        if r.wanted < r.drawn:
+            assert r.p == 0
+        else:
+            logs = (math.log1p((r.wanted - r.deck) / (r.deck - i)) for i in range(r.drawn))
+            assert r.p == pytest.approx(math.exp(math.fsum(logs)), rel=1e-9)
+
+
+def test_pvalues_of_columns_worth_testing(spark):
+    seqs = ["AAA-", "AAC-", "ACC-", "ACCC"]
+    records = spark.createDataFrame([("g", f"s{i}", q) for i, q in enumerate(seqs)], RECORDS)
+    rows = {r.pos: r.pvalue for r in C.column_pvalues(records, 1, 1).collect()}
+    expected = {p: pytest.approx(brute.pvalue(n, 1, 1)) for p, n in ((1, [2, 2]), (2, [1, 3]))}
+    assert rows == expected
+
+
 def test_two_symbols_of_unequal_groups_count_twice(spark):
     df = spark.createDataFrame([([6, 4],)], "counts array<bigint>")
     p = df.select(column_pvalue(F.col("counts"), F.lit(3), F.lit(2))).first()[0]
