@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions.text import gene_name
@@ -48,12 +48,65 @@ def _fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``number``, the place of a row in its file from 0, and ``total``, the file's rows.
+
+    Rows are ranked inside each split of a file and shifted by the splits before,
+    so a file is never ranked by a single task.
+    """
+    rows = rows.withColumn("start", F.col("place.start"))
+    splits = rows.groupBy("gene", "start").agg(F.count("*").alias("n"))
+    file = Window.partitionBy("gene")
+    before = file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "gene",
+        "start",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.sum("n").over(file).alias("total"),
+    )
+    rank = F.row_number().over(Window.partitionBy("gene", "start").orderBy("place.nth"))
+    return (
+        rows.withColumn("rank", rank)
+        .join(offsets, ["gene", "start"])
+        .withColumn("number", F.col("offset") + F.col("rank") - 1)
+    )
+
+
 def _phylip_relaxed(spark: SparkSession, path: str) -> DataFrame:
-    rows = _lines(spark, path).where(~F.col("value").rlike(r"^\s*\d+\s+\d+\s*$"))
-    return rows.select(
+    """Records on one line each or in interleaved blocks, of which the first has the names.
+
+    The counts in the first line say how many lines a block has; a file that
+    they do not fit fails the read.
+    """
+    rows = _numbered(_lines(spark, path).where(F.col("value").rlike(r"\S")))
+
+    def header(nth: int) -> Column:
+        return F.regexp_extract("value", r"^\s*(\d+)\s+(\d+)\s*$", nth).try_cast("bigint")
+
+    heads = rows.where(F.col("number") == 0).select(
+        "gene", F.nullif(header(1), F.lit(0)).alias("n_records"), header(2).alias("n_columns")
+    )
+
+    def unless(bad: Column, why: str, value: Column) -> Column:
+        error = F.raise_error(F.concat(F.lit(why), F.lit(" in the file of gene '"), F.col("gene"), F.lit("'")))
+        return F.when(F.coalesce(bad, F.lit(True)), error).otherwise(value)
+
+    uneven = (F.col("total") - 1) % F.col("n_records") != 0
+    lines = rows.where(F.col("number") > 0).join(heads, "gene").withColumn(
+        "line", unless(uneven, "lines do not fit the counts in the first line", F.col("number") - 1)
+    )
+    named = F.col("line") < F.col("n_records")
+    segment = F.when(named, F.regexp_extract("value", r"^\s*\S+\s+(.*)$", 1)).otherwise(F.col("value"))
+    records = lines.groupBy("gene", (F.col("line") % F.col("n_records")).alias("place")).agg(
+        F.max(F.when(named, F.regexp_extract("value", r"^\s*(\S+)", 1))).alias("species"),
+        F.sort_array(F.collect_list(F.struct("line", _without_blanks(segment).alias("segment")))).alias("parts"),
+        F.max("n_columns").alias("n_columns"),
+    )
+    seq = F.array_join(F.transform("parts", lambda p: p["segment"]), "")
+    return records.select("gene", "species", seq.alias("seq"), "place", "n_columns").select(
         "gene",
-        F.regexp_extract("value", r"^\s*(\S+)\s", 1).alias("species"),
-        _without_blanks(F.regexp_extract("value", r"^\s*\S+\s+(.*)$", 1)).alias("seq"),
+        "species",
+        unless(F.length("seq") != F.col("n_columns"), "a sequence is not as long as told", F.col("seq")).alias("seq"),
         "place",
     )
 

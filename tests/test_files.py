@@ -39,6 +39,30 @@ def test_alignment_formats(spark, tmp_path, fmt):
     assert R.ragged_genes(rows).count() == 0
 
 
+def test_interleaved_phylip(spark, tmp_path):
+    names = [f"s{i}" for i in range(40)]
+    blocks = [[f"{'ACDE'[(i + b) % 4] * 5} {'KLMN'[(i + b) % 4] * 5}" for i in range(40)] for b in range(6)]
+    lines = ["40 60"] + [f"{s}  {q}" for s, q in zip(names, blocks[0])]
+    for block in blocks[1:]:
+        lines += ["", *("   " + q for q in block)]
+    (tmp_path / "g.phy").write_text("\n".join(lines) + "\n")
+    expected = {(s, "".join(b[i].replace(" ", "") for b in blocks)) for i, s in enumerate(names)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "501")
+    try:
+        rows = R.read_alignments(spark, str(tmp_path / "g.phy"), "phylip-relaxed")
+        assert {(r.species, r.seq) for r in rows.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", ("2 8\na ACDE\nb ACDE\n", "3 4\na ACDE\nb ACDE\n", "a ACDE\nb ACDE\n"))
+def test_phylip_that_does_not_fit_its_counts_fails(spark, tmp_path, text):
+    (tmp_path / "g.phy").write_text(text)
+    with pytest.raises(Exception, match="in the file of gene 'g'"):
+        R.read_alignments(spark, str(tmp_path), "phylip-relaxed").collect()
+
+
 def test_fasta_across_file_splits(spark, tmp_path):
     records = {f"s{i}": "ACDE"[i % 4] * 500 for i in range(300)}
     (tmp_path / "big.fa").write_text("".join(f">{s}\n{q[:250]}\n{q[250:]}\n" for s, q in records.items()))
