@@ -156,6 +156,7 @@ def _selected(strategy: str) -> Query:
             A.size_groups(spark, sf),
             strategy,
             SEED,
+            allow_short=True,  # some cycles of these tables have fewer candidates than the template
         )
         return S.cycle_text(S.cycle_lists(groups))
 

@@ -160,12 +160,14 @@ def select_by_value(
     template: DataFrame,
     strategy: str = "random",
     seed: int = 0,
+    allow_short: bool = False,
 ) -> DataFrame:
     """Groups per cycle among the value-matched candidates.
 
     ``inner`` takes the highest foreground and lowest background candidates,
     ``edges`` the reverse, ``random`` draws both groups independently, so they
-    may overlap. Group sizes are the template's.
+    may overlap. Group sizes are the template's; a cycle with fewer candidates
+    fails the job, or with ``allow_short`` keeps those it has.
     """
     sizes = template.agg(
         F.count_if(F.col("grp") == 1).alias("fg"), F.count_if(F.col("grp") == 0).alias("bg")
@@ -179,15 +181,27 @@ def select_by_value(
     }
     if strategy not in keys:
         raise ValueError(f"strategy must be one of {sorted(keys)}")
-    order = Window.partitionBy("cycle", "grp").orderBy(keys[strategy], "species")
-    ranked = value_candidates(permuted, values, template).withColumn(
-        "rank", F.row_number().over(order)
-    )
+    # A nameless candidate stands behind all others of each group; it is chosen only where they are too few.
+    nameless = permuted.select("cycle").distinct().select(
+        "cycle", F.explode(F.array(F.lit(1), F.lit(0))).alias("grp")
+    )
+    candidates = value_candidates(permuted, values, template)
+    if not allow_short:
+        candidates = candidates.unionByName(nameless, allowMissingColumns=True)
+    order = Window.partitionBy("cycle", "grp").orderBy(
+        F.col("species").isNull(), keys[strategy], "species"
+    )
+    ranked = candidates.withColumn("rank", F.row_number().over(order))
+    too_few = F.concat(F.lit("too few candidates in cycle '"), F.col("cycle").cast("string"), F.lit("'"))
     # The literal bound lets Spark keep the first n per group before it shuffles.
     return (
         ranked.where(F.col("rank") <= max(sizes["fg"], sizes["bg"]))
         .where(F.col("rank") <= F.when(is_fg, sizes["fg"]).otherwise(sizes["bg"]))
-        .select(F.col("cycle").alias("trait"), "species", "grp")
+        .select(
+            F.col("cycle").alias("trait"),
+            F.coalesce("species", F.raise_error(too_few)).alias("species"),
+            "grp",
+        )
     )
 
 

@@ -105,6 +105,15 @@ def test_value_strategies(spark):
         pick("outer", template)
 
 
+@pytest.mark.parametrize("value", (9.0, 1.0))
+def test_value_groups_that_stay_short_fail(spark, value):
+    permuted = spark.createDataFrame([("b_1", "p", value), ("b_1", "q", 2.0)], "cycle string, species string, value double")
+    values = spark.createDataFrame([("x", 9.0), ("y", 5.0), ("z", 2.0)], "species string, value double")
+    template = spark.createDataFrame([("t", "x", 1), ("t", "y", 1), ("t", "z", 0)], GROUPS)
+    with pytest.raises(Exception, match="too few candidates in cycle 'b_1'"):
+        S.select_by_value(permuted, values, template, "inner").collect()
+
+
 def test_strategies_order_their_candidates(spark):
     permuted = spark.createDataFrame(
         [("b_1", f"s{i}", float(v)) for i, v in enumerate((1, 1, 2, 2, 3, 3))],
