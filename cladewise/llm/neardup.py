@@ -2,8 +2,8 @@
 
 Texts become sets of hashed word shingles, and equal sets one node. Signatures of
 ``HASHES`` minima are cut into ``BANDS`` bands; nodes that agree in a whole band
-are candidates. At the threshold of 0.85 a pair has no such band with probability
-2e-8. Candidates are verified batch by batch: after each batch of hashes the
+are candidates. A pair at the threshold has no such band with probability 2e-8, for a
+``Rule`` of 0.85 and 30 bands as for one of 0.8 and 45. Candidates are verified batch by batch: after each batch of hashes the
 posterior of the similarity (uniform prior) gives the probability that it reaches
 the threshold, and pairs below ``MISS`` are given up. What survives is verified on
 the full sets; only such links count.
@@ -30,7 +30,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,6 @@ from cladewise.llm.common import byte_words, same, stored, unused
 SHINGLE = 3
 PERCENT = 85
 ROWS, BANDS = 5, 30
-HASHES = ROWS * BANDS
 BATCH = 30
 MISS = 1e-6
 LEADERS = 3
@@ -54,6 +55,23 @@ FEW = 64
 BROADCAST_IDS = 1_000_000
 MEMORY = 500_000
 
+
+class Rule(NamedTuple):
+    """Words of a shingle, least similarity in percent, bands of ``ROWS`` hashes."""
+
+    size: int = SHINGLE
+    percent: int = PERCENT
+    bands: int = BANDS
+
+    @property
+    def hashes(self) -> int:
+        return ROWS * self.bands
+
+
+#: The rule of the query op8, and that of the pipeline's stages.
+QUERY = Rule()
+STAGE = Rule(5, 80, 45)
+
 _WORDS: dict[bytes, int] = {}
 
 
@@ -93,31 +111,31 @@ def node_of(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def _hash_family() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache
+def _hash_family(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(8)
-    a = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+    a = rng.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
 
 
-_A, _B = _hash_family()
-
-
-def signature(shingles: np.ndarray) -> bytes:
+def signature(shingles: np.ndarray, rule: Rule = QUERY) -> bytes:
     """The minima of all hash functions, 32 bits each."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    a, b = _hash_family(rule.hashes)
+    low = np.full(rule.hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
-        np.minimum(low, (_mixed(shingles[at : at + 1024])[:, None] * _A + _B).min(axis=0), out=low)
+        np.minimum(low, (_mixed(shingles[at : at + 1024])[:, None] * a + b).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def least_matches() -> dict[int, int]:
+@lru_cache
+def least_matches(rule: Rule = QUERY) -> dict[int, int]:
     """Matches among n hashes below which a pair reaches the threshold with a probability under MISS.
 
     With a uniform prior the similarity after m of n matches is Beta(m + 1, n - m + 1),
     whose upper tail at t is the chance of at most m heads in n + 1 throws.
     """
-    t, found = PERCENT / 100, {}
-    for n in range(BATCH, HASHES + 1, BATCH):
+    t, found = rule.percent / 100, {}
+    for n in range(BATCH, rule.hashes + 1, BATCH):
         tail, m = 0.0, 0
         while True:
             tail += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
@@ -128,9 +146,9 @@ def least_matches() -> dict[int, int]:
     return found
 
 
-def open_pairs(left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def open_pairs(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, rule: Rule = QUERY) -> np.ndarray:
     """The pairs (rows of left and right) that no batch of hashes rules out."""
-    needed = least_matches()
+    needed = least_matches(rule)
     matches = np.zeros(len(pairs), dtype=np.int64)
     for n, least in needed.items():
         part = slice(n - BATCH, n)
@@ -140,12 +158,12 @@ def open_pairs(left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> np.nda
     return pairs
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, rule: Rule = QUERY) -> bool:
     """Whether two full sets reach the threshold."""
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+    if 100 * min(len(x), len(y)) < rule.percent * max(len(x), len(y)):
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= rule.percent * (len(x) + len(y) - both)
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -165,20 +183,22 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+def linked_pairs(
+    left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray, rule: Rule = QUERY
+) -> np.ndarray:
     """The pairs whose full sets reach the threshold."""
     if len(pairs) <= FEW:
-        true = [linked(left[i], right[j]) for i, j in pairs]
+        true = [linked(left[i], right[j], rule) for i, j in pairs]
         return pairs[np.array(true, dtype=bool)] if len(pairs) else pairs
     both = common_counts(left, right)[pairs[:, 0], pairs[:, 1]]
     sizes = np.array([len(s) for s in left])[pairs[:, 0]] + np.array([len(s) for s in right])[pairs[:, 1]]
-    return pairs[100 * both >= PERCENT * (sizes - both)]
+    return pairs[100 * both >= rule.percent * (sizes - both)]
 
 
-def bucket_keys(sigs: np.ndarray) -> np.ndarray:
+def bucket_keys(sigs: np.ndarray, rule: Rule = QUERY) -> np.ndarray:
     """The buckets of each signature, a column for each band."""
-    sigs = sigs.astype(np.uint64).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sigs.shape[:2])
+    sigs = sigs.astype(np.uint64).reshape(-1, rule.bands, ROWS)
+    key = np.broadcast_to(np.arange(1, rule.bands + 1, dtype=np.uint64), sigs.shape[:2])
     for i in range(ROWS):
         key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sigs[:, :, i])
     return key.view(np.int64)
@@ -187,21 +207,21 @@ def bucket_keys(sigs: np.ndarray) -> np.ndarray:
 # --- Spark -----------------------------------------------------------------
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """``doc_id, tie, n_shingles, node, sig`` of every row; ``tie`` tells rows of one id apart by their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t) for t in part.column(2).to_pylist()]
+                sets = [shingle_set(t, rule.size) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([node_of(s) for s in sets], pa.binary()),
-                        pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([signature(s, rule) if len(s) else None for s in sets], pa.binary()),
                     ],
                     ["doc_id", "tie", "n_shingles", "node", "sig"],
                 )
@@ -210,7 +230,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tie long, n_shingles long, node binary, sig binary")
 
 
-def banded(nodes: DataFrame) -> DataFrame:
+def banded(nodes: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """``bucket, node``: a row for each band of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +239,15 @@ def banded(nodes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1024)
                 if not part.num_rows:
                     continue
-                key = bucket_keys(_matrix(part.column(1).to_pylist()))
-                node = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
+                key = bucket_keys(_matrix(part.column(1).to_pylist()), rule)
+                node = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), rule.bands)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), node], ["bucket", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "bucket long, node binary")
 
 
 def _matrix(sigs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), dtype="<u4").reshape(len(sigs), HASHES)
+    return np.frombuffer(b"".join(sigs), dtype="<u4").reshape(len(sigs), -1)
 
 
 def _set(value: pa.Scalar) -> np.ndarray:
@@ -252,7 +272,7 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def unpruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def unpruned(pairs: DataFrame, nodes: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """Pairs ``a, b`` that survive the comparison of their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +281,7 @@ def unpruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if n:
                 same_row = np.repeat(np.arange(n), 2).reshape(n, 2)
                 left, right = (_matrix(batch.column(k).to_pylist()) for k in ("sig_a", "sig_b"))
-                alive = open_pairs(left, right, same_row)[:, 0]
+                alive = open_pairs(left, right, same_row, rule)[:, 0]
                 yield batch.select(["a", "b"]).take(pa.array(alive))
 
     joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(
@@ -270,12 +290,12 @@ def unpruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            true = [linked(_set(x), _set(y)) for x, y in zip(batch.column(2), batch.column(3))]
+            true = [linked(_set(x), _set(y), rule) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(true, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
@@ -284,13 +304,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """``node, set`` of all nodes that have a candidate, from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t) for t in batch.slice(at, 256).column(0).to_pylist()]
+                sets = [shingle_set(t, rule.size) for t in batch.slice(at, 256).column(0).to_pylist()]
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -335,7 +355,9 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining_links(
+    members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule = QUERY
+) -> DataFrame:
     """Verified links between different components that share a bucket, one for each two components and pair of blocks.
 
     In each bucket the members outside its largest component, in blocks, meet all
@@ -384,7 +406,7 @@ def remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, set
         found: list[tuple[bytes, bytes]] = []
         for (bucket, _, _), group in groupby(rows, key=lambda r: r[:3]):
             held = list(group)
-            found += block_links(bucket, [r for r in held if r[3] != 1], [r for r in held if r[3] != 0])
+            found += block_links(bucket, [r for r in held if r[3] != 1], [r for r in held if r[3] != 0], rule)
             if len(found) > 5000:
                 yield _pairs_batch(found)
                 found = []
@@ -394,7 +416,9 @@ def remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, set
     return work.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def block_links(bucket: int, left: list[tuple], right: list[tuple]) -> list[tuple[bytes, bytes]]:
+def block_links(
+    bucket: int, left: list[tuple], right: list[tuple], rule: Rule = QUERY
+) -> list[tuple[bytes, bytes]]:
     """Links of two blocks' rows ``bucket, i, j, side, node, label, sig, set`` that join components."""
     if not left or not right:
         return []
@@ -404,16 +428,16 @@ def block_links(bucket: int, left: list[tuple], right: list[tuple]) -> list[tupl
     if not len(pairs):
         return []
     sa, sb = (_matrix([r[6] for r in side]) for side in (left, right))
-    pairs = np.concatenate([open_pairs(sa, sb, pairs[k : k + 50_000]) for k in range(0, len(pairs), 50_000)])
+    pairs = np.concatenate([open_pairs(sa, sb, pairs[k : k + 50_000], rule) for k in range(0, len(pairs), 50_000)])
     if not len(pairs):
         return []
-    ka, kb = bucket_keys(sa), bucket_keys(sb)
+    ka, kb = bucket_keys(sa, rule), bucket_keys(sb, rule)
     first = np.concatenate(
         [(ka[p[:, 0]] == kb[p[:, 1]]).argmax(axis=1) for p in np.array_split(pairs, 1 + len(pairs) // 50_000)]
     )
     pairs = pairs[ka[pairs[:, 0], first] == bucket]
     xa, xb = ([np.frombuffer(r[7], dtype=np.uint64) for r in side] for side in (left, right))
-    true = linked_pairs(xa, xb, pairs)
+    true = linked_pairs(xa, xb, pairs, rule)
     joins = {tuple(sorted((int(la[i]), int(lb[j])))): (i, j) for i, j in true.tolist()}
     found = ((left[i][4], right[j][4]) for i, j in joins.values())
     return [(x, y) if x < y else (y, x) for x, y in found]
@@ -423,19 +447,24 @@ def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, tie, n_shingles, component_id`` of every row."""
-    rows = stored(signed(docs))
+def labelled(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
+    """``doc_id, tie, n_shingles, label`` of every row; rows of one group have one label, texts without words none."""
+    rows = stored(signed(docs, rule))
     nodes = stored(rows.where("node is not null").select("node", "sig").dropDuplicates(["node"]))
-    bands = banded(nodes)
+    bands = banded(nodes, rule)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stored(bands.join(shared, "bucket"))
-    sets = stored(full_sets(docs, rows, members))
-    links = stored(confirmed(unpruned(leader_pairs(members), nodes), sets))
-    more = stored(remaining_links(members, components(links), nodes, sets))
+    sets = stored(full_sets(docs, rows, members, rule))
+    links = stored(confirmed(unpruned(leader_pairs(members), nodes, rule), sets, rule))
+    more = stored(remaining_links(members, components(links), nodes, sets, rule))
     labels = components(links.union(more))
     placed = rows.select("doc_id", "tie", "n_shingles", "node").join(labels, "node", "left")
-    placed = placed.withColumn("label", F.coalesce("label", "node")).drop("node")
+    return placed.withColumn("label", F.coalesce("label", "node")).drop("node")
+
+
+def classes(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
+    """``doc_id, tie, n_shingles, component_id`` of every row."""
+    placed = labelled(docs, rule)
     first = placed.where("label is not null").groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("first_id"))
     return placed.join(first, F.col("label") == F.col("of"), "left").select(
         "doc_id",
@@ -452,9 +481,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """One document of each group, the one of the smallest id; columns stay as they are."""
-    kept = classes(docs).where(same(F.col("doc_id"), F.col("component_id")))
+    kept = classes(docs, rule).where(same(F.col("doc_id"), F.col("component_id")))
     of_id, of_tie = unused(docs, "_id"), unused(docs, "_tie")
     kept = kept.select(F.col("doc_id").alias(of_id), F.col("tie").alias(of_tie)).distinct()
     here = same(F.col("doc_id").cast("long"), F.col(of_id)) & (F.xxhash64("text") == F.col(of_tie))

@@ -27,8 +27,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id stays."""
-    return neardup.keep_one(docs)
+    """Of near duplicates, five-word shingles and a similarity of 0.8, the document with the smallest id stays."""
+    return neardup.keep_one(docs, neardup.STAGE)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -373,6 +373,19 @@ def test_neardup_in_a_hot_group_near_the_threshold(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_pipeline_takes_near_duplicates_by_five_words_and_80_percent(spark):
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(200)]
+    spread = [f"x{i}" if i % 40 == 20 else w for i, w in enumerate(words)]
+    texts = {1: words, 2: words + [f"more{i}" for i in range(40)], 3: [f"v{w}" for w in words], 4: [f"v{w}" for w in spread]}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    stage = dict(P.STAGES)["minhash_neardup"]
+    # 1 and 2 have a similarity of 0.83 in both sizes; 3 and 4 0.86 in threes and 0.77 in fives.
+    assert {r.doc_id for r in stage(spark, frame, "").collect()} == {1, 3, 4}
+    assert {r.doc_id for r in neardup.keep_one(frame).collect()} == {1, 2, 3}
+
+
 # --- 9 ---------------------------------------------------------------------
 
 
