@@ -13,6 +13,17 @@ recur. A document that would lose more than half of its characters is a near
 copy of others and no carrier of boilerplate: it is left whole for near-duplicate
 removal. Lines of fewer than ``LEAST_TOKENS`` tokens and blank lines stay.
 
+This is the query op5. The pipeline's stage, ``drop_boilerplate``, judges by other
+rules. A leaf holds any number of templates: of the tokens behind the leading ones
+a line may have ``1 - REST_AGREE`` as variable fields, those that fewest texts of
+the leaf have at that place, and lines that then say the same form a template.
+This is repeated on the lines left over until nothing recurs any more. The
+support of a line or template is the number of near-duplicate groups, as the
+next stage takes them, whose texts have it, so copies do not make each other's
+lines recur and no text is left whole. The longer a line, the fewer groups it
+needs (``SUPPORT``); scripts without spaces are measured by characters. Lines
+without a letter outside of variable fields are layout or data and stay.
+
 All counts are sums that the map tasks begin, so a leaf, line or token that a
 third of all documents share is no more than one row of each task.
 
@@ -22,9 +33,10 @@ their text alone, so ids may be null or repeat. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.llm import neardup
 from cladewise.llm.common import SPACE, stored, unused
 from cladewise.llm.quality import let
 
@@ -36,6 +48,14 @@ FIELD = "<*>"
 FIXED = 0.5
 AGREE = 0.8
 MOST_LOSS = 0.5
+#: The stage: share of the tokens behind the leading ones that a template has fixed, words and the groups
+#: that lines of as many need; shorter lines need ``MOST_SUPPORT``.
+REST_AGREE = 0.7
+SUPPORT = [(3, 10)]
+MOST_SUPPORT = 1 << 30
+#: Tokens longer than this on average are no words; so many characters count as one then.
+LONG_TOKEN = 12
+WORD_CHARS = 4
 #: A table of this size at most, counted first, is sent to all executors.
 BROADCAST_ROWS = 500_000
 
@@ -123,33 +143,134 @@ def recurring(docs: DataFrame, parsed: DataFrame, least_docs: int = LEAST_DOCS)
     return of_lines.join(kept.select("template"), "template", "left_semi").select("line", "template")
 
 
-def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = False) -> DataFrame:
-    """The rows with their recurring lines taken out of ``text``; with ``counts`` also ``lines_before`` and ``lines_dropped``."""
-    parsed = stored(parsed_lines(docs))
+def sized_lines(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
+    """``t, pos, leaf, line, n, need`` of the lines with a letter: ``n`` tokens, and the support that makes them recur."""
+    lines = docs.where(F.col("text") != "").select(
+        text_key(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
+    )
+
+    def places(w: Column) -> Column:
+        n = F.size(w)
+        said = F.array_join(w, "")
+        fields = [
+            n.alias("n"),
+            F.xxhash64(n, F.slice(w, 1, LEADING)).alias("leaf"),
+            F.xxhash64(n, w).alias("line"),
+            F.length(said).alias("chars"),
+            said.rlike(r"\p{L}").alias("speaks"),
+        ]
+        return F.struct(*fields, *([w.alias("tokens")] if with_tokens else []))
+
+    found = lines.select("t", "pos", let(tokens(F.col("raw")), places).alias("p")).where("p.speaks")
+    n, chars = F.col("p.n"), F.col("p.chars")
+    words = F.when(chars > LONG_TOKEN * n, F.greatest(n, chars / WORD_CHARS)).otherwise(n)
+    need = F.lit(MOST_SUPPORT)
+    for least, groups in reversed(SUPPORT):
+        need = F.when(words >= least, groups).otherwise(need)
+    return found.select("t", "pos", "p.leaf", "p.line", "p.n", need.alias("need"), *(["p.tokens"] if with_tokens else []))
+
+
+def of_templates(said: DataFrame, seen: DataFrame) -> DataFrame:
+    """``line``: the lines of ``said`` (``leaf, line, docs, need, tokens``) whose template recurs among them."""
+    cells = said.select("leaf", "line", "docs", "need", F.posexplode("tokens").alias("at", "token")).where(
+        (F.col("at") >= LEADING) & (F.col("token") != FIELD)
+    )
+    common = small(cells.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("d")))
+    every = Window.partitionBy("line")
+    rarest = every.orderBy("d", "at")
+    place = F.xxhash64("at", "token")
+    masked = cells.join(common, ["leaf", "at", "token"]).select(
+        "leaf",
+        "line",
+        "docs",
+        "need",
+        (F.row_number().over(rarest) - 1).alias("fields"),
+        F.count("*").over(every).alias("rest"),
+        # The places and tokens that stay fixed when the cells before this one are fields.
+        F.bit_xor(place).over(every).bitwiseXOR(F.bit_xor(place).over(rarest)).bitwiseXOR(place).alias("fixed"),
+    )
+    keyed = stored(
+        masked.where(F.col("fields") <= F.floor((1 - REST_AGREE) * F.col("rest") + 1e-9)).select(
+            F.xxhash64("leaf", "fixed").alias("template"), "line", "docs", "need"
+        )
+    )
+    often = keyed.groupBy("template").agg(F.sum("docs").alias("most"), F.max("need").alias("need"))
+    often = often.where(F.col("most") >= F.col("need")).select("template", "need")
+    keyed = small(keyed.select("template", "line").join(often, "template"))
+    kept = (
+        seen.join(keyed, "line")
+        .groupBy("template", "need")
+        .agg(F.count_distinct("g").alias("groups"))
+        .where(F.col("groups") >= F.col("need"))
+    )
+    return keyed.join(kept.select("template"), "template", "left_semi").select("line").distinct()
+
+
+def boilerplate(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``line``: the lines that recur, or whose template does, in enough near-duplicate groups."""
+    labels = neardup.labelled(docs, neardup.STAGE).where("label is not null")
+    groups = small(labels.groupBy(F.col("tie").alias("t")).agg(F.xxhash64(F.min("label")).alias("g")))
+    seen = stored(parsed.join(groups, "t").select("g", "leaf", "line", "n", "need").distinct())
+    lines = stored(seen.groupBy("leaf", "line", "n", "need").agg(F.count("*").alias("docs")))
+    found = stored(lines.where(F.col("docs") >= F.col("need")).select("line"))
+    # Lines of fewer tokens have no room for a variable field.
+    roomy = lines.where(F.floor((1 - REST_AGREE) * (F.col("n") - LEADING) + 1e-9) >= 1)
+    mixed = roomy.groupBy("leaf").agg(
+        F.sum("docs").alias("all"), F.count("*").alias("n_lines"), F.min("need").alias("least"), F.max(F.col("docs") < F.col("need")).alias("open")
+    )
+    mixed = mixed.where((F.col("n_lines") > 1) & (F.col("all") >= F.col("least")) & F.col("open")).select("leaf")
+    open_lines = small(roomy.join(small(mixed), "leaf", "left_semi").select("line", "docs"))
+    left = stored(
+        sized_lines(docs, with_tokens=True)
+        .join(open_lines, "line")
+        .groupBy("leaf", "line", "docs", "need")
+        .agg(F.first("tokens").alias("tokens"))
+    )
+    while not (more := stored(of_templates(left, seen.select("g", "line")))).isEmpty():
+        found = found.union(more)
+        left = left.join(small(more), "line", "left_anti")
+    return found.distinct()
+
+
+def cut(docs: DataFrame, parsed: DataFrame, lines: DataFrame, most_loss: float, counts: bool = False) -> DataFrame:
+    """The rows without the given lines; those that would lose more than a share of ``most_loss`` stay as they are."""
     key, drop_name, short_name = (unused(docs, k) for k in ("_key", "_drop", "_short"))
     drops = (
-        parsed.join(small(recurring(docs, parsed, least_docs).select("line").distinct()), "line")
+        parsed.join(small(lines), "line")
         .groupBy(F.col("t").alias(key))
         .agg(F.collect_set("pos").alias(drop_name))
     )
     joined = docs.join(drops, text_key(F.col("text")) == F.col(key), "left")
-    lines, drop, short = F.split("text", "\n"), F.col(drop_name), F.col(short_name)
+    parts, drop, short = F.split("text", "\n"), F.col(drop_name), F.col(short_name)
 
     def shorter(ls: Column) -> Column:
         rest = F.filter(ls, lambda x, i: ~F.array_contains(drop, i))
         return let(rest, lambda r: F.struct(F.array_join(r, "\n").alias("text"), F.size(r).alias("n")))
 
-    found = joined.withColumn(short_name, F.when(drop.isNotNull(), let(lines, shorter)))
+    found = joined.withColumn(short_name, F.when(drop.isNotNull(), let(parts, shorter)))
     loses = F.length("text") - F.length(short["text"])
-    dropped = F.coalesce(loses <= MOST_LOSS * F.length("text"), F.lit(False))
+    dropped = F.coalesce(loses <= most_loss * F.length("text"), F.lit(False))
     columns = [
         F.when(dropped, short["text"]).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
         for c in docs.columns
     ]
     if counts:
-        n = F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0)
+        n = F.when(F.col("text").isNotNull(), F.size(parts)).otherwise(0)
         columns += [
             n.cast("long").alias("lines_before"),
             F.when(dropped, n - short["n"]).otherwise(0).cast("long").alias("lines_dropped"),
         ]
     return found.select(*columns)
+
+
+def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = False) -> DataFrame:
+    """The rows with their recurring lines taken out of ``text``; with ``counts`` also ``lines_before`` and ``lines_dropped``."""
+    parsed = stored(parsed_lines(docs))
+    lines = recurring(docs, parsed, least_docs).select("line").distinct()
+    return cut(docs, parsed, lines, MOST_LOSS, counts)
+
+
+def drop_boilerplate(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: the rows without the lines of recurring templates, whatever their share of a text."""
+    parsed = stored(sized_lines(docs))
+    return cut(docs, parsed, boilerplate(docs, parsed), MOST_LOSS)

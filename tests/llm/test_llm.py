@@ -236,6 +236,33 @@ def test_templates_against_brute_force(spark):
         assert got[doc_id] == "\n".join(x for x in text.split("\n") if not x.startswith("copyright"))
 
 
+def boilerplate_dropped(spark, lines_of):
+    """What the pipeline's stage leaves of texts, each given as lines."""
+    import corpus_pipeline as P
+
+    rows = [(k, "\n".join(lines)) for k, lines in lines_of.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.text.split("\n") for r in dict(P.STAGES)["line_dedup"](spark, frame, "").collect()}
+
+
+def words_of(k, n):
+    return " ".join(f"w{chr(97 + (k * 7 + i) % 26)}x{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + i % 26)}" for i in range(n))
+
+
+def test_pipeline_lines_of_several_templates_in_one_leaf(spark):
+    own = {k: words_of(k, 30) for k in range(120)}
+    texts = {k: [own[k]] for k in own}
+    name = [f"n{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in own]
+    for k in range(60):
+        texts[k].append(f"all of the rights belong to {name[k]} and may not be passed to others")
+    for k in range(60, 100):
+        texts[k].append(f"all of the rights stay here with us says {name[k]} who wrote it down")
+    for k in range(100, 120):
+        texts[k].append(f"this is one of {words_of(k + 200, 4)}")
+    got = boilerplate_dropped(spark, texts)
+    assert got == {k: lines if k >= 100 else [own[k]] for k, lines in texts.items()}
+
+
 # --- 6 and 10 --------------------------------------------------------------
 
 
