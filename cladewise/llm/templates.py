@@ -273,4 +273,4 @@ def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool =
 def drop_boilerplate(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the rows without the lines of recurring templates, whatever their share of a text."""
     parsed = stored(sized_lines(docs))
-    return cut(docs, parsed, boilerplate(docs, parsed), MOST_LOSS)
+    return cut(docs, parsed, boilerplate(docs, parsed), 1.0)

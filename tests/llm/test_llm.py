@@ -263,6 +263,16 @@ def test_pipeline_lines_of_several_templates_in_one_leaf(spark):
     assert got == {k: lines if k >= 100 else [own[k]] for k, lines in texts.items()}
 
 
+def test_pipeline_lines_go_whatever_their_share(spark):
+    shared = "this short notice stands in many different texts of the collection"
+    texts = {k: [words_of(k, 6), shared, shared] for k in range(12)}
+    # Near copies are one text: their own lines stay.
+    copied = [words_of(600 + i, 12) for i in range(12)]
+    texts |= {100 + k: [*copied, f"copy {words_of(700 + k, 2)}", shared] for k in range(12)}
+    got = boilerplate_dropped(spark, texts)
+    assert got == {k: [x for x in lines if x != shared] for k, lines in texts.items()}
+
+
 # --- 6 and 10 --------------------------------------------------------------
 
 
