@@ -51,8 +51,8 @@ MOST_LOSS = 0.5
 #: The stage: share of the tokens behind the leading ones that a template has fixed, words and the groups
 #: that lines of as many need; shorter lines need ``MOST_SUPPORT``.
 REST_AGREE = 0.7
-SUPPORT = [(3, 10)]
-MOST_SUPPORT = 1 << 30
+SUPPORT = [(40, 2), (16, 3), (3, 10)]
+MOST_SUPPORT = 50
 #: Tokens longer than this on average are no words; so many characters count as one then.
 LONG_TOKEN = 12
 WORD_CHARS = 4

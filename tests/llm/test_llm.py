@@ -273,6 +273,19 @@ def test_pipeline_lines_go_whatever_their_share(spark):
     assert got == {k: [x for x in lines if x != shared] for k, lines in texts.items()}
 
 
+def test_pipeline_long_lines_recur_at_few_texts(spark):
+    passage, script = words_of(900, 55), "".join(chr(0x4E00 + 37 * i % 5000) for i in range(200))
+    texts = {k: [words_of(k, 60)] for k in range(40)}
+    for k in (1, 2):
+        texts[k].append(passage)
+    for k in (3, 4):
+        texts[k].append(script)
+    for k in range(10, 19):
+        texts[k].append("not so many words here")
+    got = boilerplate_dropped(spark, texts)
+    assert got == {k: [x for x in lines if x not in (passage, script)] for k, lines in texts.items()}
+
+
 # --- 6 and 10 --------------------------------------------------------------
 
 
