@@ -464,6 +464,21 @@ def test_decontamination_recall_of_paraphrases(spark, sf_dir, docs):
     assert sum((i, item.item_id) in hit for i, item in enumerate(items)) >= 0.9 * len(rows)
 
 
+def test_items_of_common_words_and_short_items_are_found_among_rare_words():
+    common = [f"usual{i}" for i in range(12)]
+    short = "yes, it is"
+    idf = np.full(decontam.FEATURES, 7.0)
+    own = np.unique(decontam.features([w.encode() for w in common]))
+    idf[own] = 0.7
+    basis = np.eye(decontam.FEATURES)[:, np.append(own, np.setdiff1d(np.arange(decontam.FEATURES), own))[: decontam.RANK]]
+    model = decontam.Model([(1, " ".join(common)), (2, short), (3, "is yes")], basis, idf)
+    host = [f"rare{i}" for i in range(300)]
+    texts = [" ".join(host[:at] + common + host[at:]) for at in range(100, 140)]
+    texts += [" ".join(host), f"{' '.join(host)} Yes - it is. {' '.join(host)}", "yes it", "is"]
+    got = [[m["item_id"] for m in found] for found in model.matches(texts)]
+    assert got == [[1]] * 40 + [[], [2], [], []]
+
+
 def test_common_subsequence():
     assert decontam.common([b"a", b"b", b"c", b"d"], [b"b", b"x", b"d", b"a"]) == 2
     assert decontam.common([b"a"], []) == 0
