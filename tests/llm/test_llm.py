@@ -479,6 +479,20 @@ def test_items_of_common_words_and_short_items_are_found_among_rare_words():
     assert got == [[1]] * 40 + [[], [2], [], []]
 
 
+def test_passages_are_chosen_by_position_and_not_by_order(spark):
+    rows = [(0, " ".join(f"long{i}" for i in range(64 * 400)))]
+    rows += [(k, " ".join(f"short{k}x{i}" for i in range(64))) for k in range(1, 401)]
+    frame = spark.createDataFrame(rows, "key long, text string")
+    idf = np.ones(decontam.FEATURES)
+    assert decontam.document_frequency(frame)[1:] == (401, 800)
+    for order in (frame, frame.orderBy("key"), frame.orderBy(frame.key.desc()).repartition(5)):
+        found = sorted(tuple(r.places) for r in decontam.passages(order, idf, rate=0.25).collect())
+        short = decontam.passages(order.where("key > 0"), idf, rate=0.25).count()
+        assert 150 <= len(found) <= 250 and 70 <= short <= 130
+        assert found == sorted(tuple(r.places) for r in decontam.passages(frame, idf, rate=0.25).collect())
+    assert decontam.passages(frame, idf).count() == 800
+
+
 def test_common_subsequence():
     assert decontam.common([b"a", b"b", b"c", b"d"], [b"b", b"x", b"d", b"a"]) == 2
     assert decontam.common([b"a"], []) == 0
