@@ -237,6 +237,11 @@ def distances_from_farthest(trees: DataFrame) -> DataFrame:
     return with_farthest_tip(trees).select("tree", F.col("label").alias("species"), "d")
 
 
+def sorted_from_farthest(trees: DataFrame) -> DataFrame:
+    """The same rows in the order of distance within their tree, equal distances by label."""
+    return distances_from_farthest(trees).orderBy("tree", "d", "species")
+
+
 def pair_distances(trees: DataFrame, pairs: DataFrame, max_tips: int | None = None) -> DataFrame:
     """Path length between the tips of given pairs ``(tree, a, b)``.
 

@@ -108,3 +108,10 @@ def test_single_tip_has_no_pair(spark):
     trees = spark.createDataFrame([("t", "only;")], "tree string, newick string")
     assert T.farthest_tip(trees).count() == 0
     assert [r.species for r in T.tree_tips(trees).collect()] == ["only"]
+
+
+def test_tips_sorted_by_distance(spark):
+    trees = spark.createDataFrame([("b", "(x:1,y:1);"), ("a", "((p:1,q:1)m:1,r:5,s:2);")], "tree string, newick string")
+    rows = [tuple(r) for r in T.sorted_from_farthest(trees).collect()]
+    assert rows == sorted(rows, key=lambda r: (r[0], r[2], r[1])) and len(rows) == 6
+    assert rows == sorted(map(tuple, T.distances_from_farthest(trees).collect()), key=lambda r: (r[0], r[2], r[1]))
