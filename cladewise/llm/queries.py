@@ -6,13 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm import chat, decontam, language, neardup, packing, quality, templates, tokenfile, tokens, warc
+from cladewise.llm import (
+    alignment,
+    chat,
+    decontam,
+    language,
+    neardup,
+    packing,
+    quality,
+    repair,
+    simhash,
+    templates,
+    tokenfile,
+    tokens,
+    warc,
+)
 from cladewise.llm.common import count_words, shared_folder, table
 from cladewise.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,6 +83,21 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in (BYTE_BPE, PIECES))
+    return alignment.link_statistics(table(spark, sf, "documents"), *paths)
+
+
+def op12_simhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    turns = table(spark, sf, "conversations")
+    return repair.audited(turns, repair.damage(turns))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_language_mixture": op2_language_mixture,
@@ -79,4 +109,7 @@ QUERIES = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_simhash_neardup": op12_simhash_neardup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
