@@ -13,7 +13,8 @@ meet in a cell of one of the 70 grids over four groups. Within a cell the member
 are sorted by their number of bits, a further axis, and each meets those up to four
 bits above. Candidates that pass the Manhattan bound are compared exactly.
 
-Cells are not listed pair by pair. Their members first meet a few leaders of the
+A cell of two members is compared while cells are counted. Larger ones are not listed
+pair by pair. Their members first meet a few leaders of the
 cell; what is linked becomes one component, and cells that lie in one component are
 done. In the others, members of different components are compared within tasks:
 cells of over ``BLOCK`` members in blocks, those outside the cell's largest component
@@ -229,9 +230,11 @@ def remaining_links(members: DataFrame, labels: DataFrame, block: int = BLOCK) -
 def linked_nodes(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """``node, label`` of the fingerprints (column ``fp``, each once) that have a link; components share a label."""
     placed = cells(nodes)
-    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    members = stored(placed.join(shared, "cell"))
-    links = stored(leader_links(members))
+    met = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    # Most cells with company hold two by chance; these are compared where they are counted.
+    met = stored(met.where((F.col("n") > 2) | ((F.col("n") == 2) & in_range(F.col("a"), F.col("b")))))
+    members = stored(placed.join(met.where("n > 2").select("cell"), "cell"))
+    links = stored(leader_links(members).union(met.where("n = 2").select("a", "b")).distinct())
     more = stored(remaining_links(members, components(links), block))
     return components(links.union(more))
 
