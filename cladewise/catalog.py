@@ -17,6 +17,7 @@ from cladewise.operators import sampling as S
 from cladewise.operators import tree as T
 from cladewise.plans.bootstrap import bootstrap, template_threshold
 from cladewise.plans.discovery import batch_summary, discovery
+from cladewise.plans.excess import excess
 from cladewise.plans.sizing import pin_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +193,22 @@ def bootstrap_bounded(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(rows, "empval")
 
 
+def excess_test(spark: SparkSession, sf: str) -> DataFrame:
+    """One trait by size and one for each nation against the cycles."""
+    observed = A.size_groups(spark, sf).unionByName(A.nation_groups(spark, sf))
+    threshold = template_threshold(A.size_groups(spark, sf), Bounds())
+    rows = excess(A.line_records(spark, sf), observed, _species_cycles(spark, sf), BOOTSTRAP_CYCLES, threshold)
+    return _rounded(rows, "pvalue")
+
+
+def excess_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    bounds = Bounds(max_bg_gaps=1, max_gaps=2, max_fg_miss=0, max_miss=1)
+    rows = excess(
+        A.line_records(spark, sf), A.nation_groups(spark, sf), _species_cycles(spark, sf), BOOTSTRAP_CYCLES, 2, bounds, "1,3"
+    )
+    return _rounded(rows, "pvalue")
+
+
 def newick_edges(spark: SparkSession, sf: str) -> DataFrame:
     edges = T.tree_edges(A.order_trees(spark, sf))
     return edges.select("tree", "label", "parent_label", "length", "is_tip")
@@ -242,6 +259,8 @@ QUERIES: dict[str, Query] = {
     "cycles_to_configs": cycles_to_configs,
     "bootstrap": bootstrap_default,
     "bootstrap_bounded": bootstrap_bounded,
+    "excess": excess_test,
+    "excess_bounded": excess_bounded,
     "newick_edges": newick_edges,
     "tree_tips": tree_tips,
     "farthest_tip": farthest_tip,

@@ -69,19 +69,27 @@ class Bounds:
     def _background(self, fg: int | None, bg: int | None) -> int | None:
         return fg if self.bg_bound == "fg" and bg is not None else bg
 
+    @property
+    def background_gaps(self) -> int | None:
+        return self._background(self.max_fg_gaps, self.max_bg_gaps)
+
+    @property
+    def background_miss(self) -> int | None:
+        return self._background(self.max_fg_miss, self.max_bg_miss)
+
     def accepts(self, gfg: Column, gbg: Column, mfg: Column, mbg: Column) -> Column:
         gaps = within_bounds(
             gfg,
             gbg,
             self.max_fg_gaps,
-            self._background(self.max_fg_gaps, self.max_bg_gaps),
+            self.background_gaps,
             self.max_gaps,
         )
         missing = within_bounds(
             mfg,
             mbg,
             self.max_fg_miss,
-            self._background(self.max_fg_miss, self.max_bg_miss),
+            self.background_miss,
             self.max_miss,
         )
         return gaps & missing

@@ -315,6 +315,32 @@ GROUP BY gene, pos"""
     )
 
 
+def _excess(observed: str, groups_cte: list[str], patterns: str, threshold: int, bounds: str) -> str:
+    return (
+        _with(
+            _LINE_CELLS, _SPECIES_POOL, _sample("pool", "quotas", 1000), *groups_cte, _PROFILE,
+            f"""
+everyone AS (
+  SELECT 'o' || trait AS trait, species, grp FROM ({observed})
+  UNION ALL SELECT 'c' || trait, species, grp FROM drawn
+)""",
+            _evidence("everyone"),
+            f"""
+hit_numbers AS (
+  SELECT w.trait, count(h.pos) AS n_hits
+  FROM (SELECT DISTINCT trait FROM everyone) w LEFT JOIN (
+    SELECT gene, pos, trait FROM judged JOIN profile USING (gene, pos)
+    WHERE is_hit AND pattern IN ({patterns}) AND {bounds} AND gaps / total <= 0.5 AND minority >= {threshold}
+  ) h USING (trait) GROUP BY 1
+)""",
+        )
+        + """
+SELECT substr(o.trait, 2) AS trait, o.n_hits, 1000 AS cycles, count(*) FILTER (c.n_hits >= o.n_hits) AS n_at_least,
+       round((count(*) FILTER (c.n_hits >= o.n_hits) + 1) / 1001, 9) AS pvalue
+FROM hit_numbers o, hit_numbers c WHERE o.trait LIKE 'o%' AND c.trait LIKE 'c%' GROUP BY o.trait, o.n_hits"""
+    )
+
+
 _TREE = """
 lines AS (
   SELECT 'c' || o_custkey AS tree, 'o' || o_orderkey AS ord,
@@ -399,6 +425,12 @@ GROUP BY 1, 2""",
     + "SELECT trait, species, grp FROM drawn WHERE cycle_no <= 10",
     "bootstrap": _bootstrap("1, 2, 3", 3, "true"),
     "bootstrap_bounded": _bootstrap("1, 2", 2, "gfg <= 1 AND gbg <= 1 AND mfg + mbg <= 0"),
+    "excess": _excess(
+        "SELECT * FROM size_groups UNION ALL SELECT * FROM nation_groups", [_SIZE_GROUPS, _NATION_GROUPS], "1, 2, 3", 3, "true"
+    ),
+    "excess_bounded": _excess(
+        "SELECT * FROM nation_groups", [_NATION_GROUPS], "1, 3", 2, "gbg <= 1 AND gfg + gbg <= 2 AND mfg <= 0 AND mfg + mbg <= 1"
+    ),
     "newick_edges": _with(_TREE)
     + """
 SELECT tree, tip AS label, ord AS parent_label, llen AS length, true AS is_tip FROM lines

@@ -8,17 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions.bounds import Bounds
-from cladewise.functions.text import comma_list, position_key
+from cladewise.functions.text import position_key
 from cladewise.functions.verdict import DEFAULT_PATTERNS
-from cladewise.operators.bitmaps import (
-    explode_hits,
-    hit_count,
-    hit_names,
-    number_traits,
-    test_columns,
-)
+from cladewise.operators.bitmaps import hit_count, hit_names, number_traits, test_columns
 from cladewise.operators.columns import DEFAULT_MAX_GAP_RATIO, kept_column
-from cladewise.operators.details import member_counts
+from cladewise.operators.counters import accepted_blocks
 from cladewise.operators.evidence import group_sizes
 from cladewise.plans.sizing import Groups, pin_groups
 
@@ -45,9 +39,8 @@ def bootstrap(
 ) -> DataFrame:
     """One row per retained column, zero counts included, as in ``schema.BOOTSTRAP``.
 
-    ``cycles`` are groups whose trait is the cycle name. Without bounds the
-    counts come straight from the bitmaps; bounds look up the members of hit
-    columns and nothing else.
+    ``cycles`` are groups whose trait is the cycle name. Counts come straight
+    from the bitmaps; bounds mask the hit words, so hits never become rows.
     """
     if n_cycles <= 0:
         raise ValueError("n_cycles must be positive")
@@ -56,26 +49,14 @@ def bootstrap(
     columns = test_columns(records, bits, patterns, ragged, with_counts=False).where(
         kept_column(threshold, max_gap_ratio)
     )
-    key = ["gene", "pos"]
-    if bounds.unlimited:
-        if with_cycle_list:
-            named = hit_names(columns, bits)
-        else:
-            named = columns.withColumn("traits", F.array().cast("array<string>"))
-        count = F.size("traits") if with_cycle_list else hit_count(F.col("blocks"))
-        counted = named.select(*key, count.alias("count"), F.array_join("traits", ",").alias("cycle_list"))
+    columns = accepted_blocks(columns, records, bits, bounds, ragged)
+    if with_cycle_list:
+        named = hit_names(columns, bits)
+        count = F.size("traits")
     else:
-        found = member_counts(explode_hits(columns, bits), records, cycles)
-        accepted = found.where(
-            bounds.accepts(F.col("gfg"), F.col("gbg"), F.col("mfg"), F.col("mbg"))
-        )
-        names = F.collect_list("trait") if with_cycle_list else F.array().cast("array<string>")
-        counted = (
-            columns.select(*key)
-            .join(accepted.select(*key, "trait"), key, "left")
-            .groupBy(*key)
-            .agg(F.count("trait").cast("int").alias("count"), comma_list(names).alias("cycle_list"))
-        )
+        named = columns.withColumn("traits", F.array().cast("array<string>"))
+        count = hit_count(F.col("blocks"))
+    counted = named.select("gene", "pos", count.alias("count"), F.array_join("traits", ",").alias("cycle_list"))
     return counted.select(
         position_key(F.col("gene"), F.col("pos")).alias("position"),
         "count",
