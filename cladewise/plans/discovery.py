@@ -13,7 +13,8 @@ from cladewise.functions.text import comma_list, comma_list_or_dash, substitutio
 from cladewise.functions.verdict import DEFAULT_PATTERNS
 from cladewise.operators.bitmaps import explode_hits, number_traits, test_columns
 from cladewise.operators.columns import DEFAULT_MAX_GAP_RATIO
-from cladewise.operators.details import member_counts
+from cladewise.operators.counters import accepted_blocks
+from cladewise.operators.details import hit_details
 from cladewise.operators.evidence import gene_trait_grid
 from cladewise.plans.sizing import Groups, pin_groups
 
@@ -28,8 +29,8 @@ def discovery(
 ) -> DataFrame:
     """All hits of all traits in all genes, in the layout of ``schema.DISCOVERY``.
 
-    One scan tests every column for every trait; p-values and species lists
-    are worked out for hits only.
+    One scan tests every column for every trait; bounds mask its hit words. P-values
+    and species lists are worked out for hits only.
     """
     groups = pin_groups(groups)
     bits = number_traits(groups)
@@ -37,16 +38,11 @@ def discovery(
         (F.size("blocks") > 0) & (F.col("gaps") / F.col("total") <= F.lit(float(max_gap_ratio)))
     )
     hits = (
-        explode_hits(columns, bits, "counts", "minority")
+        explode_hits(accepted_blocks(columns, records, bits, bounds, ragged), bits, "counts", "minority")
         .where(F.col("minority") >= bounds.threshold_of(F.col("n_fg"), F.col("n_bg")))
         .drop("minority")
     )
-    found = member_counts(hits, records, groups, with_lists=True)
-    if not bounds.unlimited:
-        found = found.where(
-            bounds.accepts(F.col("gfg"), F.col("gbg"), F.col("mfg"), F.col("mbg"))
-        )
-    return found.select(
+    return hit_details(hits, records, groups).select(
         F.col("gene").alias("Gene"),
         F.col("trait").alias("Trait"),
         F.col("pos").alias("Position"),
