@@ -194,13 +194,23 @@ def choose(likelihood: np.ndarray, weights: np.ndarray) -> np.ndarray:
     alone = weights @ np.log(likelihood)
     chosen = [int(np.argmax(alone))]
     share, fit = np.ones(1), float(alone[chosen[0]])
-    penalty = 0.5 * np.log(weights.sum() + 1.0)
+    total = weights.sum()
+    penalty = 0.5 * np.log(total + 1.0)
     while len(chosen) < likelihood.shape[1]:
-        # The language that explains best what the chosen ones explain badly.
         now = likelihood[:, chosen] @ share
+        # The likelihood is concave in the shares: what does not rise at a share of 0 has its best share there.
+        rises = np.ones(len(shares), dtype=bool)
+        if len(chosen) == 1:
+            rises = weights @ (likelihood / now[:, None]) > total
+            rises[chosen] = False
+        if not rises.any():
+            break
+        # The language that explains best what the chosen ones explain badly.
         gain = weights @ np.maximum(np.log(likelihood / now[:, None]), 0.0)
         gain[chosen] = -np.inf
         trial = [*chosen, int(np.argmax(gain))]
+        if not rises[trial[-1]]:
+            break
         new_share, new_fit = mixture(likelihood[:, trial], weights)
         if new_fit - fit <= penalty:
             break
