@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise import adapters as A
+from cladewise import file_queries as FQ
 from cladewise.functions.bounds import Bounds
 from cladewise.functions.text import pair_key, substitution
 from cladewise.functions.verdict import pattern_admitted
@@ -209,6 +210,18 @@ def excess_bounded(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(rows, "pvalue")
 
 
+def bootstrap_files(spark: SparkSession, sf: str) -> DataFrame:
+    return FQ.bootstrap_files(bootstrap_default(spark, sf))
+
+
+def discovery_files(spark: SparkSession, sf: str) -> DataFrame:
+    return FQ.discovery_files(batch_discovery(spark, sf))
+
+
+def job_folders(spark: SparkSession, sf: str) -> DataFrame:
+    return FQ.job_folders(batch_discovery(spark, sf))
+
+
 def newick_edges(spark: SparkSession, sf: str) -> DataFrame:
     edges = T.tree_edges(A.order_trees(spark, sf))
     return edges.select("tree", "label", "parent_label", "length", "is_tip")
@@ -226,6 +239,10 @@ def distances_from_farthest(spark: SparkSession, sf: str) -> DataFrame:
     return T.distances_from_farthest(A.order_trees(spark, sf))
 
 
+def sorted_from_farthest(spark: SparkSession, sf: str) -> DataFrame:
+    return T.sorted_from_farthest(A.order_trees(spark, sf))
+
+
 def patristic_distance(spark: SparkSession, sf: str) -> DataFrame:
     pairs = T.pair_distances(A.order_trees(spark, sf), A.neighbour_pairs(spark, sf))
     return pairs.select("tree", pair_key(F.col("a"), F.col("b")).alias("pair"), "d")
@@ -265,5 +282,10 @@ QUERIES: dict[str, Query] = {
     "tree_tips": tree_tips,
     "farthest_tip": farthest_tip,
     "distances_from_farthest": distances_from_farthest,
+    "sorted_from_farthest": sorted_from_farthest,
     "patristic_distance": patristic_distance,
+    "bootstrap_files": bootstrap_files,
+    "discovery_files": discovery_files,
+    "job_folders": job_folders,
+    **FQ.QUERIES,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ def gene_name(path: Column) -> Column:
     return F.split_part(file_name(path), F.lit("."), F.lit(1))
 
 
+def file_stem(path: Column) -> Column:
+    """Base name less its last suffix; the name of a batch job."""
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def folder_value(column: str) -> Callable[[Column], Column]:
+    """The value of ``column`` in a path with folders named ``column=value``, as partitioned writers make them."""
+    return lambda path: F.regexp_extract(path, f"/{column}=([^/]+)/", 1)
+
+
 def position_key(gene: Column, pos: Column) -> Column:
     return F.concat(gene, F.lit("@"), pos.cast("string"))
 

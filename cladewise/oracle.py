@@ -456,3 +456,43 @@ FROM (
   FROM lines WINDOW w AS (PARTITION BY tree ORDER BY tip)
 ) WHERE other IS NOT NULL""",
 }
+
+
+_CLASS_RECORDS = """
+class_records AS (
+  SELECT 'c' || CAST(substr(gene, 2) AS BIGINT) % 10 AS gene, gene || '_' || species AS species,
+         string_agg(symbol, '' ORDER BY pos) AS seq
+  FROM cells GROUP BY cells.gene, cells.species
+)"""
+
+_READ_BACK = _with(_LINE_CELLS, _CLASS_RECORDS) + "SELECT gene, species, seq FROM class_records"
+
+#: Files of every format give back what was written, so their statements do not mention files.
+ORACLE |= {
+    **dict.fromkeys(("fasta_files", "phylip_files", "clustal_files", "stockholm_files"), _READ_BACK),
+    "file_manifest": _with(_LINE_CELLS, _CLASS_RECORDS)
+    + "SELECT gene AS name, 1::BIGINT AS files, CAST(sum(length('>' || species || ' a note > more') + length(seq) + 3) AS BIGINT) AS bytes "
+    "FROM class_records GROUP BY gene",
+    "path_names": """
+SELECT page_id, split_part(name, '.', 1) AS gene, name AS trait,
+       CASE WHEN strpos(name[2:], '.') > 0 THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS job
+FROM (SELECT page_id, split_part(url, '/', -1) AS name FROM pages)""",
+    "trait_files": _with(_LABEL_GROUPS) + "SELECT DISTINCT trait, species, grp FROM label_groups",
+    "cycle_files": _with(_CUSTOMER_POOL, _sample("pool", "quotas", 200))
+    + "SELECT trait, species, grp, 200 AS cycles FROM drawn",
+    "cycle_config_files": ORACLE["cycles_to_configs"],
+    "family_files": _with(_FAMILY_POOL) + "SELECT species, stratum AS family FROM pool",
+    "value_files": """
+SELECT 'p' || p_partkey AS species, p_retailprice AS value,
+       CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 3 - 1 AS INT) END AS label
+FROM part WHERE p_partkey % 7 <> 0""",
+    "bootstrap_files": ORACLE["bootstrap"],
+    "discovery_files": ORACLE["batch_discovery"],
+    "job_folders": _with(
+        _LINE_CELLS, _NATION_GROUPS, _PROFILE, _evidence("nation_groups"), _hits("1, 2, 3", "0.5", "least(n_fg, n_bg)", "true")
+    )
+    + """
+SELECT 'c' || CAST(substr(gene, 2) AS BIGINT) % 10 AS "Gene", trait AS "Trait", count(*) AS n_hits, max(pos) AS last
+FROM hits GROUP BY 1, 2""",
+    "sorted_from_farthest": ORACLE["distances_from_farthest"],
+}

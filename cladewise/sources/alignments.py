@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.text import gene_name
 from cladewise.operators.columns import last_record_wins
-from cladewise.sources.files import require_unique
+from cladewise.sources.files import Naming, require_unique, require_unique_names
 
 # First words of CLUSTAL-family header lines.
 _CLUSTAL_HEADERS = ("CLUSTAL", "PROBCONS", "MUSCLE", "MSAPROBS", "Kalign", "Biopython")
@@ -21,14 +21,15 @@ _CLUSTAL_HEADERS = ("CLUSTAL", "PROBCONS", "MUSCLE", "MSAPROBS", "Kalign", "Biop
 _BLANK = r"\s+"
 
 
-def _lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, name: Naming | None, **options: str) -> DataFrame:
     """Text rows with their gene and their place: block start, then order inside the block."""
+    gene = name(F.col("_metadata.file_path")) if name else gene_name(F.col("_metadata.file_name"))
     place = F.struct(
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("nth"),
     )
     return spark.read.options(**options).text(path).select(
-        gene_name(F.col("_metadata.file_name")).alias("gene"), "value", place.alias("place")
+        gene.alias("gene"), "value", place.alias("place")
     )
 
 
@@ -36,9 +37,9 @@ def _without_blanks(text: Column) -> Column:
     return F.regexp_replace(text, _BLANK, "")
 
 
-def _fasta(spark: SparkSession, path: str) -> DataFrame:
+def _fasta(spark: SparkSession, path: str, name: Naming | None) -> DataFrame:
     # Records part at a '>' that starts a line; only a file's first one keeps it.
-    rows = _lines(spark, path, lineSep="\n>")
+    rows = _lines(spark, path, name, lineSep="\n>")
     text = F.regexp_replace("value", r"^\s*>", "")
     return rows.select(
         "gene",
@@ -72,13 +73,13 @@ def _numbered(rows: DataFrame) -> DataFrame:
     )
 
 
-def _phylip_relaxed(spark: SparkSession, path: str) -> DataFrame:
+def _phylip_relaxed(spark: SparkSession, path: str, name: Naming | None) -> DataFrame:
     """Records on one line each or in interleaved blocks, of which the first has the names.
 
     The counts in the first line say how many lines a block has; a file that
     they do not fit fails the read.
     """
-    rows = _numbered(_lines(spark, path).where(F.col("value").rlike(r"\S")))
+    rows = _numbered(_lines(spark, path, name).where(F.col("value").rlike(r"\S")))
 
     def header(nth: int) -> Column:
         return F.regexp_extract("value", r"^\s*(\d+)\s+(\d+)\s*$", nth).try_cast("bigint")
@@ -135,19 +136,19 @@ def _segments(rows: DataFrame) -> DataFrame:
     )
 
 
-def _clustal(spark: SparkSession, path: str) -> DataFrame:
+def _clustal(spark: SparkSession, path: str, name: Naming | None) -> DataFrame:
     header = F.col("value").rlike("^(" + "|".join(_CLUSTAL_HEADERS) + r")\b")
-    return _blocks(_segments(_lines(spark, path).where(~header)))
+    return _blocks(_segments(_lines(spark, path, name).where(~header)))
 
 
-def _stockholm(spark: SparkSession, path: str) -> DataFrame:
+def _stockholm(spark: SparkSession, path: str, name: Naming | None) -> DataFrame:
     noise = F.col("value").startswith("#") | F.col("value").startswith("//")
-    rows = _segments(_lines(spark, path).where(~noise))
+    rows = _segments(_lines(spark, path, name).where(~noise))
     # Dots are gaps in this format.
     return _blocks(rows.withColumn("segment", F.translate("segment", ".", "-")))
 
 
-_READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_READERS: dict[str, Callable[[SparkSession, str, Naming | None], DataFrame]] = {
     "fasta": _fasta,
     "phylip-relaxed": _phylip_relaxed,
     "clustal": _clustal,
@@ -156,19 +157,23 @@ _READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def read_alignments(
-    spark: SparkSession, path: str, fmt: str = "clustal", unique_ids: bool = False
+    spark: SparkSession, path: str, fmt: str = "clustal", unique_ids: bool = False, name: Naming | None = None
 ) -> DataFrame:
     """Records of every alignment under ``path``.
 
     Two files of one gene are an error, as their records would mix. A species
     named twice in a gene keeps its last record. Looking for such
     names costs one pass over the keys; ``unique_ids=True`` skips it for data
-    known to have none.
+    known to have none. ``name`` takes another gene name from a file's path, as
+    ``file_stem`` does, by which ``G1.v1.fa`` and ``G1.v2.fa`` are jobs of their own.
     """
     if fmt not in _READERS:
         raise ValueError(f"format must be one of {sorted(_READERS)}")
-    require_unique(spark, path, lambda file: file.split(".")[0])
-    rows = _READERS[fmt](spark, path).where((F.col("species") != "") & (F.col("seq") != ""))
+    if name:
+        require_unique_names(spark, path, name)
+    else:
+        require_unique(spark, path, lambda file: file.split(".")[0])
+    rows = _READERS[fmt](spark, path, name).where((F.col("species") != "") & (F.col("seq") != ""))
     if "place" in rows.columns:
         if not unique_ids and has_repeated_ids(rows):
             return last_record_wins(rows, "place")

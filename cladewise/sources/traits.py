@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.text import file_name, names_in
 from cladewise.operators.sampling import cycles_to_groups
-from cladewise.sources.files import require_unique
+from cladewise.sources.files import Naming, require_unique
 
 
-def _columns(spark: SparkSession, path: str, separator: str) -> DataFrame:
+def _columns(spark: SparkSession, path: str, separator: str, name: Naming | None = None) -> DataFrame:
     line = F.trim("value") if separator != "\t" else F.col("value")
-    return spark.read.text(path).select(
-        F.split(line, separator).alias("c"), file_name(F.col("_metadata.file_name")).alias("file")
-    )
+    file = name(F.col("_metadata.file_path")) if name else file_name(F.col("_metadata.file_name"))
+    return spark.read.text(path).select(F.split(line, separator).alias("c"), file.alias("file"))
 
 
 def _label_ok(label: Column) -> Column:
     return label.isin("0", "1")
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """One trait per file, ``species label`` lines; other labels and short lines drop out; file names differ, or the job fails."""
-    require_unique(spark, path)
-    rows = _columns(spark, path, r"\s+").where(F.size("c") >= 2)
+def read_groups(spark: SparkSession, path: str, name: Naming | None = None) -> DataFrame:
+    """One trait per file, ``species label`` lines; other labels and short lines drop out; file names differ, or the job fails.
+
+    ``name`` takes the trait from a file's path; files of one such name are one trait.
+    """
+    if not name:
+        require_unique(spark, path)
+    rows = _columns(spark, path, r"\s+", name).where(F.size("c") >= 2)
     return (
         rows.where(_label_ok(F.col("c")[1]))
         .select(F.col("file").alias("trait"), F.col("c")[0].alias("species"), F.col("c")[1].cast("int").alias("grp"))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladewise.functions.bounds import Bounds
+from cladewise.functions.text import file_stem, folder_value, gene_name
 from cladewise.operators import sampling as S
 from cladewise.operators import tree as T
 from cladewise.operators.columns import cells
@@ -13,6 +15,7 @@ from cladewise.schema import RECORDS
 from cladewise.sinks import tables as K
 from cladewise.sources import alignments as R
 from cladewise.sources import traits as G
+from cladewise.sources.files import manifest
 
 EXPECTED = {("toy", "sp1", "AC-D"), ("toy", "sp2", "ACED"), ("toy", "sp3", "-CEF")}
 
@@ -227,3 +230,27 @@ def test_cycle_configs(spark, tmp_path):
     K.write_cycle_configs(S.cycle_lists(groups), str(tmp_path / "swapped"), fg_label=0)
     lines = spark.read.text(str(tmp_path / "swapped" / "trait=b_12")).collect()
     assert {r.value for r in lines} == {"a\t0", "b\t1"}
+
+
+def test_files_as_jobs_of_their_own(spark, tmp_path):
+    """Named by their base name less its last suffix, two files of one gene are two jobs."""
+    for job, symbol in (("G1.v1", "A"), ("G1.v2", "C")):
+        (tmp_path / f"{job}.fa").write_text(f">a\n{symbol}{symbol}\n>b\n{symbol}-\n")
+    with pytest.raises(ValueError, match="G1"):
+        R.read_alignments(spark, str(tmp_path), "fasta")
+    rows = R.read_alignments(spark, str(tmp_path), "fasta", name=file_stem)
+    assert sorted(map(tuple, rows.collect())) == [
+        ("G1.v1", "a", "AA"), ("G1.v1", "b", "A-"), ("G1.v2", "a", "CC"), ("G1.v2", "b", "C-")
+    ]
+    listed = manifest(spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.bytes) for r in listed) == [("G1.v1", 12), ("G1.v2", 12)]
+    with pytest.raises(ValueError, match="G1"):
+        R.read_alignments(spark, str(tmp_path), "fasta", name=gene_name)
+
+
+def test_names_of_odd_paths(spark):
+    paths = ["/x/G1.v1.fa", "plain", "/a.b/.hidden", "/a/two..dots", "/trait=n 1/part-0.txt", ""]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(file_stem(F.col("p")), folder_value("trait")(F.col("p")))
+    assert [tuple(r) for r in rows.collect()] == [
+        ("G1.v1", ""), ("plain", ""), (".hidden", ""), ("two.", ""), ("part-0", "n 1"), ("", "")
+    ]
