@@ -14,11 +14,11 @@ are sorted by their number of bits, a further axis, and each meets those up to f
 bits above. Candidates that pass the Manhattan bound are compared exactly.
 
 A cell of two members is compared while cells are counted. Larger ones are not listed
-pair by pair. Their members first meet a few leaders of the
-cell; what is linked becomes one component, and cells that lie in one component are
-done. In the others, members of different components are compared within tasks:
-cells of over ``BLOCK`` members in blocks, those outside the cell's largest component
-against all. Only links between components leave a task. Nothing is capped.
+pair by pair. Their members first meet a few leaders of the cell; what is linked becomes
+one component, and cells that lie in one component are done. In the others, members of
+different components are compared within tasks: cells of over ``BLOCK`` members in
+blocks, those outside the cell's largest component against all. Only links between
+components leave a task. Nothing is capped.
 
 Null and empty texts, and those without words, have the fingerprint zero and are
 linked like any other. Rows of one id are judged each; a component is named by its
@@ -233,7 +233,8 @@ def linked_nodes(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     met = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     # Most cells with company hold two by chance; these are compared where they are counted.
     met = stored(met.where((F.col("n") > 2) | ((F.col("n") == 2) & in_range(F.col("a"), F.col("b")))))
-    members = stored(placed.join(met.where("n > 2").select("cell"), "cell"))
+    # Both sides grow with the corpus, so they are shuffled at every size.
+    members = stored(placed.join(met.where("n > 2").select("cell").hint("merge"), "cell"))
     links = stored(leader_links(members).union(met.where("n = 2").select("a", "b")).distinct())
     more = stored(remaining_links(members, components(links), block))
     return components(links.union(more))
