@@ -33,6 +33,8 @@ their text alone, so ids may be null or repeat. Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,24 +72,22 @@ def tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), masked).otherwise(found)
 
 
-def parsed_lines(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """``t, pos, leaf, line``: the text a line is in, its number, its leaf and what it says apart from variable fields."""
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """``t, pos, leaf, line, raw``: the text a line is in, its number, its leaf, what it says apart from variable fields, and itself."""
     lines = docs.where(F.col("text") != "").select(
         text_key(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
     )
 
     def places(w: Column) -> Column:
         n = F.size(w)
-        fields = [
+        return F.struct(
             n.alias("n"),
             F.xxhash64(n, F.slice(w, 1, LEADING)).alias("leaf"),
             F.xxhash64(n, w).alias("line"),
-        ]
-        return F.struct(*fields, *([w.alias("tokens")] if with_tokens else []))
+        )
 
-    found = lines.select("t", "pos", let(tokens(F.col("raw")), places).alias("p"))
-    more = ["p.tokens"] if with_tokens else []
-    return found.where(F.col("p.n") >= LEAST_TOKENS).select("t", "pos", "p.leaf", "p.line", *more)
+    found = lines.select("t", "pos", "raw", let(tokens(F.col("raw")), places).alias("p"))
+    return found.where(F.col("p.n") >= LEAST_TOKENS).select("t", "pos", "p.leaf", "p.line", "raw")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def recurring(docs: DataFrame, parsed: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def recurring(parsed: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``line, template``: the lines of all templates that stand in ``least_docs`` texts or more."""
     lines = stored(parsed.groupBy("leaf", "line").agg(F.count_distinct("t").alias("docs")))
     leaves = small(
@@ -107,10 +107,10 @@ def recurring(docs: DataFrame, parsed: DataFrame, least_docs: int = LEAST_DOCS)
     # Leaves of one line need no tokens: the line is the template.
     mixed = leaves.where("n_lines > 1").select("leaf", "leaf_docs")
     said = (
-        parsed_lines(docs, with_tokens=True)
-        .join(mixed, "leaf")
+        parsed.join(mixed, "leaf")
         .groupBy("leaf", "leaf_docs", "line")
-        .agg(F.first("tokens").alias("tokens"))
+        .agg(F.first("raw").alias("raw"))
+        .select("leaf", "leaf_docs", "line", tokens(F.col("raw")).alias("tokens"))
     )
     weighed = stored(said.join(lines.select("line", "docs"), "line"))
     cells = weighed.select(
@@ -143,8 +143,8 @@ def recurring(docs: DataFrame, parsed: DataFrame, least_docs: int = LEAST_DOCS)
     return of_lines.join(kept.select("template"), "template", "left_semi").select("line", "template")
 
 
-def sized_lines(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
-    """``t, pos, leaf, line, n, need`` of the lines with a letter: ``n`` tokens, and the support that makes them recur."""
+def sized_lines(docs: DataFrame) -> DataFrame:
+    """``t, pos, leaf, line, n, need, raw`` of the lines with a letter: ``n`` tokens, and the support that makes them recur."""
     lines = docs.where(F.col("text") != "").select(
         text_key(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
     )
@@ -152,84 +152,88 @@ def sized_lines(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
     def places(w: Column) -> Column:
         n = F.size(w)
         said = F.array_join(w, "")
-        fields = [
+        return F.struct(
             n.alias("n"),
             F.xxhash64(n, F.slice(w, 1, LEADING)).alias("leaf"),
             F.xxhash64(n, w).alias("line"),
             F.length(said).alias("chars"),
             said.rlike(r"\p{L}").alias("speaks"),
-        ]
-        return F.struct(*fields, *([w.alias("tokens")] if with_tokens else []))
+        )
 
-    found = lines.select("t", "pos", let(tokens(F.col("raw")), places).alias("p")).where("p.speaks")
+    found = lines.select("t", "pos", "raw", let(tokens(F.col("raw")), places).alias("p")).where("p.speaks")
     n, chars = F.col("p.n"), F.col("p.chars")
     words = F.when(chars > LONG_TOKEN * n, F.greatest(n, chars / WORD_CHARS)).otherwise(n)
     need = F.lit(MOST_SUPPORT)
     for least, groups in reversed(SUPPORT):
         need = F.when(words >= least, groups).otherwise(need)
-    return found.select("t", "pos", "p.leaf", "p.line", "p.n", need.alias("need"), *(["p.tokens"] if with_tokens else []))
+    return found.select("t", "pos", "p.leaf", "p.line", "p.n", need.alias("need"), "raw")
 
 
 def of_templates(said: DataFrame, seen: DataFrame) -> DataFrame:
-    """``line``: the lines of ``said`` (``leaf, line, docs, need, tokens``) whose template recurs among them."""
-    cells = said.select("leaf", "line", "docs", "need", F.posexplode("tokens").alias("at", "token")).where(
+    """``leaf, line``: the lines of ``said`` (``leaf, line, docs, need, tokens``) whose template recurs among them."""
+    cells = said.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token")).where(
         (F.col("at") >= LEADING) & (F.col("token") != FIELD)
     )
-    common = small(cells.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("d")))
+    place = F.xxhash64("leaf", "at", "token")
+    common = small(cells.groupBy(place.alias("place")).agg(F.sum("docs").alias("d")))
     every = Window.partitionBy("line")
     rarest = every.orderBy("d", "at")
-    place = F.xxhash64("at", "token")
-    masked = cells.join(common, ["leaf", "at", "token"]).select(
-        "leaf",
+    masked = cells.select("line", "at", place.alias("place")).join(common, "place").select(
         "line",
-        "docs",
-        "need",
         (F.row_number().over(rarest) - 1).alias("fields"),
         F.count("*").over(every).alias("rest"),
         # The places and tokens that stay fixed when the cells before this one are fields.
-        F.bit_xor(place).over(every).bitwiseXOR(F.bit_xor(place).over(rarest)).bitwiseXOR(place).alias("fixed"),
+        F.bit_xor("place").over(every).bitwiseXOR(F.bit_xor("place").over(rarest)).bitwiseXOR(F.col("place")).alias("fixed"),
     )
     keyed = stored(
-        masked.where(F.col("fields") <= F.floor((1 - REST_AGREE) * F.col("rest") + 1e-9)).select(
-            F.xxhash64("leaf", "fixed").alias("template"), "line", "docs", "need"
-        )
+        masked.where(F.col("fields") <= F.floor((1 - REST_AGREE) * F.col("rest") + 1e-9))
+        .join(said.select("leaf", "line", "docs", "need"), "line")
+        .select(F.xxhash64("leaf", "fixed").alias("template"), "leaf", "line", "docs", "need")
     )
     often = keyed.groupBy("template").agg(F.sum("docs").alias("most"), F.max("need").alias("need"))
     often = often.where(F.col("most") >= F.col("need")).select("template", "need")
-    keyed = small(keyed.select("template", "line").join(often, "template"))
+    keyed = small(keyed.select("template", "leaf", "line").join(often, "template"))
     kept = (
         seen.join(keyed, "line")
         .groupBy("template", "need")
         .agg(F.count_distinct("g").alias("groups"))
         .where(F.col("groups") >= F.col("need"))
     )
-    return keyed.join(kept.select("template"), "template", "left_semi").select("line").distinct()
+    return keyed.join(kept.select("template"), "template", "left_semi").select("leaf", "line").distinct()
 
 
 def boilerplate(docs: DataFrame, parsed: DataFrame) -> DataFrame:
-    """``line``: the lines that recur, or whose template does, in enough near-duplicate groups."""
+    """``line``: the lines that recur, or whose template does, in enough near-duplicate groups.
+
+    Each round of templates looks only at leaves that lost lines in the round before,
+    as no other leaf can form another template, and reads tables written for it.
+    """
     labels = neardup.labelled(docs, neardup.STAGE).where("label is not null")
     groups = small(labels.groupBy(F.col("tie").alias("t")).agg(F.xxhash64(F.min("label")).alias("g")))
     seen = stored(parsed.join(groups, "t").select("g", "leaf", "line", "n", "need").distinct())
     lines = stored(seen.groupBy("leaf", "line", "n", "need").agg(F.count("*").alias("docs")))
-    found = stored(lines.where(F.col("docs") >= F.col("need")).select("line"))
     # Lines of fewer tokens have no room for a variable field.
     roomy = lines.where(F.floor((1 - REST_AGREE) * (F.col("n") - LEADING) + 1e-9) >= 1)
     mixed = roomy.groupBy("leaf").agg(
         F.sum("docs").alias("all"), F.count("*").alias("n_lines"), F.min("need").alias("least"), F.max(F.col("docs") < F.col("need")).alias("open")
     )
     mixed = mixed.where((F.col("n_lines") > 1) & (F.col("all") >= F.col("least")) & F.col("open")).select("leaf")
-    open_lines = small(roomy.join(small(mixed), "leaf", "left_semi").select("line", "docs"))
+    open_lines = small(roomy.join(mixed, "leaf", "left_semi").select("line", "docs"))
     left = stored(
-        sized_lines(docs, with_tokens=True)
-        .join(open_lines, "line")
+        parsed.join(open_lines, "line")
         .groupBy("leaf", "line", "docs", "need")
-        .agg(F.first("tokens").alias("tokens"))
+        .agg(F.first("raw").alias("raw"))
+        .select("leaf", "line", "docs", "need", tokens(F.col("raw")).alias("tokens"))
     )
-    while not (more := stored(of_templates(left, seen.select("g", "line")))).isEmpty():
-        found = found.union(more)
-        left = left.join(small(more), "line", "left_anti")
-    return found.distinct()
+    seen = seen.select("g", "line")
+    rounds = []
+    while not (more := stored(of_templates(left, seen))).isEmpty():
+        rounds.append(more.select("line"))
+        left = stored(
+            left.join(more.select("leaf").distinct(), "leaf", "left_semi").join(more, "line", "left_anti")
+        )
+    found = lines.where(F.col("docs") >= F.col("need")).select("line")
+    return reduce(DataFrame.union, rounds, found).distinct()
 
 
 def cut(docs: DataFrame, parsed: DataFrame, lines: DataFrame, most_loss: float, counts: bool = False) -> DataFrame:
@@ -244,7 +248,9 @@ def cut(docs: DataFrame, parsed: DataFrame, lines: DataFrame, most_loss: float,
     parts, drop, short = F.split("text", "\n"), F.col(drop_name), F.col(short_name)
 
     def shorter(ls: Column) -> Column:
-        rest = F.filter(ls, lambda x, i: ~F.array_contains(drop, i))
+        # By a hash set, so the work follows the lines and not lines times dropped ones.
+        stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop)
+        rest = F.transform(stay, lambda i: F.get(ls, i))
         return let(rest, lambda r: F.struct(F.array_join(r, "\n").alias("text"), F.size(r).alias("n")))
 
     found = joined.withColumn(short_name, F.when(drop.isNotNull(), let(parts, shorter)))
@@ -266,7 +272,7 @@ def cut(docs: DataFrame, parsed: DataFrame, lines: DataFrame, most_loss: float,
 def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = False) -> DataFrame:
     """The rows with their recurring lines taken out of ``text``; with ``counts`` also ``lines_before`` and ``lines_dropped``."""
     parsed = stored(parsed_lines(docs))
-    lines = recurring(docs, parsed, least_docs).select("line").distinct()
+    lines = recurring(parsed, least_docs).select("line").distinct()
     return cut(docs, parsed, lines, MOST_LOSS, counts)
 
 
