@@ -39,13 +39,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.llm import neardup
-from cladewise.llm.common import SPACE, stored, unused
+from cladewise.llm.common import stored, unused
 from cladewise.llm.quality import let
 
 LEADING = 4
 LEAST_TOKENS = 3
 LEAST_DOCS = 10
 FIELD = "<*>"
+#: White space within lines, and a token with a digit.
+BLANK = r"[\x09\x0B-\x0D]"
+WITH_DIGIT = r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+"
 #: A leaf's template needs this share of fixed positions, and a line this share of agreement with them.
 FIXED = 0.5
 AGREE = 0.8
@@ -66,28 +69,30 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def tokens(line: Column) -> Column:
-    found = F.filter(F.split(line, f"{SPACE}+"), lambda w: w != "")
-    masked = F.transform(found, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(found)
+def masked_lines(docs: DataFrame) -> DataFrame:
+    """``t, pos, said``: the text a line is in, its number, and its tokens with one space or more between them.
 
+    Tokens with a digit are variable fields. Texts are hashed and masked before their
+    lines become rows, so the work follows the characters, however many lines a text has.
+    """
+    masked = F.regexp_replace(F.regexp_replace("text", BLANK, " "), WITH_DIGIT, FIELD)
+    texts = docs.where(F.col("text") != "").select(text_key(F.col("text")).alias("t"), masked.alias("masked"))
+    return texts.select("t", F.posexplode(F.split("masked", "\n")).alias("pos", "said"))
 
-def parsed_lines(docs: DataFrame) -> DataFrame:
-    """``t, pos, leaf, line, raw``: the text a line is in, its number, its leaf, what it says apart from variable fields, and itself."""
-    lines = docs.where(F.col("text") != "").select(
-        text_key(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
-    )
 
-    def places(w: Column) -> Column:
-        n = F.size(w)
-        return F.struct(
-            n.alias("n"),
-            F.xxhash64(n, F.slice(w, 1, LEADING)).alias("leaf"),
-            F.xxhash64(n, w).alias("line"),
-        )
+def tokens(said: Column) -> Column:
+    return F.array_remove(F.split(said, " "), "")
+
+
+def leaf_and_line(w: Column) -> list[Column]:
+    n = F.size(w)
+    return [F.xxhash64(n, F.slice(w, 1, LEADING)).alias("leaf"), F.xxhash64(n, w).alias("line")]
 
-    found = lines.select("t", "pos", "raw", let(tokens(F.col("raw")), places).alias("p"))
-    return found.where(F.col("p.n") >= LEAST_TOKENS).select("t", "pos", "p.leaf", "p.line", "raw")
+
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """``t, pos, leaf, line, said``: the text a line is in, its number, its leaf and what it says, as a hash and in full."""
+    found = masked_lines(docs).select("t", "pos", "said", tokens(F.col("said")).alias("w"))
+    return found.where(F.size("w") >= LEAST_TOKENS).select("t", "pos", *leaf_and_line(F.col("w")), "said")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -109,8 +114,8 @@ def recurring(parsed: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     said = (
         parsed.join(mixed, "leaf")
         .groupBy("leaf", "leaf_docs", "line")
-        .agg(F.first("raw").alias("raw"))
-        .select("leaf", "leaf_docs", "line", tokens(F.col("raw")).alias("tokens"))
+        .agg(F.first("said").alias("said"))
+        .select("leaf", "leaf_docs", "line", tokens(F.col("said")).alias("tokens"))
     )
     weighed = stored(said.join(lines.select("line", "docs"), "line"))
     cells = weighed.select(
@@ -144,29 +149,15 @@ def recurring(parsed: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 
 def sized_lines(docs: DataFrame) -> DataFrame:
-    """``t, pos, leaf, line, n, need, raw`` of the lines with a letter: ``n`` tokens, and the support that makes them recur."""
-    lines = docs.where(F.col("text") != "").select(
-        text_key(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")
-    )
-
-    def places(w: Column) -> Column:
-        n = F.size(w)
-        said = F.array_join(w, "")
-        return F.struct(
-            n.alias("n"),
-            F.xxhash64(n, F.slice(w, 1, LEADING)).alias("leaf"),
-            F.xxhash64(n, w).alias("line"),
-            F.length(said).alias("chars"),
-            said.rlike(r"\p{L}").alias("speaks"),
-        )
-
-    found = lines.select("t", "pos", "raw", let(tokens(F.col("raw")), places).alias("p")).where("p.speaks")
-    n, chars = F.col("p.n"), F.col("p.chars")
+    """``t, pos, leaf, line, n, need, said`` of the lines with a letter: ``n`` tokens, and the support that makes them recur."""
+    speaking = masked_lines(docs).where(F.col("said").rlike(r"\p{L}"))
+    found = speaking.select("t", "pos", "said", tokens(F.col("said")).alias("w"))
+    n, chars = F.size("w"), F.length(F.regexp_replace("said", " ", ""))
     words = F.when(chars > LONG_TOKEN * n, F.greatest(n, chars / WORD_CHARS)).otherwise(n)
     need = F.lit(MOST_SUPPORT)
     for least, groups in reversed(SUPPORT):
         need = F.when(words >= least, groups).otherwise(need)
-    return found.select("t", "pos", "p.leaf", "p.line", "p.n", need.alias("need"), "raw")
+    return found.select("t", "pos", *leaf_and_line(F.col("w")), n.alias("n"), need.alias("need"), "said")
 
 
 def of_templates(said: DataFrame, seen: DataFrame) -> DataFrame:
@@ -222,8 +213,8 @@ def boilerplate(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     left = stored(
         parsed.join(open_lines, "line")
         .groupBy("leaf", "line", "docs", "need")
-        .agg(F.first("raw").alias("raw"))
-        .select("leaf", "line", "docs", "need", tokens(F.col("raw")).alias("tokens"))
+        .agg(F.first("said").alias("said"))
+        .select("leaf", "line", "docs", "need", tokens(F.col("said")).alias("tokens"))
     )
     seen = seen.select("g", "line")
     rounds = []
