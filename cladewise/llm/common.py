@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,17 +31,49 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+_PASSING: ContextVar[list[str] | None] = ContextVar("_PASSING", default=None)
+
+
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
     This cuts the lineage, so a lost executor costs no more than the running
     stage, and unlike ``checkpoint()`` computes the frame once only.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    paths = _PASSING.get()
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside of the block are removed at its end; the given function stores one that stays.
+
+    Frames used behind the block may read tables that stay and no others.
+    """
+    outer = _PASSING.get()
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _PASSING.set(outer)
+        try:
+            return stored(df)
+        finally:
+            _PASSING.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """Words in UTF-8 with A-Z in lower case; ``split`` cuts at exactly the six characters of SPACE."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

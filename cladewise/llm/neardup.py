@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import byte_words, same, stored, unused
+from cladewise.llm.common import passing, byte_words, same, stored, unused
 
 SHINGLE = 3
 PERCENT = 85
@@ -483,8 +483,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """One document of each group, the one of the smallest id; columns stay as they are."""
-    kept = classes(docs, rule).where(same(F.col("doc_id"), F.col("component_id")))
     of_id, of_tie = unused(docs, "_id"), unused(docs, "_tie")
-    kept = kept.select(F.col("doc_id").alias(of_id), F.col("tie").alias(of_tie)).distinct()
+    with passing(docs.sparkSession) as keep:
+        kept = classes(docs, rule).where(same(F.col("doc_id"), F.col("component_id")))
+        kept = keep(kept.select(F.col("doc_id").alias(of_id), F.col("tie").alias(of_tie)).distinct())
     here = same(F.col("doc_id").cast("long"), F.col(of_id)) & (F.xxhash64("text") == F.col(of_tie))
     return docs.join(kept, here, "left_semi")

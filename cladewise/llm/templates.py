@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.llm import neardup
-from cladewise.llm.common import stored, unused
+from cladewise.llm.common import passing, stored, unused
 from cladewise.llm.quality import let
 
 LEADING = 4
@@ -227,14 +227,15 @@ def boilerplate(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, rounds, found).distinct()
 
 
-def cut(docs: DataFrame, parsed: DataFrame, lines: DataFrame, most_loss: float, counts: bool = False) -> DataFrame:
-    """The rows without the given lines; those that would lose more than a share of ``most_loss`` stay as they are."""
+def places(parsed: DataFrame, lines: DataFrame) -> DataFrame:
+    """``t, places``: the numbers of the given lines in each text that has some."""
+    return parsed.join(small(lines), "line").groupBy("t").agg(F.collect_set("pos").alias("places"))
+
+
+def cut(docs: DataFrame, drops: DataFrame, most_loss: float, counts: bool = False) -> DataFrame:
+    """The rows without the lines at ``places``; those that would lose more than a share of ``most_loss`` stay as they are."""
     key, drop_name, short_name = (unused(docs, k) for k in ("_key", "_drop", "_short"))
-    drops = (
-        parsed.join(small(lines), "line")
-        .groupBy(F.col("t").alias(key))
-        .agg(F.collect_set("pos").alias(drop_name))
-    )
+    drops = drops.select(F.col("t").alias(key), F.col("places").alias(drop_name))
     joined = docs.join(drops, text_key(F.col("text")) == F.col(key), "left")
     parts, drop, short = F.split("text", "\n"), F.col(drop_name), F.col(short_name)
 
@@ -262,12 +263,15 @@ def cut(docs: DataFrame, parsed: DataFrame, lines: DataFrame, most_loss: float,
 
 def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = False) -> DataFrame:
     """The rows with their recurring lines taken out of ``text``; with ``counts`` also ``lines_before`` and ``lines_dropped``."""
-    parsed = stored(parsed_lines(docs))
-    lines = recurring(parsed, least_docs).select("line").distinct()
-    return cut(docs, parsed, lines, MOST_LOSS, counts)
+    with passing(docs.sparkSession) as keep:
+        parsed = stored(parsed_lines(docs))
+        drops = keep(places(parsed, recurring(parsed, least_docs).select("line").distinct()))
+    return cut(docs, drops, MOST_LOSS, counts)
 
 
 def drop_boilerplate(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the rows without the lines of recurring templates, whatever their share of a text."""
-    parsed = stored(sized_lines(docs))
-    return cut(docs, parsed, boilerplate(docs, parsed), 1.0)
+    with passing(docs.sparkSession) as keep:
+        parsed = stored(sized_lines(docs), "zstd")
+        drops = keep(places(parsed, boilerplate(docs, parsed)))
+    return cut(docs, drops, 1.0)

@@ -61,6 +61,7 @@ def kinds():
         "packing": lambda d: packing.pack(d.selectExpr("doc_id", "length(text) AS length", "m")),
         "quality": quality.judge,
         "templates": lambda d: templates.drop_recurring(d, least_docs=2, counts=True),
+        "boilerplate": templates.drop_boilerplate,
         "tokens": lambda d: tokens.count_tokens(d, PATH),
         "neardup": neardup.near_duplicates,
         "one_each": neardup.keep_one,
@@ -73,13 +74,13 @@ def kinds():
 def test_odd_and_empty_tables(odd, name):
     n = odd.count()
     got = kinds()[name](odd).count()
-    if name in ("language", "quality", "templates", "tokens", "neardup", "clean"):
+    if name in ("language", "quality", "templates", "boilerplate", "tokens", "neardup", "clean"):
         assert got == n
     assert kinds()[name](odd.limit(0)).count() == 0
 
 
 def test_filters_keep_all_columns(odd):
-    for name in ("identified", "one_each", "clean"):
+    for name in ("identified", "boilerplate", "one_each", "clean"):
         assert kinds()[name](odd).columns == odd.columns
 
 
