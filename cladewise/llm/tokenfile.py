@@ -11,12 +11,15 @@ documents in ascending order of id. A shard is
     footer   place and length of the index, number of documents, magic
 
 with one newline byte behind each of these blocks. The index gives any document
-with one read of the footer, one of the index and one of the frame.
+with one read of the footer, one of the index and one of the frame:
+``read_document`` does so by byte ranges and finds the shard by bisection.
+``read_ids`` reads all documents, or many wanted ones, as a job.
 
 Files are written by Spark's own writer, one for each partition, so they go to
 any store, and a lost executor's part is written anew before it is committed.
 Frames are compressed before the shuffle that sorts them. The dictionary is
-fitted on at most ``SAMPLE_DOCS`` documents, ``SAMPLE_BYTES`` of each; without
+fitted on about ``SAMPLE_DOCS`` documents, chosen by a hash of id and text, and
+``SAMPLE_CHARS`` characters of each from a place that the hash gives; without
 enough of them it is empty and frames stand alone.
 
 A null text is empty and has the end id alone. Null ids come first. Rows of the
@@ -30,13 +33,15 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cladewise.llm.common import stored
@@ -49,10 +54,12 @@ INDEX = np.dtype(
     [("doc_id", "<i8"), ("null", "u1"), ("n", "<u8"), ("before", "<u8"), ("place", "<u8"), ("length", "<u8")]
 )
 SAMPLE_DOCS = 2000
-SAMPLE_BYTES = 4096
+SAMPLE_CHARS = 8192
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 16 << 20
 LEVEL = 3
+#: Shards in a block of the sums over shards.
+BLOCK = 1024
 
 
 def header(width: int, digest: bytes) -> bytes:
@@ -65,23 +72,35 @@ def index_and_footer(rows: list[tuple], place: int) -> list[bytes]:
     return [packed, FOOTER.pack(place, len(packed), len(rows), MAGIC)]
 
 
+class ByteUnits(Units):
+    """Units whose bytes are looked up without a step of Python for each."""
+
+    def of(self, text: str) -> Iterable[bytes]:
+        if not self.regular(text):
+            return [self.value(text)]
+        first, space, rest = text.partition(" ")
+        found = map(self.__getitem__, rest.split(" ")) if space else ()
+        return chain([self.value(first)], found) if first else found
+
+
 class Encoder:
     """Ids of texts as bytes, in one worker."""
 
     def __init__(self, path: str, width: int) -> None:
-        self.path, self.kind = path, f"<u{width}"
+        self.path, self.kind = path, "H" if width == 2 else "I"
         self.cut = pre_token_pattern(path).findall
         self.special, self.names = special_pattern(path), special_tokens(path)
         self.pre_tokens = PreTokens(path, self._bytes)
-        self.units = Units(self._unit)
+        self.units = ByteUnits(self._unit)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
     def _unit(self, text: str) -> bytes:
         if _ASTRAL.search(text):
             return self._bytes(load(self.path).encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.pre_tokens.__getitem__, self.cut(text)))
+        cut = self.cut(text)
+        return self.pre_tokens[cut[0]] if len(cut) == 1 else b"".join(map(self.pre_tokens.__getitem__, cut))
 
     def encode(self, text: str | None, end: int = 0) -> bytes:
         out: list[bytes] = []
@@ -108,16 +127,25 @@ def id_width(path: str) -> int:
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
-    """A dictionary from a bounded sample; the driver gets 8 MB of it at most."""
+    """A dictionary from about ``SAMPLE_DOCS`` documents; the driver gets their ids, some 16 KB of each at most.
+
+    A document is in the sample if its hash falls below a rate that the number of rows
+    gives, so the sample follows from the rows alone and not from their order. Copies
+    count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encoder(path, width).encode(t)[:SAMPLE_BYTES] for t in batch.column(0).to_pylist()]
+            ids = [encoder(path, width).encode(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     every = max(1, docs.count() // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(SAMPLE_DOCS)
-    pieces = sorted(bytes(r[0]) for r in sample.select("text").mapInArrow(run, "ids binary").collect())
+    place = F.xxhash64("doc_id", "text")
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    chosen = docs.where(F.pmod(place, F.lit(every)) == 0).select(
+        F.substring("text", (F.pmod(F.xxhash64(place), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
+    )
+    pieces = sorted(bytes(r[0]) for r in chosen.distinct().mapInArrow(run, "ids binary").collect())
     pieces = [p for p in pieces if len(p) >= 8]
     if len(pieces) < 32:
         return b""
@@ -153,12 +181,15 @@ def write_ids(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
                 part = batch.slice(at, 512)
                 ids = [coder.encode(t, end) for t in part.column(2).to_pylist()]
                 n = pa.array([len(x) // width for x in ids], pa.int64())
-                frames = pa.array([packer.compress(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, frames], ["doc_id", "tie", "n", "frame"])
+                packed = [packer.compress(x) for x in ids]
+                frames, size = pa.array(packed, pa.binary()), pa.array([len(x) for x in packed], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), n, size, frames], ["doc_id", "tie", "n", "size", "frame"]
+                )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
-    frames = stored(rows.mapInArrow(compress, "doc_id long, tie long, n long, frame binary"))
-    total = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
+    frames = stored(rows.mapInArrow(compress, "doc_id long, tie long, n long, size long, frame binary"))
+    total = frames.agg(F.sum("size")).first()[0] or 0
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: list[tuple] = []
@@ -175,7 +206,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end: int = 0) -> None:
         if started:
             yield pa.RecordBatch.from_arrays([pa.array(index_and_footer(index, place), pa.binary())], ["value"])
 
-    ordered = frames.repartitionByRange(max(1, -(-total // SHARD_BYTES)), "doc_id", "tie").sortWithinPartitions(
+    ordered = frames.drop("size").repartitionByRange(max(1, -(-total // SHARD_BYTES)), "doc_id", "tie").sortWithinPartitions(
         "doc_id", "tie"
     )
     _write_bytes(ordered.mapInArrow(shard, "value binary"), f"{folder}/shards")
@@ -187,18 +218,91 @@ def read_dictionary(spark: SparkSession, folder: str) -> bytes:
     return next((x for x in found if x), b"")
 
 
-def open_shard(data: bytes, dictionary: bytes) -> tuple[int, np.ndarray]:
-    """Bytes of an id and the index of a shard; the dictionary has to be the one it was written with."""
+def _footer(data: bytes) -> tuple[int, int, int]:
+    place, length, n, end = FOOTER.unpack_from(data)
+    if end != MAGIC:
+        raise ValueError("not a shard")
+    return place, length, n
+
+
+def _width(data: bytes, dictionary: bytes) -> int:
     magic, width, digest = HEADER.unpack_from(data)
-    place, length, n, end = FOOTER.unpack_from(data, len(data) - FOOTER.size - 1)
-    if magic != MAGIC or end != MAGIC:
+    if magic != MAGIC:
         raise ValueError("not a shard")
     if digest != hashlib.sha256(dictionary).digest():
         raise ValueError("the shard was written with another dictionary")
-    index = np.frombuffer(zstandard.decompress(data[place : place + length]), dtype=INDEX)
+    return width
+
+
+def _index(packed: bytes, n: int) -> np.ndarray:
+    index = np.frombuffer(zstandard.decompress(packed), dtype=INDEX)
     if len(index) != n:
         raise ValueError("the index is not whole")
-    return width, index
+    return index
+
+
+def open_shard(data: bytes, dictionary: bytes) -> tuple[int, np.ndarray]:
+    """Bytes of an id and the index of a shard; the dictionary has to be the one it was written with."""
+    place, length, n = _footer(data[-FOOTER.size - 1 :])
+    return _width(data, dictionary), _index(data[place : place + length], n)
+
+
+class Ranges:
+    """Byte ranges of files in any store that Spark reads."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._jvm = spark._jvm
+        root = self._jvm.org.apache.hadoop.fs.Path(folder)
+        self._fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = [f for f in self._fs.listStatus(root) if f.getPath().getName().startswith("part-")]
+        #: Path and length of the files that hold something, in order of name.
+        self.files = sorted((f.getPath().toString(), f.getLen()) for f in status if f.getLen())
+
+    def read(self, path: str, start: int, n: int) -> bytes:
+        stream = self._fs.open(self._jvm.org.apache.hadoop.fs.Path(path))
+        try:
+            stream.seek(start)
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+        finally:
+            stream.close()
+
+
+def read_document(spark: SparkSession, folder: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each row of a document, read by byte ranges; nothing where there is none.
+
+    Shards are in order of id, so footers and indexes of a few of them lead to the first
+    one whose last id is not smaller; frames are read of the asked document alone.
+    """
+    ranges = Ranges(spark, f"{folder}/shards")
+    wanted = (doc_id is not None, doc_id or 0)
+    indexes: dict[int, np.ndarray] = {}
+
+    def index_of(k: int) -> np.ndarray:
+        if k not in indexes:
+            path, size = ranges.files[k]
+            place, length, n = _footer(ranges.read(path, size - FOOTER.size - 1, FOOTER.size))
+            indexes[k] = _index(ranges.read(path, place, length), n)
+        return indexes[k]
+
+    def last(k: int) -> tuple[bool, int]:
+        row = index_of(k)[-1]
+        return not row["null"], int(row["doc_id"])
+
+    found: list[np.ndarray] = []
+    dictionary = None
+    # Rows of one id may go on in the next shard.
+    for k in range(bisect_left(range(len(ranges.files)), wanted, key=last), len(ranges.files)):
+        index, path = index_of(k), ranges.files[k][0]
+        rows = index[(index["doc_id"] == wanted[1]) & (index["null"] == (not wanted[0]))]
+        if not len(rows):
+            break
+        if dictionary is None:
+            dictionary = read_dictionary(spark, folder)
+        width = _width(ranges.read(path, 0, HEADER.size), dictionary)
+        unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
+        for place, length in zip(rows["place"].tolist(), rows["length"].tolist()):
+            found.append(np.frombuffer(unpacker.decompress(ranges.read(path, place, length)), dtype=f"<u{width}"))
+    return found
 
 
 def read_ids(spark: SparkSession, folder: str, wanted: frozenset[int] | None = None) -> DataFrame:
@@ -243,14 +347,21 @@ def read_ids(spark: SparkSession, folder: str, wanted: frozenset[int] | None = N
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read from the files.
 
-    A document starts after the ids of earlier shards and those before it in its
-    own; only the sums of shards are put in one window.
+    A document starts after the ids of earlier shards and those before it in its own.
+    Sums of shards are added up within blocks of shards, and those of blocks on top.
     """
     read = read_ids(spark, folder)
     rows = stored(read.select("shard", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32")))
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    sums = sums.withColumn("block", F.floor(F.col("shard") / BLOCK))
+    blocks = sums.groupBy("block").agg(F.sum("n").alias("n"))
+
+    def before(order: WindowSpec) -> Column:
+        return F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    blocks = blocks.select("block", before(Window.orderBy("block")).alias("base"))
+    within = sums.select("block", "shard", before(Window.partitionBy("block").orderBy("shard")).alias("within"))
+    bases = within.join(blocks, "block").select("shard", (F.col("base") + F.col("within")).alias("base"))
     return rows.join(bases, "shard").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )

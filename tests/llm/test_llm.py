@@ -315,6 +315,36 @@ def test_token_files_of_odd_rows(spark, odd):
     assert tokenfile.digests(spark, empty).count() == 0
 
 
+def test_one_document_is_read_by_ranges(spark, docs, library, monkeypatch):
+    rows = [(k, r.text) for k, r in docs.items()] + [(None, "no id"), (7, "the other seven"), (7, None)]
+    folder = shared_folder(spark)
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 1 << 14)
+    tokenfile.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, folder)
+    files = tokenfile.Ranges(spark, f"{folder}/shards").files
+    assert len(files) > 8
+
+    read, asked = tokenfile.Ranges.read, []
+
+    def counted(self, path, start, n):
+        asked.append((path, n))
+        return read(self, path, start, n)
+
+    monkeypatch.setattr(tokenfile.Ranges, "read", counted)
+    for k in [None, min(docs), 7, sorted(docs)[len(docs) // 2], max(docs), max(docs) + 1, -1]:
+        texts = [t or "" for i, t in rows if i == k]
+        asked.clear()
+        got = sorted(x.tolist() for x in tokenfile.read_document(spark, folder, k))
+        assert got == sorted(library.encode(t, add_special_tokens=False).ids + [0] for t in texts)
+        assert len({path for path, _ in asked}) <= 2 + len(files).bit_length()
+        assert sum(n for _, n in asked) < sum(n for _, n in files) // 3
+
+
+def test_dictionary_sample_does_not_depend_on_order(spark, docs):
+    table = spark.createDataFrame([(k, r.text) for k, r in docs.items()], "doc_id long, text string")
+    made = {tokenfile.train_dictionary(t, PATH, 2) for t in (table, table.orderBy("text"), table.repartition(5))}
+    assert len(made) == 1 and b"" not in made
+
+
 def test_token_count_query(spark, sf_dir, docs, library):
     rows = QUERIES["op10_token_counts"](spark, sf_dir).collect()
     assert len(rows) == len(docs)
