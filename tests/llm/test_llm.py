@@ -175,16 +175,81 @@ def test_packing_query(spark, sf_dir, docs):
         assert capacity == packing.smallest(packing.CAPACITIES, at)
 
 
+SIZES, TERMS = (4, 8, 16), (1, 32)
+
+
+def scanned(lengths):
+    """The method read literally: all bins and all pieces to come are looked through each time."""
+    room, places, filled = {}, [], []
+
+    def opened(i, c):
+        content = lengths[i]
+        for n in lengths[i + 1 :]:
+            content += n if content + n <= c else 0
+        return packing.cost(min(x for x in SIZES if x >= content), *TERMS) / content, c
+
+    for i, n in enumerate(lengths):
+        fits = [(r, k) for k, r in room.items() if r >= n]
+        if fits:
+            _, k = min(fits)
+        else:
+            k = len(filled)
+            filled.append(0)
+            room[k] = min((opened(i, c) for c in SIZES if c >= n))[1]
+        places.append((k, filled[k]))
+        filled[k] += n
+        room[k] -= n
+    return places, [min(x for x in SIZES if x >= f) for f in filled]
+
+
+def least_cost(lengths):
+    """The least cost of any partition into bins."""
+
+    def best(i, bins):
+        if i == len(lengths):
+            return sum(packing.cost(min(x for x in SIZES if x >= f), *TERMS) for f in bins)
+        options = [bins[:k] + (f + lengths[i],) + bins[k + 1 :] for k, f in enumerate(bins) if f + lengths[i] <= SIZES[-1]]
+        return min(best(i + 1, b) for b in [*options, (*bins, lengths[i])])
+
+    return best(0, ())
+
+
 def test_best_fit_against_scan():
     random.seed(3)
-    for _ in range(200):
-        lengths = sorted((random.randint(1, 16) for _ in range(20)), reverse=True)
-        places, sizes = packing.best_fit(lengths, (4, 8, 16), 1)
-        filled = Counter()
-        for n, (k, offset) in zip(lengths, places):
-            assert filled[k] == offset
-            filled[k] += n
-        assert all(sizes[k] == packing.smallest((4, 8, 16), n) for k, n in filled.items())
+    for _ in range(300):
+        lengths = sorted((random.randint(1, 16) for _ in range(random.randint(0, 30))), reverse=True)
+        assert packing.best_fit(lengths, SIZES, *TERMS) == scanned(lengths)
+
+
+def test_best_fit_costs_little_more_than_the_best_partition():
+    random.seed(4)
+    ratios = []
+    for _ in range(150):
+        lengths = sorted((random.randint(1, 16) for _ in range(7)), reverse=True)
+        _, sizes = packing.best_fit(lengths, SIZES, *TERMS)
+        ratios.append(sum(packing.cost(c, *TERMS) for c in sizes) / least_cost(lengths))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.25 and sum(ratios) / len(ratios) < 1.02, (max(ratios), sum(ratios) / 150)
+
+
+def test_every_permitted_length_lowers_the_cost(docs):
+    most = packing.CAPACITIES[-1]
+    lengths = sorted(((len(WORD.findall(r.text or "")) + 1) % most for r in docs.values()), reverse=True)
+    lengths = [n for n in lengths if n]
+
+    def total(capacities):
+        return sum(map(packing.cost, packing.best_fit(lengths, capacities)[1]))
+
+    _, sizes = packing.best_fit(lengths, packing.CAPACITIES)
+    assert len(set(sizes)) >= 3
+    together = total(packing.CAPACITIES)
+    for c in packing.CAPACITIES[:-1]:
+        assert together <= total(tuple(x for x in packing.CAPACITIES if x != c))
+    # Greatest bins alone, each downsized in the end.
+    places, _ = packing.best_fit(lengths, (most,))
+    filled = Counter()
+    for n, (k, _) in zip(lengths, places):
+        filled[k] += n
+    assert together < sum(packing.cost(packing.smallest(packing.CAPACITIES, f)) for f in filled.values())
 
 
 # --- 4 ---------------------------------------------------------------------
