@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +44,57 @@ def _seeded(seed: int, *parts: Column) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def draw_indexes(size: Column, wanted: Column, *key: Column, seed: int) -> Column:
     """``wanted`` distinct indexes below ``size``, a uniform ordered sample.
 
     Floyd's method picks the subset with one draw per pick, so the cost
     follows the sample and not the pool; a second digest puts it in order.
+
+    A draw that was picked before gives way to its own step. That is so if an
+    earlier step drew it, which a sort tells, or if it is itself a step that gave
+    way. Steps point to the step they drew, and pointers are doubled until none
+    is left, so no pick looks through the picks before it.
     """
     first = size - wanted
-    picked = F.aggregate(
+    draws = F.transform(
         F.sequence(first, size - 1),
-        F.array().cast("array<bigint>"),
-        lambda chosen, j: F.array_append(
-            chosen,
-            F.when(
-                F.array_contains(chosen, hash60(_seeded(seed, *key, j)) % (j + 1)), j
-            ).otherwise(hash60(_seeded(seed, *key, j)) % (j + 1)),
+        lambda j: F.struct((hash60(_seeded(seed, *key, j)) % (j + 1)).alias("i"), j.alias("j")),
+    )
+    repeated = _let(
+        F.sort_array(draws),
+        lambda s: F.transform(
+            s, lambda x, n: F.struct(x["j"], x["i"], ((n > 0) & (F.get(s, n - 1)["i"] == x["i"])).alias("yields"))
         ),
     )
+    # A step that drew another one yields if that one does; the place of step j is j - first.
+    steps = F.transform(
+        F.sort_array(repeated),
+        lambda x: F.struct(
+            x["j"],
+            x["i"],
+            x["yields"],
+            F.when(~x["yields"] & (x["i"] >= first) & (x["i"] < x["j"]), (x["i"] - first).cast("int")).alias("to"),
+        ),
+    )
+
+    def doubled(all_steps: Column, _: Column) -> Column:
+        def followed(x: Column) -> Column:
+            target = F.get(all_steps, x["to"])
+            further = F.struct(x["j"], x["i"], target["yields"].alias("yields"), target["to"].alias("to"))
+            return F.when(x["to"].isNull(), x).otherwise(further)
+
+        open_steps = F.exists(all_steps, lambda x: x["to"].isNotNull())
+        return F.when(open_steps, F.transform(all_steps, followed)).otherwise(all_steps)
+
+    rounds = F.sequence(F.lit(0), F.length(F.bin(wanted)))
+    picked = F.transform(
+        F.aggregate(rounds, steps, doubled), lambda x: F.when(x["yields"], x["j"]).otherwise(x["i"])
+    )
     ordered = F.sort_array(
         F.transform(
             picked,
@@ -84,10 +120,11 @@ def sample_strata(
     checked = quotas.where(wanted > 0).withColumn(
         "size", F.when(enough, F.col("size")).otherwise(F.raise_error(too_small))
     )
-    # Spread the cycles before drawing: quotas may be a single row.
+    # Spread the cycles before drawing, in a number of parts that is not merged again: few short rows make many picks.
+    parts = 4 * numbered.sparkSession.sparkContext.defaultParallelism
     cycles = checked.withColumn(
         "cycle_no", F.explode(F.sequence(F.lit(1), F.lit(n_cycles)))
-    ).repartition("cycle_no")
+    ).repartition(parts, "cycle_no", "stratum")
     draws = cycles.withColumn(
         "picks",
         draw_indexes(
@@ -98,7 +135,8 @@ def sample_strata(
             seed=seed,
         ),
     ).select(
-        "cycle_no", "stratum", "n_fg", F.posexplode("picks").alias("nth", "idx")
+        # Outer, though no list is empty: else Spark asks for filled lists, and so draws, before it spreads the cycles.
+        "cycle_no", "stratum", "n_fg", F.posexplode_outer("picks").alias("nth", "idx")
     )
     names = broadcast_if_small(numbered.drop("size"), row_bytes=96)
     return draws.join(names, ["stratum", "idx"]).select(

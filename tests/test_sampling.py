@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import pytest
@@ -145,3 +146,24 @@ def test_cycles_and_groups_convert(spark):
 def test_first_cycles_keep_names_without_a_number(spark):
     groups = spark.createDataFrame([("cycle_b", "x", 1), ("b_2", "x", 1), ("cycle_a", "x", 1)], "trait string, species string, grp int")
     assert {r.trait for r in S.first_cycles(groups, 2).collect()} == {"b_2", "cycle_a"}
+
+
+def test_draws_of_many_are_those_of_floyd_and_are_made_behind_the_spread(spark):
+    def digest(*parts):
+        return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+    def floyd(size, wanted, cycle):
+        chosen = set()
+        for j in range(size - wanted, size):
+            i = int(digest(3, cycle, j)[:15], 16) % (j + 1)
+            chosen.add(j if i in chosen else i)
+        return sorted(chosen, key=lambda i: digest(3, cycle, "order", i))
+
+    asked = [(c, *x) for c in range(20) for x in ((1, 1), (30, 9), (400, 400), (400, 399), (3000, 1500))]
+    frame = spark.createDataFrame(asked, "cycle long, size long, wanted long")
+    drawn = frame.select("*", S.draw_indexes(F.col("size"), F.col("wanted"), F.col("cycle"), seed=3).alias("picks"))
+    for r in drawn.collect():
+        assert r.picks == floyd(r.size, r.wanted, r.cycle)
+    groups = S.resample_random(pool(spark), 5, 4, 10, seed=1)
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
