@@ -4,8 +4,8 @@ Words are hashed to ``FEATURES`` features and weighed by their inverse document
 frequency over all documents. A distributed randomised SVD of TF-IDF passages
 gives a basis of ``RANK`` latent directions: in each round every task multiplies
 its passages with the basis and sends the product's blocks, which are added up in
-Spark. It is fitted on all items and about ``SAMPLE`` passages of the corpus, chosen
-by a hash of document and position at a rate from the number of all passages.
+Spark. It is fitted on all items of a block and all passages of the corpus, which
+are stored once and read in each round.
 
 Then every text is cut into windows of ``STEP``-word steps, as many as an item
 takes wherever it begins. A window is a candidate if the words that it shares with
@@ -44,7 +44,6 @@ EXTRA = 8
 POWER_ROUNDS = 2
 #: Items count so much more than passages of the corpus, so that the basis spans a block of them.
 ITEM_WEIGHT = 4.0
-SAMPLE = 2048
 PASSAGE = 64
 STEP = 16
 ITEMS = 200
@@ -123,13 +122,13 @@ def passages(texts: DataFrame, idf: np.ndarray, length: float = 1.0, rate: float
                 for at in taken[taken < len(found)].tolist():
                     at_, n = np.unique(found[at : at + PASSAGE], return_counts=True)
                     w = n * idf[at_]
-                    places.append(at_.tolist())
-                    weights.append((w * (length / max(1e-9, np.linalg.norm(w)))).tolist())
+                    places.append(at_)
+                    weights.append((w * (length / max(1e-9, np.linalg.norm(w)))).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["places", "weights"]
+                [pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["places", "weights"]
             )
 
-    return texts.select("key", "text").mapInArrow(run, "places array<int>, weights array<double>")
+    return texts.select("key", "text").mapInArrow(run, "places array<int>, weights array<float>")
 
 
 def gram_product(vectors: DataFrame, basis: np.ndarray, blocks: int = 64) -> np.ndarray:
@@ -138,12 +137,14 @@ def gram_product(vectors: DataFrame, basis: np.ndarray, blocks: int = 64) -> np.
     height = FEATURES // blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        out = np.zeros_like(v)
+        v = shared.value.astype(np.float32)
+        out = np.zeros_like(shared.value)
         for batch in batches:
-            for places, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = np.array(weights)
-                out[places] += w[:, None] * (w @ v[places])
+            ends = batch.column(0).offsets.to_numpy()
+            places, weights = (c.values.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                at, w = places[a:b], weights[a:b]
+                out[at] += np.outer(w, w @ v[at])
         parts = [out[k * height : (k + 1) * height].tobytes() for k in range(blocks)]
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int64()), pa.array(parts, pa.binary())], ["block", "part"])
 
@@ -345,16 +346,14 @@ def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
     n_items = items.count()
     if not n_items:
         return
-    df, n, n_passages = document_frequency(docs)
+    df, n, _ = document_frequency(docs)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
-    # The id takes part, so that copies do not stand or fall together.
-    corpus = passages(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), idf, rate=SAMPLE / max(1, n_passages))
+    corpus = stored(passages(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), idf))
     blocks = -(-n_items // ITEMS)
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         keyed = mine.select(F.xxhash64("text").alias("key"), "text")
-        vectors = corpus.union(passages(keyed, idf, ITEM_WEIGHT))
-        basis = latent_basis(stored(vectors.repartition(4)))
+        basis = latent_basis(corpus.union(stored(passages(keyed, idf, ITEM_WEIGHT))))
         yield Model([tuple(r) for r in mine.collect()], basis, idf)
 
 

@@ -621,3 +621,14 @@ def test_item_on_both_sides_of_a_chunk_of_windows_counts_once():
     model = decontam.Model([(1, item)], basis, np.ones(decontam.FEATURES))
     filler = " ".join(f"other{i % 50}" for i in range(4095 * decontam.STEP + 8))
     assert [m["item_id"] for m in model.matches([f"{filler} {item} {filler}"])[0]] == [1]
+
+
+def test_the_basis_is_fitted_on_every_passage(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(64))
+    frame = spark.range(3000).selectExpr("id AS doc_id", f"concat('{words} {words} x', id) AS text")
+    fitted = []
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((decontam.FEATURES, decontam.RANK)))[0]
+    monkeypatch.setattr(decontam, "latent_basis", lambda vectors: fitted.append(vectors.count()) or basis)
+    items = spark.createDataFrame([(1, words)], "item_id long, text string")
+    assert len(list(decontam.models(frame, items))) == 1
+    assert fitted == [3000 * 3 + 1]
