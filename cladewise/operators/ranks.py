@@ -43,9 +43,11 @@ def with_count_from(df: DataFrame, value: str, distribution: DataFrame, name: st
         .groupBy("v")
         .agg(F.sum("n").alias(name))
     )
-    return (
-        df.join(found, F.col(value).cast("long") == F.col("v"), "left").drop("v").withColumn(name, F.coalesce(name, F.lit(0)))
-    )
+    # Checked here as well, since a join with an empty distribution is left out of the plan.
+    own_value = F.col(value).cast("long")
+    refused = F.raise_error(F.lit(f"a value is not from 0 to 2^{bits} - 1"))
+    counted_from = F.when(own_value.between(F.lit(0), F.lit((1 << bits) - 1)), F.coalesce(name, F.lit(0))).otherwise(refused)
+    return df.join(found, own_value == F.col("v"), "left").drop("v").withColumn(name, counted_from)
 
 
 def _shifted(value: str, by: Column) -> Column:
