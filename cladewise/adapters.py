@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladewise.plans.sizing import spread_if_small
+from cladewise.plans.sizing import spread_by, spread_if_small
 from cladewise.schema import GAP
 
 N_SPECIES = 100
@@ -25,8 +25,10 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The symbol follows the quantity; quantities ending in 9 and unused line
     numbers are gaps. Codes are compared as numbers, so the seven columns of a
-    record come from one hash aggregation.
+    record come from one hash aggregation. Records of a gene end up side by side,
+    so what is counted by gene and column is not shuffled again.
     """
+    lines = table(spark, sf_dir, "lineitem")
     quantity = F.floor("l_quantity")
     code = F.when(quantity % 10 == 9, F.lit(ord(GAP))).otherwise(F.lit(65) + quantity % 4)
     symbols = [
@@ -36,14 +38,16 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         for n in LINE_NUMBERS
     ]
     beyond = F.raise_error(F.lit(f"a line number is greater than {LINE_NUMBERS[-1]}"))
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.concat(F.lit("g"), F.col("l_suppkey").cast("string")).alias("gene"),
-            species_name(F.col("l_partkey")).alias("species"),
-        )
-        .agg(F.when(F.max("l_linenumber") <= LINE_NUMBERS[-1], F.concat(*symbols)).otherwise(beyond).alias("seq"))
+    named = lines.withColumns(
+        {
+            "gene": F.concat(F.lit("g"), F.col("l_suppkey").cast("string")),
+            "species": species_name(F.col("l_partkey")),
+        }
+    )
+    records = named.groupBy("gene", "species").agg(
+        F.when(F.max("l_linenumber") <= LINE_NUMBERS[-1], F.concat(*symbols)).otherwise(beyond).alias("seq")
     )
+    return spread_by(records, lines.count(), "gene")
 
 
 def part_species(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +151,11 @@ def label_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer, order and line with the branch lengths of the order trees."""
+    """Customer, order and line with the branch lengths of the order trees, those of a tree side by side."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    rows = items.count()
     lines = (
-        table(spark, sf_dir, "lineitem")
+        spread_by(items, rows, "l_orderkey")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.max("l_quantity").cast("bigint").alias("line_length"))
     )
@@ -158,13 +164,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey",
         F.substring("o_orderpriority", 1, 1).cast("bigint").alias("order_length"),
     )
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+    placed = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("tree"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("order"),
         F.concat_ws("_", F.lit("l"), F.col("l_orderkey"), F.col("l_linenumber")).alias("tip"),
         "order_length",
         "line_length",
     )
+    return spread_by(placed, rows, "tree")
 
 
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.plans.sizing import spread_by
+
 # One bracket, comma or node text; bracketed comments are removed before.
 _TOKEN = r"[(),]|'(?:[^']|'')*'(?:\s*:\s*[^(),\s;]+)?|[^(),\s;']+"
 _COMMENT = r"\[[^\]]*\]"
@@ -250,9 +252,12 @@ def pair_distances(trees: DataFrame, pairs: DataFrame, max_tips: int | None = No
     and the run up to the second together cover the stretch between them. The
     full pair matrix of a tree is never formed.
     """
+    # Every tip but the last of a tree is followed by a comma sooner or later.
+    commas = F.regexp_count("newick", F.lit(","))
+    sizes = trees.agg(F.max(commas).alias("most"), F.sum(commas + 1).alias("tips")).first()
+    n_tips = sizes["tips"] or 0
     if max_tips is None:
-        # Every tip but the last of a tree is followed by a comma sooner or later.
-        max_tips = 1 + (trees.agg(F.max(F.regexp_count("newick", F.lit(",")))).first()[0] or 0)
+        max_tips = 1 + (sizes["most"] or 0)
     steps = max_tips.bit_length()
     order = Window.partitionBy("tree").orderBy("nth")
     tips = root_distances(trees).withColumns({"on0": F.col("low"), "upto0": F.col("low_before")})
@@ -276,7 +281,8 @@ def pair_distances(trees: DataFrame, pairs: DataFrame, max_tips: int | None = No
     )
 
     def end(side: str) -> DataFrame:
-        return tips.select("tree", F.col("label").alias(side), F.col("tip").alias(f"tip_{side}"))
+        named = tips.select("tree", F.col("label").alias(side), F.col("tip").alias(f"tip_{side}"))
+        return spread_by(named, n_tips, "tree", side)
 
     swap = F.col("tip_a.nth") > F.col("tip_b.nth")
     placed = pairs.join(end("a"), ["tree", "a"]).join(end("b"), ["tree", "b"]).select(
