@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cladewise.operators.bitmaps import BITS
 from cladewise.operators.columns import cells
 from cladewise.operators.evidence import group_sizes
-from cladewise.plans.sizing import Groups, pin, pin_groups
+from cladewise.plans.sizing import Groups, fits, pin, pin_groups
 from cladewise.schema import GAP
 
 #: Species that are numbered together.
@@ -46,16 +46,33 @@ def _bits(condition: str | None = None) -> Column:
     return F.expr(f"bit_or(if({condition}, shiftleft(1L, bit), 0L))" if condition else "bit_or(shiftleft(1L, bit))")
 
 
-def column_words(records: DataFrame, places: DataFrame) -> DataFrame:
+def cells_at(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``cells`` in the columns ``wanted`` (``gene, at``, a list of positions); others are not made."""
+    carried = [c for c in records.columns if c != "seq"]
+    symbols = F.transform(
+        F.array(F.split("seq", "")),
+        lambda all_symbols: F.transform(
+            "at", lambda p: F.struct(p.alias("pos"), F.get(all_symbols, p).alias("symbol"))
+        ),
+    )
+    return (
+        records.join(wanted, "gene")
+        .select(*carried, F.explode(F.get(symbols, F.lit(0))).alias("c"))
+        .select(*carried, "c.pos", "c.symbol")
+        .where(F.col("symbol") != "")
+    )
+
+
+def column_words(records: DataFrame, places: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``gene, pos, word, symbols``: the bits of the members that show each symbol of a column, gaps left out.
 
     ``symbols`` is as long as the alphabet at most. Sequences are taken apart once, and
-    only those of members; what goes into the shuffle is combined in the map tasks.
+    only those of members and in the wanted columns; what goes into the shuffle is combined in the map tasks.
     """
     members = records.join(places, "species").drop("species")
+    taken = cells(members) if wanted is None else cells_at(members, wanted)
     return (
-        cells(members)
-        .where(F.col("symbol") != GAP)
+        taken.where(F.col("symbol") != GAP)
         .groupBy("gene", "pos", "word", "symbol")
         .agg(_bits().alias("bits"))
         .groupBy("gene", "pos", "word")
@@ -80,10 +97,13 @@ def hit_details(hits: DataFrame, records: DataFrame, groups: DataFrame | Groups)
     )
     names = places.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("bit", "species"))).alias("by_bit"))
     in_gene = records.select("gene", "species").join(places, "species").groupBy("gene", "word").agg(_bits().alias("here"))
+    hits = pin(hits.select(*key, *carried))
+    wanted = hits.groupBy("gene").agg(F.collect_set("pos").alias("at"))
+    # A row for each gene with hits; its positions are hits, too.
+    wanted = F.broadcast(wanted) if fits(hits, row_bytes=32) else wanted
     words = (
-        hits.select(*key, *carried)
-        .join(groups.near(of_trait), "trait")
-        .join(column_words(records, places), ["gene", "pos", "word"], "left")
+        hits.join(groups.near(of_trait), "trait")
+        .join(column_words(records, places, wanted), ["gene", "pos", "word"], "left")
         .join(in_gene, ["gene", "word"], "left")
         .join(groups.near(names), "word")
         .withColumns({"solid": F.coalesce("solid", F.lit(0)), "here": F.coalesce("here", F.lit(0))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.bounds import Bounds
 from cladewise.operators import details
-from cladewise.operators.details import hit_details, number_species
+from cladewise.operators.details import cells_at, hit_details, number_species
 from cladewise.plans.discovery import discovery
 from cladewise.schema import GROUPS, RECORDS
 
@@ -57,3 +57,10 @@ def test_members_without_a_column(spark):
     assert (r.ffgn, r.gfg, r.mfg, r.ffgn + r.fbgn, r.gbg, r.mbg, r.x) == (1, 2, 1, 1, 0, 2, 7)
     assert (r.fg_found, r.bg_found, sorted(r.missing)) == (["a"], [], ["d", "e"])
     assert (r.fg_symbols, r.bg_symbols) == (["A"], [])
+
+
+def test_only_wanted_columns_are_taken_apart(spark):
+    records = spark.createDataFrame([("g", "a", "AC-D"), ("g", "b", "A"), ("h", "a", "XYZ")], "gene string, species string, seq string")
+    wanted = spark.createDataFrame([("g", [3, 0, 2])], "gene string, at array<int>")
+    got = {(r.gene, r.species, r.pos, r.symbol) for r in cells_at(records, wanted).collect()}
+    assert got == {("g", "a", 0, "A"), ("g", "a", 2, "-"), ("g", "a", 3, "D"), ("g", "b", 0, "A")}
