@@ -20,13 +20,13 @@ def species_name(key: Column) -> Column:
     return F.concat(F.lit("sp"), F.lpad((key % N_SPECIES).cast("string"), 3, "0"))
 
 
-def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_records(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Suppliers as genes, part classes as species, line numbers as columns.
 
     The symbol follows the quantity; quantities ending in 9 and unused line
     numbers are gaps. Codes are compared as numbers, so the seven columns of a
-    record come from one hash aggregation. Records of a gene end up side by side,
-    so what is counted by gene and column is not shuffled again.
+    record come from one hash aggregation. With ``spread``, records of a gene end
+    up side by side, so what is counted by gene and column is not shuffled again.
     """
     lines = table(spark, sf_dir, "lineitem")
     quantity = F.floor("l_quantity")
@@ -47,7 +47,7 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = named.groupBy("gene", "species").agg(
         F.when(F.max("l_linenumber") <= LINE_NUMBERS[-1], F.concat(*symbols)).otherwise(beyond).alias("seq")
     )
-    return spread_by(records, lines.count(), "gene")
+    return spread_by(records, lines.count(), "gene") if spread else records
 
 
 def part_species(spark: SparkSession, sf_dir: str) -> DataFrame:

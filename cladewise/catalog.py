@@ -107,21 +107,21 @@ def position_pvalue_even(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discovery_single(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(discovery(A.line_records(spark, sf), A.size_groups(spark, sf)), "Pvalue")
+    return _rounded(discovery(A.line_records(spark, sf, spread=True), A.size_groups(spark, sf)), "Pvalue")
 
 
 def batch_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(discovery(A.line_records(spark, sf), A.nation_groups(spark, sf)), "Pvalue")
+    return _rounded(discovery(A.line_records(spark, sf, spread=True), A.nation_groups(spark, sf)), "Pvalue")
 
 
 def bounded_discovery(spark: SparkSession, sf: str) -> DataFrame:
     bounds = Bounds(max_fg_gaps=2, max_bg_gaps=1, max_gaps=2, max_fg_miss=1, max_bg_miss=0, max_miss=1)
-    hits = discovery(A.line_records(spark, sf), A.nation_groups(spark, sf), bounds, "1,2,3,4", 0.45)
+    hits = discovery(A.line_records(spark, sf, spread=True), A.nation_groups(spark, sf), bounds, "1,2,3,4", 0.45)
     return _rounded(hits, "Pvalue")
 
 
 def batch_hits_per_job(spark: SparkSession, sf: str) -> DataFrame:
-    records, groups = A.line_records(spark, sf), pin_groups(A.nation_groups(spark, sf))
+    records, groups = A.line_records(spark, sf, spread=True), pin_groups(A.nation_groups(spark, sf))
     return batch_summary(records, groups, discovery(records, groups))
 
 
@@ -178,7 +178,7 @@ def bootstrap_default(spark: SparkSession, sf: str) -> DataFrame:
     bounds = Bounds()
     threshold = template_threshold(A.size_groups(spark, sf), bounds)
     rows = bootstrap(
-        A.line_records(spark, sf), _species_cycles(spark, sf), BOOTSTRAP_CYCLES, threshold, bounds,
+        A.line_records(spark, sf, spread=True), _species_cycles(spark, sf), BOOTSTRAP_CYCLES, threshold, bounds,
         trait_config="size",
     )
     return _rounded(rows, "empval")
@@ -188,7 +188,7 @@ def bootstrap_bounded(spark: SparkSession, sf: str) -> DataFrame:
     bounds = Bounds(max_fg_gaps=1, max_bg_gaps=1, max_miss=0)
     threshold = template_threshold(A.size_groups(spark, sf), bounds)
     rows = bootstrap(
-        A.line_records(spark, sf), _species_cycles(spark, sf), BOOTSTRAP_CYCLES, threshold, bounds,
+        A.line_records(spark, sf, spread=True), _species_cycles(spark, sf), BOOTSTRAP_CYCLES, threshold, bounds,
         "1,2", trait_config="size",
     )
     return _rounded(rows, "empval")
@@ -198,14 +198,14 @@ def excess_test(spark: SparkSession, sf: str) -> DataFrame:
     """One trait by size and one for each nation against the cycles."""
     observed = A.size_groups(spark, sf).unionByName(A.nation_groups(spark, sf))
     threshold = template_threshold(A.size_groups(spark, sf), Bounds())
-    rows = excess(A.line_records(spark, sf), observed, _species_cycles(spark, sf), BOOTSTRAP_CYCLES, threshold)
+    rows = excess(A.line_records(spark, sf, spread=True), observed, _species_cycles(spark, sf), BOOTSTRAP_CYCLES, threshold)
     return _rounded(rows, "pvalue")
 
 
 def excess_bounded(spark: SparkSession, sf: str) -> DataFrame:
     bounds = Bounds(max_bg_gaps=1, max_gaps=2, max_fg_miss=0, max_miss=1)
     rows = excess(
-        A.line_records(spark, sf), A.nation_groups(spark, sf), _species_cycles(spark, sf), BOOTSTRAP_CYCLES, 2, bounds, "1,3"
+        A.line_records(spark, sf, spread=True), A.nation_groups(spark, sf), _species_cycles(spark, sf), BOOTSTRAP_CYCLES, 2, bounds, "1,3"
     )
     return _rounded(rows, "pvalue")
 
