@@ -28,6 +28,7 @@ columns stay and are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -51,10 +52,12 @@ LEAST_WORDS = 8
 #: Steps that are weighed together, and words of candidates that are compared together.
 CHUNK = 4096
 COMPARED = 1 << 20
+#: Texts that are taken apart together, and passages that one task multiplies, as it sends a part as large as the basis.
+TEXTS = 128
+TASK_PASSAGES = 100_000
 LCS_SHARE = 0.7
 ANSWER_WORDS = 8
 ANSWER_SHARE = 0.5
-MEMORY = 500_000
 _MARKS = b".,;:!?\"'()[]|-"
 
 
@@ -62,21 +65,100 @@ def normal_words(text: str | None) -> list[bytes]:
     return [s for w in byte_words(text) if (s := w.strip(_MARKS))]
 
 
-_PLACES: dict[bytes, int] = {}
+_SPACES = b"\t\n\x0b\x0c\r "
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+_SAID = ~np.isin(np.arange(256), list(_SPACES))
+_SOLID = _SAID & ~np.isin(np.arange(256), list(_MARKS))
+
+
+def _u64(x: int) -> np.uint64:
+    return np.uint64(x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both halves of the products of 128 bits, one xor the other."""
+    low, half = _u64(0xFFFFFFFF), _u64(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    mid = a1 * b0 + (a0 * b0 >> half)
+    cross = (mid & low) + a0 * b1
+    return a * b ^ (a1 * b1 + (mid >> half) + (cross >> half))
+
+
+def hashes(said: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH3 (64 bits) of the words at given places of an array of bytes, as ``xxhash`` has it; up to 16 bytes by arrays."""
+    padded = np.append(said, np.zeros(8, dtype=np.uint8))
+    of4, of8 = (np.ndarray(len(said), dtype, padded, strides=(1,)) for dtype in ("<u4", "<u8"))
+    out = np.empty(len(at), dtype=np.uint64)
+    for least, most in ((1, 3), (4, 8), (9, 16)):
+        mine = np.flatnonzero((size >= least) & (size <= most))
+        a, n = at[mine], size[mine]
+        long = n.astype(np.uint64)
+        if most == 3:
+            x = said[a].astype(np.uint64) << _u64(16) | said[a + n // 2].astype(np.uint64) << _u64(24)
+            x = (x | said[a + n - 1] | long << _u64(8)) ^ _u64(0x87275A9B)
+            x = (x ^ x >> _u64(33)) * _u64(0xC2B2AE3D27D4EB4F)
+            x = (x ^ x >> _u64(29)) * _u64(0x165667B19E3779F9)
+            x ^= x >> _u64(32)
+        elif most == 8:
+            x = (of4[a + n - 4] + (of4[a].astype(np.uint64) << _u64(32))) ^ _u64(0xC73AB174C5ECD5A2)
+            x ^= (x << _u64(49) | x >> _u64(15)) ^ (x << _u64(24) | x >> _u64(40))
+            x *= _u64(0x9FB21C651E98DF25)
+            x = (x ^ (x >> _u64(35)) + long) * _u64(0x9FB21C651E98DF25)
+            x ^= x >> _u64(28)
+        else:
+            x, y = of8[a] ^ _u64(0x6782737BEA4239B9), of8[a + n - 8] ^ _u64(0xAF56BC3B0996523A)
+            x = long + x.byteswap() + y + _times(x, y)
+            x = (x ^ x >> _u64(37)) * _u64(0x165667919E3779F9)
+            x ^= x >> _u64(32)
+        out[mine] = x
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(said[at[k] : at[k] + size[k]].tobytes())
+    return out
+
+
+def spoken_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The feature of each word of all texts in order, and the number of words of each text.
+
+    Words are cut as in ``byte_words`` and taken without their marks; words of marks
+    alone have the place behind all features.
+    """
+    ends = np.cumsum([0, *map(len, texts)])
+    said = _LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)]
+    inside = _SAID[said]
+    # The first byte of each text, and what follows the last one, begin anew.
+    begins = np.append(inside, False)
+    begins[1:-1] &= ~inside[:-1]
+    stops = np.append(inside[1:], False) if len(said) else inside
+    stops = inside & ~stops
+    border = ends[(ends > 0) & (ends < len(said))]
+    begins[border] = inside[border]
+    stops[border - 1] = inside[border - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    solid = _SOLID[said]
+    at = np.flatnonzero(solid)
+    upto = np.cumsum(solid, dtype=np.int32 if len(said) < 1 << 31 else np.int64)
+    before = upto[first] - solid[first]
+    worded = np.flatnonzero(upto[last] > before)
+    start, end = at[before[worded]], at[upto[last[worded]] - 1]
+    places = np.full(len(first), FEATURES, dtype=np.int32)
+    places[worded] = hashes(said, start, end - start + 1) % _u64(FEATURES)
+    return places, np.diff(np.searchsorted(first, ends))
+
+
+def in_bytes(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
 
 
 def features(words: list[bytes]) -> np.ndarray:
     """The feature of each word without its marks; words of marks alone have the place behind all features."""
-    known = _PLACES
-    if len(known) > MEMORY:
-        known.clear()
-    try:
-        return np.array([known[w] for w in words], dtype=np.int32)
-    except KeyError:
-        for w in set(words).difference(known):
-            said = w.strip(_MARKS)
-            known[w] = xxhash.xxh3_64_intdigest(said) % FEATURES if said else FEATURES
-        return np.array([known[w] for w in words], dtype=np.int32)
+    return spoken_features(words)[0]
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are taken apart together: ``TEXTS`` at most."""
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -84,12 +166,15 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, n_passages = np.zeros(FEATURES, dtype=np.int64), 0, 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = np.bincount(features(byte_words(text)), minlength=FEATURES + 1)[:FEATURES]
-                total += found > 0
-                n += 1
-                n_passages -= -int(found.sum()) // PASSAGE
+        for batch in portions(batches):
+            places, sizes = spoken_features([in_bytes(t) for t in batch.column(0).to_pylist()])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            has = np.zeros((len(sizes), FEATURES + 1), dtype=bool)
+            has[owner, places] = True
+            total += has[:, :FEATURES].sum(axis=0)
+            found = np.bincount(owner[places < FEATURES], minlength=len(sizes))
+            n += len(sizes)
+            n_passages += int((-(-found // PASSAGE)).sum())
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(FEATURES + 2)), pa.array(np.append(total, [n, n_passages]))], ["feature", "n"]
         )
@@ -109,47 +194,101 @@ def chosen(key: int, n: int, rate: float) -> np.ndarray:
     return np.flatnonzero((x >> np.uint64(11)) < rate * (1 << 53))
 
 
+def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values with the bytes of a numpy array from one end to the next."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def from_lists(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of binary values, one after the other, and where each begins, with the end of all."""
+    _, offsets, values = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    numbers = np.frombuffer(values or b"", dtype=np.uint8)[ends[0] : ends[-1]].view(dtype)
+    return numbers, (ends - ends[0]) // np.dtype(dtype).itemsize
+
+
+def weighed(rows: np.ndarray, idf: np.ndarray, length: float) -> pa.RecordBatch:
+    """Passages, a row of ``PASSAGE`` places each, as their distinct features and TF-IDF weights of the given length."""
+    rows.sort(axis=1)
+    flat = rows.ravel()
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[::PASSAGE] = True
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(flat)))
+    known = flat[begin] < FEATURES
+    at, n, row = flat[begin][known], n[known], begin[known] // PASSAGE
+    w = n * idf[at]
+    norm = np.sqrt(np.bincount(row, w * w, minlength=len(rows)))
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(rows))))
+    w *= (length / np.maximum(1e-9, norm))[row]
+    return pa.RecordBatch.from_arrays([lists(at, ends), lists(w.astype(np.float32), ends)], ["places", "weights"])
+
+
 def passages(texts: DataFrame, idf: np.ndarray, length: float = 1.0, rate: float = 1.0) -> DataFrame:
-    """``places, weights``: TF-IDF vectors of equal length of passages of texts (columns ``key, text``), chosen at a rate."""
+    """``places, weights``: TF-IDF vectors of equal length of passages of texts (columns ``key, text``), chosen at a rate.
+
+    Places are numbers of 16 bits and weights of 32 bits, side by side in binary values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, weights = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                # A word and the blank behind it take two characters at least.
-                taken = chosen(key, -(-(len(text or "") + 1) // (2 * PASSAGE)), rate) * PASSAGE
-                found = features(normal_words(text)) if len(taken) else taken
-                for at in taken[taken < len(found)].tolist():
-                    at_, n = np.unique(found[at : at + PASSAGE], return_counts=True)
-                    w = n * idf[at_]
-                    places.append(at_)
-                    weights.append((w * (length / max(1e-9, np.linalg.norm(w)))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["places", "weights"]
-            )
-
-    return texts.select("key", "text").mapInArrow(run, "places array<int>, weights array<float>")
+        for batch in portions(batches):
+            places, sizes = spoken_features([in_bytes(t) for t in batch.column(1).to_pylist()])
+            parts = []
+            for key, found in zip(batch.column(0).to_pylist(), np.split(places, np.cumsum(sizes)[:-1])):
+                found = found[found < FEATURES]
+                rows = np.full((-(-len(found) // PASSAGE), PASSAGE), FEATURES, dtype=np.uint16)
+                rows.ravel()[: len(found)] = found
+                parts.append(rows if rate >= 1.0 else rows[chosen(key, len(rows), rate)])
+            if parts:
+                yield weighed(np.concatenate(parts), idf, length)
+
+    return texts.select("key", "text").mapInArrow(run, "places binary, weights binary")
+
+
+def add_products(at: np.ndarray, w: np.ndarray, ends: np.ndarray, v: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'Av to ``out`` for sparse rows A: features and weights side by side, a row from one end to the next.
+
+    Rows of ``v`` are taken together and multiplied in place, first by row of A, then by feature.
+    """
+    y = np.zeros((len(ends) - 1, v.shape[1]), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    found, begin = np.unique(at[order], return_index=True)
+    stops = np.append(begin[1:], len(at))
+    portion = ends[::PASSAGE] if len(y) % PASSAGE == 0 else np.append(ends[::PASSAGE], ends[-1])
+    most = max(np.diff(portion).max(initial=0), (stops - begin).max(initial=0))
+    near = np.empty((most, v.shape[1]), dtype=np.float32)
+    for low in range(0, len(y), PASSAGE):
+        some = ends[low : low + PASSAGE + 1].tolist()
+        np.take(v, at[some[0] : some[-1]], axis=0, out=near[: some[-1] - some[0]], mode="clip")
+        for k, (a, b) in enumerate(zip(some, some[1:]), low):
+            np.dot(w[a:b], near[a - some[0] : b - some[0]], out=y[k])
+    row, w = np.repeat(np.arange(len(y)), np.diff(ends))[order], w[order]
+    for place, a, b in zip(found.tolist(), begin.tolist(), stops.tolist()):
+        np.take(y, row[a:b], axis=0, out=near[: b - a], mode="clip")
+        out[place] += w[a:b] @ near[: b - a]
 
 
 def gram_product(vectors: DataFrame, basis: np.ndarray, blocks: int = 64) -> np.ndarray:
     """A'A times the basis, for the passages A; tasks send their parts in blocks of features."""
-    shared = vectors.sparkSession.sparkContext.broadcast(basis)
+    shared = vectors.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
     height = FEATURES // blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value.astype(np.float32)
-        out = np.zeros_like(shared.value)
+        v = shared.value
+        out = np.zeros(v.shape)
         for batch in batches:
-            ends = batch.column(0).offsets.to_numpy()
-            places, weights = (c.values.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                at, w = places[a:b], weights[a:b]
-                out[at] += np.outer(w, w @ v[at])
-        parts = [out[k * height : (k + 1) * height].tobytes() for k in range(blocks)]
+            at, ends = from_lists(batch.column(0), np.uint16)
+            add_products(at, from_lists(batch.column(1), np.float32)[0], ends, v, out)
+        sent = out.astype(np.float32)
+        parts = [sent[k * height : (k + 1) * height].tobytes() for k in range(blocks)]
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int64()), pa.array(parts, pa.binary())], ["block", "part"])
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p) for p in parts["part"])
+        total = np.zeros(height * basis.shape[1])
+        for p in parts["part"]:
+            total += np.frombuffer(p, dtype=np.float32)
         return pd.DataFrame({"block": [parts["block"].iloc[0]], "part": [total.tobytes()]})
 
     summed = vectors.mapInArrow(run, "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary")
@@ -202,15 +341,16 @@ class Model:
 
     def matches(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the items it contains."""
-        spoken = [byte_words(t) for t in texts]
-        n_steps = [-(-len(w) // STEP) for w in spoken]
+        said, n_words = spoken_features([in_bytes(t) for t in texts])
+        # Few texts are looked at word by word.
+        spoken = cache(lambda d: byte_words(texts[d]))
+        n_steps = -(-n_words // STEP)
         starts = np.concatenate([[0], np.cumsum(n_steps)]).astype(np.int64)
         out: list[list[dict]] = [[] for _ in texts]
         if not starts[-1]:
             return out
         places = np.full(starts[-1] * STEP, FEATURES, dtype=np.int32)
-        for words, at in zip(spoken, starts):
-            places[at * STEP : at * STEP + len(words)] = features(words)
+        places[np.arange(len(said)) + np.repeat(starts[:-1] * STEP - (np.cumsum(n_words) - n_words), n_words)] = said
         owner = np.repeat(np.arange(len(texts)), n_steps)
         if self.ids:
             found = self._candidates(places, starts, owner)
@@ -288,7 +428,7 @@ class Model:
             end = min(b + int(self.sizes[item]), int(starts[doc + 1]))
             best.setdefault((doc, item), []).append((self._cosine(item, places[b * STEP : end * STEP]), b))
         for (doc, item), found in best.items():
-            words, wanted, size = spoken[doc], self.words[item], int(self.sizes[item])
+            words, wanted, size = spoken(doc), self.words[item], int(self.sizes[item])
             for cosine, b in sorted(found, reverse=True):
                 at = (b - int(starts[doc])) * STEP
                 region = [w.strip(_MARKS) for w in words[max(0, at - STEP) : at + (size + 1) * STEP]]
@@ -317,7 +457,7 @@ class Model:
             done = set()
             for b in begin.tolist():
                 d = int(doc[b])
-                here = (spoken[d][x - int(starts[d]) * STEP].strip(_MARKS) for x in at[b : b + len(wanted)].tolist())
+                here = (spoken(d)[x - int(starts[d]) * STEP].strip(_MARKS) for x in at[b : b + len(wanted)].tolist())
                 if d not in done and list(here) == words:
                     done.add(d)
                     out[d].append({"item_id": item, "similarity": 1.0, "lcs_share": 1.0, "answer_share": 1.0})
@@ -346,9 +486,10 @@ def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
     n_items = items.count()
     if not n_items:
         return
-    df, n, _ = document_frequency(docs)
+    df, n, n_passages = document_frequency(docs)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
     corpus = stored(passages(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), idf))
+    corpus = corpus.coalesce(-(-n_passages // TASK_PASSAGES) or 1)
     blocks = -(-n_items // ITEMS)
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -367,8 +508,8 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> Column:
         def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
                 found: list[list[dict]] = []
-                for at in range(0, len(texts), 128):
-                    found += shared.value.matches(texts.iloc[at : at + 128].tolist())
+                for at in range(0, len(texts), TEXTS):
+                    found += shared.value.matches(texts.iloc[at : at + TEXTS].tolist())
                 yield pd.Series(found, dtype=object)
 
         return matched(F.col("text"))

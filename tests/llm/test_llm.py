@@ -632,3 +632,38 @@ def test_the_basis_is_fitted_on_every_passage(spark, monkeypatch):
     items = spark.createDataFrame([(1, words)], "item_id long, text string")
     assert len(list(decontam.models(frame, items))) == 1
     assert fitted == [3000 * 3 + 1]
+
+
+def test_features_of_whole_texts_are_those_of_their_words():
+    import xxhash
+
+    random.seed(3)
+    alphabet = [*"abcXYZ019", *"éß語😀", *".,()-", *" \t\n\x0b\x0c\r", "\x85", " "]
+    texts = ["".join(random.choices(alphabet, k=random.choice([0, 1, 3, 40, 300]))) for _ in range(300)]
+    texts += [None, "", " ", "x", ".", "z" * 40, *("q" * n for n in range(1, 20))]
+    words = [decontam.byte_words(t) for t in texts]
+    stripped = [w.strip(decontam._MARKS) for ws in words for w in ws]
+    expected = [xxhash.xxh3_64_intdigest(w) % decontam.FEATURES if w else decontam.FEATURES for w in stripped]
+    places, sizes = decontam.spoken_features([decontam.in_bytes(t) for t in texts])
+    assert places.tolist() == expected and sizes.tolist() == [len(ws) for ws in words]
+
+
+def test_product_of_passages_and_their_number_of_parts(spark, monkeypatch):
+    """Each task sends a part as large as the basis, so few passages must not be many tasks."""
+    frame = spark.range(300).selectExpr("id AS key", "id AS doc_id", "concat_ws(' ', transform(sequence(0, 99), i -> concat('w', (i * i * id) % 97))) AS text")
+    idf = 1 + np.random.default_rng(2).random(decontam.FEATURES)
+    basis = np.random.default_rng(1).standard_normal((decontam.FEATURES, 5))
+    dense = []
+    for r in frame.collect():
+        places = decontam.features([w.encode() for w in r.text.split()])
+        for at in range(0, 100, decontam.PASSAGE):
+            row = np.bincount(places[at : at + decontam.PASSAGE], minlength=decontam.FEATURES) * idf
+            dense.append(row / np.linalg.norm(row))
+    a = np.array(dense)
+    got = decontam.gram_product(decontam.passages(frame.repartition(7), idf), basis)
+    assert np.abs(got - a.T @ (a @ basis)).max() < 1e-3
+    parts = []
+    monkeypatch.setattr(decontam, "latent_basis", lambda vectors: parts.append(vectors.rdd.getNumPartitions()) or np.eye(decontam.FEATURES, 128))
+    items = spark.createDataFrame([(1, "some words")], "item_id long, text string").coalesce(1)
+    assert len(list(decontam.models(frame.repartition(40), items))) == 1
+    assert parts[0] <= 2
