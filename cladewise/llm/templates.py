@@ -97,7 +97,10 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 
 def small(df: DataFrame) -> DataFrame:
     """A broadcast where the counted rows, of a few numbers each, allow it; else Spark shuffles."""
-    df = stored(df)
+    return sent_if_small(stored(df))
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -199,8 +202,10 @@ def boilerplate(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     Each round of templates looks only at leaves that lost lines in the round before,
     as no other leaf can form another template, and reads tables written for it.
     """
-    labels = neardup.labelled(docs, neardup.STAGE).where("label is not null")
-    groups = small(labels.groupBy(F.col("tie").alias("t")).agg(F.xxhash64(F.min("label")).alias("g")))
+    with passing(docs.sparkSession) as keep:
+        labels = neardup.labelled(docs, neardup.STAGE).where("label is not null")
+        groups = keep(labels.groupBy(F.col("tie").alias("t")).agg(F.xxhash64(F.min("label")).alias("g")))
+    groups = sent_if_small(groups)
     seen = stored(parsed.join(groups, "t").select("g", "leaf", "line", "n", "need").distinct())
     lines = stored(seen.groupBy("leaf", "line", "n", "need").agg(F.count("*").alias("docs")))
     # Lines of fewer tokens have no room for a variable field.
@@ -233,9 +238,13 @@ def places(parsed: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame, drops: DataFrame, most_loss: float, counts: bool = False) -> DataFrame:
-    """The rows without the lines at ``places``; those that would lose more than a share of ``most_loss`` stay as they are."""
+    """The rows without the lines at ``places``; those that would lose more than a share of ``most_loss`` stay as they are.
+
+    Places come with a row for each text, too many to be sent to all executors, so texts are
+    shuffled once at every size.
+    """
     key, drop_name, short_name = (unused(docs, k) for k in ("_key", "_drop", "_short"))
-    drops = drops.select(F.col("t").alias(key), F.col("places").alias(drop_name))
+    drops = drops.select(F.col("t").alias(key), F.col("places").alias(drop_name)).hint("merge")
     joined = docs.join(drops, text_key(F.col("text")) == F.col(key), "left")
     parts, drop, short = F.split("text", "\n"), F.col(drop_name), F.col(short_name)
 
