@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.plans.sizing import spread_by
+from cladewise.plans.sizing import n_parts, spread_by
 
 # One bracket, comma or node text; bracketed comments are removed before.
 _TOKEN = r"[(),]|'(?:[^']|'')*'(?:\s*:\s*[^(),\s;]+)?|[^(),\s;']+"
@@ -241,7 +241,10 @@ def distances_from_farthest(trees: DataFrame) -> DataFrame:
 
 def sorted_from_farthest(trees: DataFrame) -> DataFrame:
     """The same rows in the order of distance within their tree, equal distances by label."""
-    return distances_from_farthest(trees).orderBy("tree", "d", "species")
+    # Every tip but the last of a tree is followed by a comma sooner or later.
+    n_tips = trees.agg(F.sum(F.regexp_count("newick", F.lit(",")) + 1)).first()[0] or 0
+    order = ["tree", "d", "species"]
+    return distances_from_farthest(trees).repartitionByRange(n_parts(trees, n_tips), *order).sortWithinPartitions(*order)
 
 
 def pair_distances(trees: DataFrame, pairs: DataFrame, max_tips: int | None = None) -> DataFrame:

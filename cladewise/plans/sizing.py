@@ -11,8 +11,9 @@ from cladewise.session import ensure_checkpoint_dir
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 
-#: Rows that one task sorts or groups where their number is known.
-PART_ROWS = 200_000
+#: Rows that one task sorts or groups where their number is known. A dozen sorts of one stage hold
+#: them at once, so parts are small; a table of some hundred thousand rows has several already.
+PART_ROWS = 25_000
 
 # Widest row derived from one group row: a species with all words of a trait set.
 _GROUP_ROW_BYTES = 400
@@ -50,14 +51,19 @@ def spread_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return df
 
 
+def n_parts(df: DataFrame, rows: int) -> int:
+    """Parts of at most ``PART_ROWS`` of the counted rows, and as many as the session's shuffles have."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-rows // PART_ROWS))
+
+
 def spread_by(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Shuffle by the keys into parts that grow in number and not in size with the counted rows.
 
     Grouping and windows over these keys, or over them and further columns, then need no
     other shuffle, and their sorts stay small whatever the session's number of partitions.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-rows // PART_ROWS)), *keys)
+    return df.repartition(n_parts(df, rows), *keys)
 
 
 def pin(df: DataFrame) -> DataFrame:
