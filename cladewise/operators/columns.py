@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from cladewise.schema import GAP
 
 DEFAULT_MAX_GAP_RATIO = 0.5
 
+#: Symbols of a gene that are counted together in memory, and of one piece of a sequence.
+_PORTION = 1 << 21
+_PIECE = 1 << 18
+
 
 def cells(records: DataFrame) -> DataFrame:
     """Transpose: one row per symbol, extra record columns carried along.
@@ -73,6 +81,55 @@ def symbol_histogram(records: DataFrame) -> DataFrame:
     )
 
 
+def _counted(pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, code point and count of the symbols of pieces of sequences, each with the place it begins at."""
+    codes = np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(p) for _, p in pieces])
+    pos = np.arange(len(codes)) + np.repeat(np.array([at for at, _ in pieces]) - (np.cumsum(sizes) - sizes), sizes)
+    number = np.zeros(int(codes.max()) + 1, dtype=np.int64)
+    number[codes] = 1
+    symbols = np.flatnonzero(number)
+    number[symbols] = np.arange(len(symbols))
+    least = int(pos.min())
+    cell = (pos - least) * len(symbols) + number[codes]
+    if int(cell.max()) < 4 * len(cell):
+        n = np.bincount(cell)
+        found = np.flatnonzero(n)
+        n = n[found]
+    else:
+        found, n = np.unique(cell, return_counts=True)
+    return least + found // len(symbols), symbols[found % len(symbols)], n
+
+
+def symbol_counts(records: DataFrame) -> DataFrame:
+    """``gene, pos, symbol, n`` of long sequences: counted in numpy within the tasks, so that no symbol becomes a row."""
+
+    def rows(gene: str | None, pieces: list[tuple[int, str]]) -> pa.RecordBatch:
+        pos, code, n = _counted(pieces)
+        symbols, which = np.unique(code, return_inverse=True)
+        symbol = pa.array([chr(c) for c in symbols.tolist()], pa.string()).take(pa.array(which))
+        columns = [pa.array([gene], pa.string()).take(pa.array(np.zeros(len(n), dtype=np.int64))), pa.array(pos, pa.int32()), symbol, pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["gene", "pos", "symbol", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            waiting: dict[str | None, list[tuple[int, str]]] = {}
+            held: dict[str | None, int] = {}
+            for gene, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for at in range(0, len(seq or ""), _PIECE):
+                    piece = seq[at : at + _PIECE]
+                    waiting.setdefault(gene, []).append((at, piece))
+                    held[gene] = held.get(gene, 0) + len(piece)
+                    if held[gene] >= _PORTION:
+                        yield rows(gene, waiting.pop(gene))
+                        del held[gene]
+            for gene, pieces in waiting.items():
+                yield rows(gene, pieces)
+
+    found = records.select("gene", "seq").mapInArrow(run, "gene string, pos int, symbol string, n long")
+    return found.groupBy("gene", "pos", "symbol").agg(F.sum("n").alias("n"))
+
+
 def profile_aggregates(n: str = "n") -> list[Column]:
     """Column profile over the (symbol, count) rows of a column."""
     solid = F.col("symbol") != GAP
@@ -105,12 +162,18 @@ def finish_profile(
 
 
 def column_profile(records: DataFrame, ragged: bool = False) -> DataFrame:
-    """Total, gaps, non-gap and distinct symbols, top and minority counts per column."""
-    symbols = (
-        cells(records.select("gene", "seq"))
-        .groupBy("gene", "pos", "symbol")
-        .agg(F.count("*").alias("n"))
-    )
+    """Total, gaps, non-gap and distinct symbols, top and minority counts per column.
+
+    Ragged records are taken to be long, whole texts as a rule, and counted in the tasks.
+    """
+    if ragged:
+        symbols = symbol_counts(records)
+    else:
+        symbols = (
+            cells(records.select("gene", "seq"))
+            .groupBy("gene", "pos", "symbol")
+            .agg(F.count("*").alias("n"))
+        )
     profile = symbols.groupBy("gene", "pos").agg(*profile_aggregates())
     return finish_profile(profile, records, ragged).select(
         "gene", "pos", "total", "gaps", "nongap", "n_symbols", "top", "minority"
