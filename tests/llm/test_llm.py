@@ -667,3 +667,12 @@ def test_product_of_passages_and_their_number_of_parts(spark, monkeypatch):
     items = spark.createDataFrame([(1, "some words")], "item_id long, text string").coalesce(1)
     assert len(list(decontam.models(frame.repartition(40), items))) == 1
     assert parts[0] <= 2
+
+
+def test_texts_meet_dropped_lines_by_one_kind_of_join_at_every_size(spark):
+    frame = spark.createDataFrame([(k, f"k{'e' * 40}p {k}\nthe same line here\nx y{k}") for k in range(40)], "doc_id long, text string")
+    cut = templates.drop_recurring(frame, counts=True)
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    rows = cut.collect()
+    assert sum(r.lines_dropped for r in rows) == 40 and all("same" not in r.text for r in rows)

@@ -82,3 +82,17 @@ def test_broadcast_follows_the_counted_size(spark, monkeypatch):
     assert sizing.pin_groups(groups).small
     monkeypatch.setattr(sizing, "BROADCAST_BYTES", 100)
     assert not sizing.pin_groups(groups).small
+
+
+def test_symbols_of_long_sequences_are_counted_without_a_row_for_each(spark, monkeypatch):
+    from cladewise.operators import columns as C
+
+    monkeypatch.setattr(C, "_PIECE", 7)
+    texts = ["", "-", "ab-é語😀\n ", "a" * 20, "語" * 9 + "b", None, "퟿"]
+    rows = [(gene, f"s{k}", texts[(k * k + k) % len(texts)]) for k in range(60) for gene in ("g", "", None)]
+    records = spark.createDataFrame(rows, "gene string, species string, seq string").repartition(3)
+    expected = C.cells(records.select("gene", "seq")).groupBy("gene", "pos", "symbol").count()
+    found = C.symbol_counts(records)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, expected.collect())))
+    profile = C.column_profile(records.where("gene is not null"), ragged=True)
+    assert "explode" not in profile._jdf.queryExecution().optimizedPlan().toString()

@@ -115,3 +115,14 @@ def test_tips_sorted_by_distance(spark):
     rows = [tuple(r) for r in T.sorted_from_farthest(trees).collect()]
     assert rows == sorted(rows, key=lambda r: (r[0], r[2], r[1])) and len(rows) == 6
     assert rows == sorted(map(tuple, T.distances_from_farthest(trees).collect()), key=lambda r: (r[0], r[2], r[1]))
+
+
+def test_sorted_output_comes_in_parts_that_follow_the_tips(spark, monkeypatch):
+    from cladewise.plans import sizing
+
+    monkeypatch.setattr(sizing, "PART_ROWS", 5)
+    trees = spark.createDataFrame([(f"t{k:02d}", f"(b:1,a:{k + 2},c:1);") for k in range(30)], "tree string, newick string")
+    found = T.sorted_from_farthest(trees)
+    assert found.rdd.getNumPartitions() == 18
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == 90 and rows == sorted(rows, key=lambda r: (r[0], r[2], r[1]))
