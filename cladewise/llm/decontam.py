@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import byte_words, stored
+from cladewise.llm.common import byte_words, passing, stored
 
 FEATURES = 1 << 13
 RANK = 128
@@ -116,11 +116,10 @@ def hashes(said: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def spoken_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The feature of each word of all texts in order, and the number of words of each text.
+def cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts with A-Z in lower case, the first and last place of each word, and the words of each text.
 
-    Words are cut as in ``byte_words`` and taken without their marks; words of marks
-    alone have the place behind all features.
+    Words are cut as in ``byte_words``.
     """
     ends = np.cumsum([0, *map(len, texts)])
     said = _LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)]
@@ -134,6 +133,15 @@ def spoken_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins[border] = inside[border]
     stops[border - 1] = inside[border - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    return said, first, last, np.diff(np.searchsorted(first, ends))
+
+
+def spoken_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The feature of each word of all texts in order, and the number of words of each text.
+
+    Words are taken without their marks; words of marks alone have the place behind all features.
+    """
+    said, first, last, sizes = cut_words(texts)
     solid = _SOLID[said]
     at = np.flatnonzero(solid)
     upto = np.cumsum(solid, dtype=np.int32 if len(said) < 1 << 31 else np.int64)
@@ -142,7 +150,7 @@ def spoken_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = at[before[worded]], at[upto[last[worded]] - 1]
     places = np.full(len(first), FEATURES, dtype=np.int32)
     places[worded] = hashes(said, start, end - start + 1) % _u64(FEATURES)
-    return places, np.diff(np.searchsorted(first, ends))
+    return places, sizes
 
 
 def in_bytes(text: str | None) -> bytes:
@@ -161,31 +169,6 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS)
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """How many texts have each feature, over all rows, and how many rows and passages there are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, n_passages = np.zeros(FEATURES, dtype=np.int64), 0, 0
-        for batch in portions(batches):
-            places, sizes = spoken_features([in_bytes(t) for t in batch.column(0).to_pylist()])
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            has = np.zeros((len(sizes), FEATURES + 1), dtype=bool)
-            has[owner, places] = True
-            total += has[:, :FEATURES].sum(axis=0)
-            found = np.bincount(owner[places < FEATURES], minlength=len(sizes))
-            n += len(sizes)
-            n_passages += int((-(-found // PASSAGE)).sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(FEATURES + 2)), pa.array(np.append(total, [n, n_passages]))], ["feature", "n"]
-        )
-
-    counted = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    found = np.zeros(FEATURES + 2, dtype=np.int64)
-    for row in counted.collect():
-        found[row["feature"]] = row["n"]
-    return found[:-2], int(found[-2]), int(found[-1])
-
-
 def chosen(key: int, n: int, rate: float) -> np.ndarray:
     """Which of n positions of a text are chosen, each with the given rate and by its hash alone."""
     x = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key % (1 << 64))
@@ -208,8 +191,8 @@ def from_lists(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     return numbers, (ends - ends[0]) // np.dtype(dtype).itemsize
 
 
-def weighed(rows: np.ndarray, idf: np.ndarray, length: float) -> pa.RecordBatch:
-    """Passages, a row of ``PASSAGE`` places each, as their distinct features and TF-IDF weights of the given length."""
+def feature_counts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct features of passages, a row of ``PASSAGE`` places each, how often each stands there, and where rows end."""
     rows.sort(axis=1)
     flat = rows.ravel()
     new = np.ones(len(flat), dtype=bool)
@@ -218,33 +201,89 @@ def weighed(rows: np.ndarray, idf: np.ndarray, length: float) -> pa.RecordBatch:
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(flat)))
     known = flat[begin] < FEATURES
-    at, n, row = flat[begin][known], n[known], begin[known] // PASSAGE
-    w = n * idf[at]
-    norm = np.sqrt(np.bincount(row, w * w, minlength=len(rows)))
-    ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(rows))))
-    w *= (length / np.maximum(1e-9, norm))[row]
-    return pa.RecordBatch.from_arrays([lists(at, ends), lists(w.astype(np.float32), ends)], ["places", "weights"])
+    ends = np.append(0, np.cumsum(np.bincount(begin[known] // PASSAGE, minlength=len(rows))))
+    return flat[begin][known], n[known].astype(np.uint8), ends
 
 
-def passages(texts: DataFrame, idf: np.ndarray, length: float = 1.0, rate: float = 1.0) -> DataFrame:
-    """``places, weights``: TF-IDF vectors of equal length of passages of texts (columns ``key, text``), chosen at a rate.
+def counted(texts: DataFrame, rate: float = 1.0) -> DataFrame:
+    """``places, counts``: the distinct features of passages of texts (columns ``key, text``), chosen at a rate, and their counts.
 
-    Places are numbers of 16 bits and weights of 32 bits, side by side in binary values.
+    Places are numbers of 16 bits and counts of 8 bits, side by side in binary values. The last
+    row of each task has no places but ``totals``: how many of its texts have each feature, over
+    all passages, and how many texts and passages there are. So texts are taken apart once.
     """
+    schema = pa.schema([("places", pa.binary()), ("counts", pa.binary()), ("totals", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n_texts, n_passages = np.zeros(FEATURES, dtype=np.int64), 0, 0
         for batch in portions(batches):
             places, sizes = spoken_features([in_bytes(t) for t in batch.column(1).to_pylist()])
-            parts = []
-            for key, found in zip(batch.column(0).to_pylist(), np.split(places, np.cumsum(sizes)[:-1])):
-                found = found[found < FEATURES]
-                rows = np.full((-(-len(found) // PASSAGE), PASSAGE), FEATURES, dtype=np.uint16)
-                rows.ravel()[: len(found)] = found
-                parts.append(rows if rate >= 1.0 else rows[chosen(key, len(rows), rate)])
-            if parts:
-                yield weighed(np.concatenate(parts), idf, length)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            has = np.zeros((len(sizes), FEATURES + 1), dtype=bool)
+            has[owner, places] = True
+            total += has[:, :FEATURES].sum(axis=0)
+            places, owner = places[places < FEATURES], owner[places < FEATURES]
+            worded = np.bincount(owner, minlength=len(sizes))
+            n = -(-worded // PASSAGE)
+            n_texts += len(sizes)
+            n_passages += int(n.sum())
+            # A passage's places stand side by side, the last one of a text is filled up.
+            first = np.cumsum(n) - n
+            rows = np.full((n.sum(), PASSAGE), FEATURES, dtype=np.uint16)
+            rows.ravel()[np.arange(len(places)) + (first * PASSAGE - np.cumsum(worded) + worded)[owner]] = places
+            if rate < 1.0:
+                keys = zip(first.tolist(), batch.column(0).to_pylist(), n.tolist())
+                rows = rows[np.concatenate([f + chosen(key, k, rate) for f, key, k in keys])]
+            at, often, ends = feature_counts(rows)
+            yield pa.RecordBatch.from_arrays([lists(at, ends), lists(often, ends), pa.nulls(len(rows), schema.types[2])], schema=schema)
+        totals = np.append(total, [n_texts, n_passages]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([None], [None], [totals]), schema.types)], schema=schema)
+
+    return texts.select("key", "text").mapInArrow(run, "places binary, counts binary, totals array<long>")
+
+
+def added_totals(found: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The totals of all tasks of ``counted``."""
+    parts = found.where("totals is not null").select(F.posexplode("totals").alias("feature", "n"))
+    out = np.zeros(FEATURES + 2, dtype=np.int64)
+    for row in parts.groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        out[row["feature"]] = row["n"]
+    return out[:-2], int(out[-2]), int(out[-1])
+
+
+def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """How many texts have each feature, over all rows, and how many rows and passages there are."""
+    return added_totals(counted(docs.select(F.lit(0).alias("key"), "text")))
+
+
+def weighed(found: DataFrame, idf: np.ndarray, length: float = 1.0) -> DataFrame:
+    """``places, weights``: TF-IDF vectors of equal length of the passages of ``counted``; weights have 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ends = from_lists(batch.column(0), np.uint16)
+            w = from_lists(batch.column(1), np.uint8)[0] * idf[at]
+            row = np.repeat(np.arange(len(batch)), np.diff(ends))
+            norm = np.sqrt(np.bincount(row, w * w, minlength=len(batch)))
+            w *= (length / np.maximum(1e-9, norm))[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(w.astype(np.float32), ends)], ["places", "weights"])
+
+    return found.where("totals is null").select("places", "counts").mapInArrow(run, "places binary, weights binary")
+
+
+def passages(texts: DataFrame, idf: np.ndarray, length: float = 1.0, rate: float = 1.0) -> DataFrame:
+    """``places, weights``: TF-IDF vectors of equal length of passages of texts (columns ``key, text``), chosen at a rate."""
+    return weighed(counted(texts, rate), idf, length)
+
 
-    return texts.select("key", "text").mapInArrow(run, "places binary, weights binary")
+def weighed_corpus(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Inverse document frequencies, and the stored vectors of all passages."""
+    with passing(docs.sparkSession) as keep:
+        found = stored(counted(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")))
+        df, n, n_passages = added_totals(found)
+        idf = np.log((n + 1) / (df + 1)) + 1e-3
+        corpus = keep(weighed(found, idf))
+    return idf, corpus.coalesce(-(-n_passages // TASK_PASSAGES) or 1)
 
 
 def add_products(at: np.ndarray, w: np.ndarray, ends: np.ndarray, v: np.ndarray, out: np.ndarray) -> None:
@@ -486,10 +525,7 @@ def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
     n_items = items.count()
     if not n_items:
         return
-    df, n, n_passages = document_frequency(docs)
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
-    corpus = stored(passages(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), idf))
-    corpus = corpus.coalesce(-(-n_passages // TASK_PASSAGES) or 1)
+    idf, corpus = weighed_corpus(docs)
     blocks = -(-n_items // ITEMS)
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)

@@ -676,3 +676,18 @@ def test_texts_meet_dropped_lines_by_one_kind_of_join_at_every_size(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     rows = cut.collect()
     assert sum(r.lines_dropped for r in rows) == 40 and all("same" not in r.text for r in rows)
+
+
+def test_texts_are_taken_apart_once_for_frequencies_and_passages(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 13}" for j in range(k * 10))) for k in range(15)] + [(None, None), (3, " ,. ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    idf, corpus = decontam.weighed_corpus(frame)
+    df, n, n_passages = decontam.document_frequency(frame)
+    assert (n, n_passages) == (17, sum(-(-k * 10 // decontam.PASSAGE) for k in range(15))) and corpus.count() == n_passages
+    said = [set(decontam.features([w.encode() for w in (t or "").split()]).tolist()) for _, t in rows]
+    assert {int(k): int(df[k]) for k in np.flatnonzero(df)} == {
+        k: sum(k in s for s in said) for k in set().union(*said) - {decontam.FEATURES}
+    }
+    assert np.allclose(idf, np.log(18 / (df + 1)) + 1e-3)
+    plain = decontam.passages(frame.selectExpr("doc_id AS key", "text"), idf)
+    assert sorted(map(tuple, corpus.collect())) == sorted(map(tuple, plain.collect()))
