@@ -34,14 +34,34 @@ def shared_folder(spark: SparkSession) -> str:
 _PASSING: ContextVar[list[str] | None] = ContextVar("_PASSING", default=None)
 
 
+#: Shuffle files of a statement go at its end and not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Statements run inside of the block leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
     This cuts the lineage, so a lost executor costs no more than the running
-    stage, and unlike ``checkpoint()`` computes the frame once only.
+    stage, and unlike ``checkpoint()`` computes the frame once only. What was
+    shuffled for it is not needed any more and removed.
     """
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     paths = _PASSING.get()
     if paths is not None:
         paths.append(path)

@@ -36,11 +36,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import passing, byte_words, same, stored, unused
+from cladewise.llm.common import passing, same, stored, unused
+from cladewise.llm.decontam import cut_words, hashes, in_bytes
 
 SHINGLE = 3
 PERCENT = 85
@@ -53,7 +53,9 @@ BLOCK = 512
 FEW = 64
 #: Ids of texts that are read again are sent to all executors up to this number.
 BROADCAST_IDS = 1_000_000
-MEMORY = 500_000
+#: Texts that are taken apart together, and their characters.
+TEXTS = 128
+CHARS = 1 << 20
 
 
 class Rule(NamedTuple):
@@ -72,39 +74,49 @@ class Rule(NamedTuple):
 QUERY = Rule()
 STAGE = Rule(5, 80, 45)
 
-_WORDS: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS
-    if len(known) > MEMORY:
-        known.clear()
-    try:
-        found = [known[w] for w in words]
-    except KeyError:
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        found = [known[w] for w in words]
-    return np.array(found, dtype=np.uint64)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted hashes of each text's different shingles; with fewer words the whole sequence is one.
+
+    Words are hashed and mixed for all texts together.
+    """
+    said, first, last, n_words = cut_words([in_bytes(t) for t in texts])
+    h = hashes(said, first, last - first + 1)
+
+    def mixed(n: int, words: np.ndarray) -> np.ndarray:
+        found = np.full(len(words) - n + 1, n, dtype=np.uint64)
+        for i in range(n):
+            found = _mixed(found * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
+        return found
+
+    every = mixed(size, h) if len(h) >= size else h[:0]
+    ends = np.cumsum(n_words).tolist()
+    return [
+        np.unique(every[end - n : end - size + 1]) if n >= size else mixed(n, h[end - n : end]) if n else h[:0]
+        for n, end in zip(n_words.tolist(), ends)
+    ]
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The sorted hashes of a text's different shingles; with fewer words the whole sequence is one."""
-    words = byte_words(text)
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = _word_hashes(words)
-    n = min(size, len(h))
-    found = np.full(len(h) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        found = _mixed(found * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(found)
+    return shingle_sets([text], size)[0]
+
+
+def portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """From where to where texts are taken apart together: ``TEXTS`` at most, and ``CHARS`` characters unless one has more."""
+    at = chars = 0
+    for k, text in enumerate(texts):
+        size = len(text or "")
+        if k > at and (k - at == TEXTS or chars + size > CHARS):
+            yield at, k
+            at, chars = k, 0
+        chars += size
+    if texts:
+        yield at, len(texts)
 
 
 def node_of(shingles: np.ndarray) -> bytes | None:
@@ -212,9 +224,10 @@ def signed(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t, rule.size) for t in part.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            for at, end in portions(texts):
+                part = batch.slice(at, end - at)
+                sets = shingle_sets(texts[at:end], rule.size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -309,9 +322,9 @@ def full_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, rule: Rule =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t, rule.size) for t in batch.slice(at, 256).column(0).to_pylist()]
-                sets = [s for s in sets if len(s)]
+            texts = batch.column(0).to_pylist()
+            for at, end in portions(texts):
+                sets = [s for s in shingle_sets(texts[at:end], rule.size) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     ["node", "set"],

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 from cladewise.llm import chat, decontam, language, neardup, packing, quality, templates, tokenfile, tokens, warc
-from cladewise.llm.common import shared_folder
+from cladewise.llm.common import CLEANUP, shared_folder, stored
 from cladewise.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -691,3 +692,37 @@ def test_texts_are_taken_apart_once_for_frequencies_and_passages(spark):
     assert np.allclose(idf, np.log(18 / (df + 1)) + 1e-3)
     plain = decontam.passages(frame.selectExpr("doc_id AS key", "text"), idf)
     assert sorted(map(tuple, corpus.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_shingles_of_texts_taken_together(spark):
+    texts = ["a b c d e a b c", None, "", "A B", "x", " y\n\tz  ", "a b c d e", "long" * 9 + " word " * 6, "B c d e f"]
+    for size in (3, 5):
+        together = neardup.shingle_sets(texts, size)
+        for text, found in zip(texts, together):
+            assert found.tolist() == neardup.shingle_set(text, size).tolist()
+            words = (text or "").lower().split()
+            runs = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+            assert len(found) == len(runs)
+    assert set(together[6].tolist()) <= set(together[0].tolist())
+    many = ["x" * 10] * (2 * neardup.TEXTS) + ["y" * (neardup.CHARS + 1)] * 2 + [None]
+    parts = list(neardup.portions(many))
+    assert [k for at, end in parts for k in range(at, end)] == list(range(len(many)))
+    assert max(end - at for at, end in parts) == neardup.TEXTS and len(parts) == 5
+    assert list(neardup.portions([])) == []
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    grouped = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    frame = grouped.join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k")
+    tables = [stored(frame) for _ in range(2)]
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(CLEANUP, None) == setting
+    assert [t.count() for t in (*tables, frame)] == [7] * 3
