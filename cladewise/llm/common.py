@@ -99,6 +99,19 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def portions(texts: list[str | None], most: int, chars: int) -> Iterator[tuple[int, int]]:
+    """From where to where texts are taken together: ``most`` at most, and ``chars`` characters unless one has more."""
+    at = held = 0
+    for k, text in enumerate(texts):
+        size = len(text or "")
+        if k > at and (k - at == most or held + size > chars):
+            yield at, k
+            at, held = k, 0
+        held += size
+    if texts:
+        yield at, len(texts)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 from typing import NamedTuple
@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.llm import common
 from cladewise.llm.common import passing, same, stored, unused
 from cladewise.llm.decontam import cut_words, hashes, in_bytes
 
@@ -107,16 +108,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def portions(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """From where to where texts are taken apart together: ``TEXTS`` at most, and ``CHARS`` characters unless one has more."""
-    at = chars = 0
-    for k, text in enumerate(texts):
-        size = len(text or "")
-        if k > at and (k - at == TEXTS or chars + size > CHARS):
-            yield at, k
-            at, chars = k, 0
-        chars += size
-    if texts:
-        yield at, len(texts)
+    return common.portions(texts, TEXTS, CHARS)
 
 
 def node_of(shingles: np.ndarray) -> bytes | None:
@@ -368,13 +360,12 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def remaining_links(
-    members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, rule: Rule = QUERY
-) -> DataFrame:
+def remaining_links(members: DataFrame, labels: DataFrame, known: DataFrame, rule: Rule = QUERY) -> DataFrame:
     """Verified links between different components that share a bucket, one for each two components and pair of blocks.
 
     In each bucket the members outside its largest component, in blocks, meet all
-    members, in blocks; a task holds two blocks at a time.
+    members, in blocks; a task holds two blocks at a time. Members are dealt to blocks
+    before they meet their signatures and sets, which so are shuffled twice only.
     """
     placed = stored(
         members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -391,28 +382,24 @@ def remaining_links(
             F.ceil(F.col("n") / BLOCK).cast("int").alias("n_right"),
         )
     )
-    known = nodes.select("node", "sig").join(sets, "node")
-    mixed = placed.join(buckets, "bucket").join(known, "node")
 
-    def blocks(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    def blocks(n: str, place: Callable[[Column], tuple[Column, Column]], side: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: seat(*place(k), F.lit(side)))
 
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
 
-    rest = ["node", "label", "sig", "set"]
+    def seat(i: Column, j: Column, side: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+
     # A member outside the main component is needed on both sides; where one task holds all, one row is both.
-    alone = F.col("n_right") == 1
     outside = F.col("label") != F.col("main")
-    one = mixed.where(alone).select(
-        "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(outside, 2).otherwise(1).alias("side"), *rest
-    )
-    left = mixed.where(~alone & outside).select(
-        "bucket", block("n_left").alias("i"), blocks("n_right").alias("j"), F.lit(0).alias("side"), *rest
-    )
-    right = mixed.where(~alone).select(
-        "bucket", blocks("n_left").alias("i"), block("n_right").alias("j"), F.lit(1).alias("side"), *rest
-    )
+    one = F.array(seat(F.lit(0), F.lit(0), F.when(outside, 2).otherwise(1)))
+    left = blocks("n_right", lambda j: (block("n_left"), j), 0)
+    right = blocks("n_left", lambda i: (i, block("n_right")), 1)
+    seats = F.when(F.col("n_right") == 1, one).when(outside, F.concat(left, right)).otherwise(right)
+    dealt = placed.join(buckets, "bucket").select("bucket", F.explode(seats).alias("seat"), "node", "label")
+    work = dealt.join(known, "node").select("bucket", "seat.i", "seat.j", "seat.side", "node", "label", "sig", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
@@ -425,7 +412,7 @@ def remaining_links(
                 found = []
         yield _pairs_batch(found)
 
-    work = one.union(left).union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    work = work.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return work.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -460,19 +447,38 @@ def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels when further links join components: only the components they join are contracted again."""
+    left, right = (labels.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}")) for k in ("a", "b"))
+    ends = links.join(left, "a", "left").join(right, "b", "left")
+    above = components(ends.select(*(F.coalesce(f"of_{k}", k).alias(k) for k in ("a", "b"))))
+    renamed = above.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    known = labels.join(renamed, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return known.union(above.join(labels, "node", "left_anti").select("node", "label"))
+
+
 def labelled(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:
-    """``doc_id, tie, n_shingles, label`` of every row; rows of one group have one label, texts without words none."""
-    rows = stored(signed(docs, rule))
-    nodes = stored(rows.where("node is not null").select("node", "sig").dropDuplicates(["node"]))
-    bands = banded(nodes, rule)
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(bands.join(shared, "bucket"))
-    sets = stored(full_sets(docs, rows, members, rule))
-    links = stored(confirmed(unpruned(leader_pairs(members), nodes, rule), sets, rule))
-    more = stored(remaining_links(members, components(links), nodes, sets, rule))
-    labels = components(links.union(more))
-    placed = rows.select("doc_id", "tie", "n_shingles", "node").join(labels, "node", "left")
-    return placed.withColumn("label", F.coalesce("label", "node")).drop("node")
+    """``doc_id, tie, n_shingles, label`` of every row; rows of one group have one label, texts without words none.
+
+    Signatures stay only until the buckets are known, and then those of nodes in shared buckets.
+    """
+    spark = docs.sparkSession
+    with passing(spark) as keep:
+        with passing(spark) as hold:
+            with passing(spark) as pick:
+                every = stored(signed(docs, rule))
+                rows = keep(every.drop("sig"))
+                nodes = pick(every.where("node is not null").select("node", "sig").dropDuplicates(["node"]))
+            bands = banded(nodes, rule)
+            shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+            members = hold(bands.join(shared, "bucket"))
+            known = hold(full_sets(docs, rows, members, rule).join(nodes, "node"))
+        links = stored(confirmed(unpruned(leader_pairs(members), known, rule), known, rule))
+        labels = components(links)
+        more = stored(remaining_links(members, labels, known, rule))
+        labels = keep(joined(labels, more))
+    placed = rows.join(labels, "node", "left")
+    return placed.select("doc_id", "tie", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
 def classes(docs: DataFrame, rule: Rule = QUERY) -> DataFrame:

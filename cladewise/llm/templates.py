@@ -196,17 +196,20 @@ def of_templates(said: DataFrame, seen: DataFrame) -> DataFrame:
     return keyed.join(kept.select("template"), "template", "left_semi").select("leaf", "line").distinct()
 
 
-def boilerplate(docs: DataFrame, parsed: DataFrame) -> DataFrame:
-    """``line``: the lines that recur, or whose template does, in enough near-duplicate groups.
+def text_groups(docs: DataFrame) -> DataFrame:
+    """``t, g``: the near-duplicate group of each text with words."""
+    with passing(docs.sparkSession) as keep:
+        labels = neardup.labelled(docs, neardup.STAGE).where("label is not null")
+        return keep(labels.groupBy(F.col("tie").alias("t")).agg(F.xxhash64(F.min("label")).alias("g")))
+
+
+def boilerplate(parsed: DataFrame, groups: DataFrame) -> DataFrame:
+    """``line``: the lines that recur, or whose template does, in enough near-duplicate groups (``t, g``).
 
     Each round of templates looks only at leaves that lost lines in the round before,
     as no other leaf can form another template, and reads tables written for it.
     """
-    with passing(docs.sparkSession) as keep:
-        labels = neardup.labelled(docs, neardup.STAGE).where("label is not null")
-        groups = keep(labels.groupBy(F.col("tie").alias("t")).agg(F.xxhash64(F.min("label")).alias("g")))
-    groups = sent_if_small(groups)
-    seen = stored(parsed.join(groups, "t").select("g", "leaf", "line", "n", "need").distinct())
+    seen = stored(parsed.join(sent_if_small(groups), "t").select("g", "leaf", "line", "n", "need").distinct())
     lines = stored(seen.groupBy("leaf", "line", "n", "need").agg(F.count("*").alias("docs")))
     # Lines of fewer tokens have no room for a variable field.
     roomy = lines.where(F.floor((1 - REST_AGREE) * (F.col("n") - LEADING) + 1e-9) >= 1)
@@ -281,6 +284,8 @@ def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool =
 def drop_boilerplate(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the rows without the lines of recurring templates, whatever their share of a text."""
     with passing(docs.sparkSession) as keep:
+        # The tables of the groups are gone before the lines are stored.
+        groups = text_groups(docs)
         parsed = stored(sized_lines(docs), "zstd")
-        drops = keep(places(parsed, boilerplate(docs, parsed)))
+        drops = keep(places(parsed, boilerplate(parsed, groups)))
     return cut(docs, drops, 1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
 import struct
@@ -14,10 +15,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from cladewise.llm import chat, decontam, language, neardup, packing, quality, templates, tokenfile, tokens, warc
+from cladewise.llm import chat, common, decontam, language, neardup, packing, quality, templates, tokenfile, tokens, warc
 from cladewise.llm.common import CLEANUP, shared_folder, stored
 from cladewise.llm.queries import QUERIES
 
@@ -726,3 +728,42 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffled() - before and spark.conf.get(CLEANUP, None) == setting
     assert [t.count() for t in (*tables, frame)] == [7] * 3
+
+
+def test_signatures_and_sets_go_when_the_groups_are_known(spark, monkeypatch):
+    frame = spark.createDataFrame([(k, f"some words of text {k % 7} and more of {k % 3}") for k in range(40)], "doc_id long, text string")
+    paths, found, plans = [], common.shared_folder, []
+    monkeypatch.setattr(common, "shared_folder", lambda s: paths.append(found(s)) or paths[-1])
+    monkeypatch.setattr(
+        neardup, "remaining_links", lambda *a, f=neardup.remaining_links: plans.append(f(*a)) or plans[-1]
+    )
+    groups = neardup.labelled(frame, neardup.STAGE)
+    assert groups.where("label is not null").count() == 40
+    left = [p for p in paths if os.path.isdir(p.removeprefix("file:"))]
+    columns = {c for p in left for c in spark.read.parquet(p).columns}
+    assert len(paths) > len(left) and columns and not columns & {"sig", "set"}
+    # Members meet signatures and sets in one join, not in one for each side of a pair of blocks.
+    assert "Union" not in plans[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_further_links_join_components(spark):
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e"), ("f", "e")], "node string, label string")
+    links = spark.createDataFrame([("b", "d"), ("g", "h"), ("d", "h")], "a string, b string")
+    got = dict(map(tuple, neardup.joined(labels, links).collect()))
+    assert got == dict.fromkeys("abcdgh", "a") | dict.fromkeys("ef", "e")
+    assert dict(map(tuple, neardup.joined(labels, links.limit(0)).collect())) == dict(map(tuple, labels.collect()))
+
+
+def test_buckets_of_words_taken_together(monkeypatch):
+    words = ["a", "word", "中文字", "ünï", "a", "𝒳y", "abcdefghijkl"]
+    places, sizes = language._Buckets(1024).of_words(words)
+    grams = [[f" {w} "[i : i + n] for n in (1, 2, 3) for i in range(len(w) + 3 - n)] for w in words]
+    assert sizes.tolist() == [len(g) for g in grams]
+    assert places.tolist() == [xxhash.xxh3_64_intdigest(g) % 1024 for gs in grams for g in gs]
+    assert language.pieces("Ab" * 13 + " 1x_Y") == ["ab" * 6, "ab" * 6, "ab", "x", "y"]
+    model = language.Model(["x", "y"], np.log(np.random.default_rng(1).random((1024, 2))).astype(np.float32))
+    texts = [" ".join(f"w{chr(97 + k % 20)}{chr(97 + j * k % 20)}" for j in range(k)) for k in range(30)] + [None, "", "12"]
+    together = model.infer_all(texts)
+    monkeypatch.setattr(language, "MEMORY", 25)
+    model.forget(0)
+    assert [model.infer(t) for t in texts] == together and together[-1] == ("und", 0.0, [0.0, 0.0])
