@@ -25,7 +25,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.llm.common import unused
+from cladewise.llm.common import portions, unused
 
 MODEL_BYTES = 64 << 20
 MOST_BUCKETS = 1 << 17
@@ -47,38 +48,60 @@ ROUNDS = 12
 GATHER = 200_000
 MEMORY = 500_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words that are taken apart together, and texts and characters that are read together.
+WORDS = 1 << 14
+TEXTS = 64
+CHARS = 1 << 20
+
+#: Runs of letters, long ones in pieces.
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
+#: Bits of a character in the number of an n-gram.
+_BITS = 21
 UNKNOWN = "und"
 
 
 def pieces(text: str | None) -> list[str]:
     """Runs of letters in lower case, long ones in pieces."""
-    if not text:
-        return []
-    found = _LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= PIECE:
-        return found
-    return [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
-
-
-def grams(word: str) -> list[str]:
-    marked = f" {word} "
-    return [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
+    return _LETTERS.findall(text.lower()) if text else []
 
 
 class _Buckets(dict):
-    """Buckets of n-grams, of which a language has few."""
+    """Buckets of n-grams by their numbers, of which a language has few."""
 
     def __init__(self, size: int) -> None:
         super().__init__()
         self.size = size
 
-    def __missing__(self, gram: str) -> int:
+    def __missing__(self, number: int) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        found = self[gram] = xxhash.xxh3_64_intdigest(gram) % self.size
+        codes = (number >> shift & (1 << _BITS) - 1 for shift in (0, _BITS, 2 * _BITS))
+        gram = "".join(chr(c) for c in codes if c)
+        found = self[number] = xxhash.xxh3_64_intdigest(gram) % self.size
         return found
 
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the n-grams of all words, one word after the other and short n-grams first, and each word's number of them.
+
+        N-grams are numbered by arrays; only different ones are looked up.
+        """
+        n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        chars = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = 3 * n - 3
+        length = np.repeat(n, n)
+        at = np.arange(len(chars)) - np.repeat(np.cumsum(n) - n, n)
+        place = at + np.repeat(np.cumsum(sizes) - sizes, n)
+        numbers = np.empty(int(sizes.sum()), np.int64)
+        numbers[place] = gram = chars
+        for k in (1, 2):
+            # A word's n-grams of k + 1 characters follow those of k; its last characters begin none.
+            gram, place = gram[:-1] + (chars[k:] << k * _BITS), (place + length - (k - 1))[:-1]
+            length, at = length[:-1], at[:-1]
+            begins = at < length - k
+            numbers[place[begins]] = gram[begins]
+        codes, different = pd.factorize(numbers)
+        return np.array([self[g] for g in different.tolist()], np.int64)[codes], sizes
+
 
 def bucket_count(n_languages: int) -> int:
     size = MOST_BUCKETS
@@ -99,13 +122,11 @@ def gram_counts(labelled: DataFrame, size: int) -> DataFrame:
 
         def settle(lang: str) -> None:
             into = totals.setdefault(lang, np.zeros(size, dtype=np.int64))
-            places: list[int] = []
-            counts: list[int] = []
-            for word, n in words.pop(lang).items():
-                found = [bucket[g] for g in grams(word)]
-                places += found
-                counts += [n] * len(found)
-            np.add.at(into, places, counts)
+            held = words.pop(lang)
+            said, counts = list(held), np.fromiter(held.values(), np.int64, len(held))
+            for at in range(0, len(said), WORDS):
+                places, sizes = bucket.of_words(said[at : at + WORDS])
+                np.add.at(into, places, np.repeat(counts[at : at + WORDS], sizes))
 
         for batch in batches:
             for lang, text in zip(*(batch.column(k).to_pylist() for k in ("lang", "text"))):
@@ -144,31 +165,38 @@ class Model:
         self.known: dict[str, int] = {}
         self.rows = np.empty((room, len(self.languages)), dtype=np.float32)
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Scaled log-likelihood of words under each language, a row for each."""
-        new = [w for w in words if w not in self.known]
-        if new and len(self.known) + len(new) > MEMORY:
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the scaled log-likelihood of words under each language, a row for each."""
+        every = dict.fromkeys(words)
+        new = [w for w in every if w not in self.known]
+        if len(self.known) + len(new) > MEMORY:
             self.forget(0)
-            new = words
-        if new:
-            places = [[self.bucket[g] for g in grams(w)] for w in new]
-            sizes = np.array([len(p) for p in places])
-            rows = self.log_p[np.concatenate(places)]
-            sums = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+            new = list(every)
+        for at in range(0, len(new), WORDS):
+            some = new[at : at + WORDS]
+            places, sizes = self.bucket.of_words(some)
+            sums = np.add.reduceat(self.log_p[places], np.cumsum(sizes) - sizes, axis=0)
             first = len(self.known)
-            if first + len(new) > len(self.rows):
-                self.rows = np.vstack([self.rows[:first], np.empty((first + 2 * len(new), sums.shape[1]), np.float32)])
-            self.rows[first : first + len(new)] = SHARPNESS * sums / sizes[:, None]
-            self.known.update(zip(new, range(first, first + len(new))))
-        return self.rows[[self.known[w] for w in words]]
+            if first + len(some) > len(self.rows):
+                room = np.empty((first // 2 + 2 * len(some), sums.shape[1]), np.float32)
+                self.rows = np.vstack([self.rows[:first], room])
+            self.rows[first : first + len(some)] = SHARPNESS * sums / sizes[:, None]
+            self.known.update(zip(some, range(first, first + len(some))))
 
     def infer(self, text: str | None) -> tuple[str, float, list[float]]:
-        """The main language, its share, and all shares in order of the languages."""
-        n = len(self.languages)
-        counts = Counter(pieces(text)) if n else Counter()
+        return self.infer_all([text])[0]
+
+    def infer_all(self, texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
+        """The main language of each text, its share, and all shares in order of the languages."""
+        bags = [Counter(pieces(t) if self.languages else ()) for t in texts]
+        self.learn(chain.from_iterable(bags))
+        return [self.judged(bag) for bag in bags]
+
+    def judged(self, counts: Counter) -> tuple[str, float, list[float]]:
         if not counts:
-            return UNKNOWN, 0.0, [0.0] * n
-        logs = self.words(list(counts)).astype(np.float64)
+            return UNKNOWN, 0.0, [0.0] * len(self.languages)
+        rows = np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts))
+        logs = self.rows[rows].astype(np.float64)
         weights = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
         top = logs.max(axis=1)
         likelihood = np.exp(logs - top[:, None])
@@ -239,8 +267,10 @@ def identify(df: DataFrame, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang string, score double, shares array<double>")
     def inferred(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([shared.value.infer(t) for t in texts], columns=["lang", "score", "shares"])
+        for batch in batches:
+            texts = batch.tolist()
+            found = [x for at, end in portions(texts, TEXTS, CHARS) for x in shared.value.infer_all(texts[at:end])]
+            yield pd.DataFrame(found, columns=["lang", "score", "shares"])
 
     return inferred(text)
 
