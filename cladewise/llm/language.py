@@ -45,8 +45,8 @@ PIECE = 12
 SHARPNESS = 3.0
 ROUNDS = 12
 #: Distinct words a task gathers before it takes them apart, and words that a worker remembers.
-GATHER = 200_000
-MEMORY = 500_000
+GATHER = 50_000
+MEMORY = 100_000
 
 #: Words that are taken apart together, and texts and characters that are read together.
 WORDS = 1 << 14
@@ -271,6 +271,8 @@ def identify(df: DataFrame, model: Model, text: Column) -> Column:
             texts = batch.tolist()
             found = [x for at, end in portions(texts, TEXTS, CHARS) for x in shared.value.infer_all(texts[at:end])]
             yield pd.DataFrame(found, columns=["lang", "score", "shares"])
+        # Workers live on and serve other steps.
+        shared.value.forget(0)
 
     return inferred(text)
 
