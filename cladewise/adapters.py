@@ -150,12 +150,15 @@ def label_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer, order and line with the branch lengths of the order trees, those of a tree side by side."""
+def order_lines(spark: SparkSession, sf_dir: str, part_rows: int | None = None) -> DataFrame:
+    """Customer, order and line with the branch lengths of the order trees, those of a tree side by side.
+
+    Parts are of ``part_rows`` lines where given; what windows over tokens need is the default.
+    """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     rows = items.count()
     lines = (
-        spread_by(items, rows, "l_orderkey")
+        spread_by(items, rows, "l_orderkey", part_rows=part_rows)
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.max("l_quantity").cast("bigint").alias("line_length"))
     )
@@ -171,16 +174,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order_length",
         "line_length",
     )
-    return spread_by(placed, rows, "tree")
+    return spread_by(placed, rows, "tree", part_rows=part_rows)
 
 
-def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_trees(spark: SparkSession, sf_dir: str, part_rows: int | None = None) -> DataFrame:
     """One Newick tree per customer: orders as inner nodes, lines as tips."""
 
     def bracket(names: str) -> Column:
         return F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list(names)), ","), F.lit(")"))
 
-    tips = order_lines(spark, sf_dir).withColumn(
+    tips = order_lines(spark, sf_dir, part_rows).withColumn(
         "text", F.concat("tip", F.lit(":"), F.col("line_length").cast("string"))
     )
     inner = (

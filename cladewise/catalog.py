@@ -19,7 +19,7 @@ from cladewise.operators import tree as T
 from cladewise.plans.bootstrap import bootstrap, template_threshold
 from cladewise.plans.discovery import batch_summary, discovery
 from cladewise.plans.excess import excess
-from cladewise.plans.sizing import pin_groups
+from cladewise.plans.sizing import LARGE_PART_ROWS, pin_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -232,15 +232,15 @@ def tree_tips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def farthest_tip(spark: SparkSession, sf: str) -> DataFrame:
-    return T.farthest_tip(A.order_trees(spark, sf))
+    return T.farthest_tip(A.order_trees(spark, sf, LARGE_PART_ROWS))
 
 
 def distances_from_farthest(spark: SparkSession, sf: str) -> DataFrame:
-    return T.distances_from_farthest(A.order_trees(spark, sf))
+    return T.distances_from_farthest(A.order_trees(spark, sf, LARGE_PART_ROWS))
 
 
 def sorted_from_farthest(spark: SparkSession, sf: str) -> DataFrame:
-    return T.sorted_from_farthest(A.order_trees(spark, sf))
+    return T.sorted_from_farthest(A.order_trees(spark, sf, LARGE_PART_ROWS))
 
 
 def patristic_distance(spark: SparkSession, sf: str) -> DataFrame:

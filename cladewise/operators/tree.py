@@ -1,31 +1,39 @@
-"""Trees as token tables: edges, root distances, distances between tips.
+"""Trees as token tables: edges, tips, distances between tips.
 
-Every step is a window over a tree's tokens or tips. Between two tips, the
-token where the bracket depth is lowest stands inside their last common
-ancestor, so distances need a running or ranged minimum over the tips in file
-order and no walk along ancestors.
+Edges are windows over a tree's tokens. Between two tips, the token where the
+bracket depth is lowest stands inside their last common ancestor, so distances
+need a running or ranged minimum over the tips in file order and no walk along
+ancestors; a tree is one text, so these run within the task that holds it (``walks``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+from pyarrow import RecordBatch
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladewise.plans.sizing import n_parts, spread_by
+from cladewise.operators import walks
+from cladewise.plans.sizing import n_parts, spread_by, stored
 
 # One bracket, comma or node text; bracketed comments are removed before.
 _TOKEN = r"[(),]|'(?:[^']|'')*'(?:\s*:\s*[^(),\s;]+)?|[^(),\s;']+"
 _COMMENT = r"\[[^\]]*\]"
 
 
+def _token_texts() -> Column:
+    text = F.regexp_replace(F.col("newick"), _COMMENT, "")
+    text = F.regexp_replace(text, r"\s*:\s*", ":")
+    return F.regexp_extract_all(text, F.lit(_TOKEN), 0)
+
+
 def tree_tokens(trees: DataFrame) -> DataFrame:
     """``(tree, newick)`` to one row per bracket or node with depth and parsed label.
 
     A closing bracket takes the label and length that follow it.
     """
-    text = F.regexp_replace(F.col("newick"), _COMMENT, "")
-    text = F.regexp_replace(text, r"\s*:\s*", ":")
-    raw = trees.select("tree", F.posexplode(F.regexp_extract_all(text, F.lit(_TOKEN), 0)).alias("at", "token"))
+    raw = trees.select("tree", F.posexplode(_token_texts()).alias("at", "token"))
     order = Window.partitionBy("tree").orderBy("at")
     previous, following = F.lag("token").over(order), F.lead("token").over(order)
     is_text = ~F.col("token").isin("(", ")", ",")
@@ -169,35 +177,20 @@ def root_distances(trees: DataFrame) -> DataFrame:
     return tips.withColumn("low_before", F.lag("low").over(in_order))
 
 
-# Summed lengths carry rounding noise; distances are compared at this many digits.
-_DIGITS = 9
-
-
-def _sweep(tips: DataFrame, source: str, out: str) -> DataFrame:
-    """Distance of every tip to the tip numbered ``source``, as column ``out``."""
-    nth, start = F.col("nth"), F.col(source)
-    tree = Window.partitionBy("tree")
-    from_root = F.max(F.when(nth == start, F.col("root_distance"))).over(tree)
-    between = F.when(nth > start, F.col("low_before")).when(nth < start, F.col("low"))
-    outward = (
-        Window.partitionBy("tree", nth >= start)
-        .orderBy(F.abs(nth - start))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    lowest = F.min(between).over(outward)
-    distance = F.col("root_distance") + from_root - 2 * lowest["here"]
-    return tips.withColumn(
-        out, F.when(nth == start, F.lit(0.0)).otherwise(F.round(distance, _DIGITS))
-    )
+def token_lengths() -> Column:
+    """The tokens of ``newick`` in order, each with its length."""
+    return F.transform(_token_texts(), lambda token: F.struct(token.alias("text"), _length(token).alias("length")))
 
 
-def _farthest(distance: str) -> Column:
-    """Number of a tip at the greatest ``distance`` of its tree."""
-    return F.max(F.struct(distance, "label", "nth")).over(Window.partitionBy("tree"))["nth"]
+def _walked(trees: DataFrame, walk: Callable[[Iterator[RecordBatch]], Iterator[RecordBatch]], layout: str) -> DataFrame:
+    """Walk along the tokens of whole trees; further columns go along. Rows of one name are trees of their own."""
+    more = [c for c in trees.columns if c not in ("tree", "newick")]
+    known = trees.where(F.col("newick").isNotNull())
+    return known.select("tree", token_lengths().alias("tokens"), *more).mapInArrow(walk, layout)
 
 
 def with_farthest_tip(trees: DataFrame) -> DataFrame:
-    """Tips with their distance ``d`` from the tree's farthest tip.
+    """Tips with their distance ``d`` from the tree's farthest tip, whose own row names ``partner`` and ``max_distance``.
 
     The farthest tip is the alphabetically first tip of the farthest pair;
     among equally far pairs the greatest (first, second) labels win. Lengths
@@ -206,31 +199,15 @@ def with_farthest_tip(trees: DataFrame) -> DataFrame:
     tips reach it, a third fixes the pair: its second label is the greatest
     reaching label, its first the greatest label at full distance from that.
     """
-    tree = Window.partitionBy("tree")
-    tips = root_distances(trees)
-    tips = _sweep(tips.withColumn("s1", _farthest("root_distance")), "s1", "d1")
-    tips = _sweep(tips.withColumn("s2", _farthest("d1")), "s2", "d2")
-    tips = tips.withColumn("diameter", F.max("d1").over(tree))
-    reaches = F.greatest("d1", "d2") == F.col("diameter")
-    second = F.max(F.when(reaches, F.struct("label", "nth"))).over(tree)
-    tips = _sweep(tips.withColumn("s3", second["nth"]).withColumn("second", second["label"]), "s3", "d3")
-    at_full = (F.col("d3") == F.col("diameter")) & (F.col("nth") != F.col("s3"))
-    first = F.max(F.when(at_full, F.struct("label", "nth"))).over(tree)
-    tips = tips.withColumn("s4", first["nth"]).withColumn("first", first["label"])
-    return _sweep(tips, "s4", "d").where(F.col("s4").isNotNull())
+    return _walked(trees, walks.farthest_rows, "tree string, label string, d double, partner string, max_distance double")
 
 
 def farthest_tip(trees: DataFrame) -> DataFrame:
     """Per tree the farthest pair and its distance; trees of one tip give no row."""
     return (
         with_farthest_tip(trees)
-        .where(F.col("nth") == F.col("s4"))
-        .select(
-            "tree",
-            F.col("first").alias("farthest"),
-            F.col("second").alias("partner"),
-            F.col("diameter").alias("max_distance"),
-        )
+        .where(F.col("max_distance").isNotNull())
+        .select("tree", F.col("label").alias("farthest"), "partner", "max_distance")
     )
 
 
@@ -240,11 +217,17 @@ def distances_from_farthest(trees: DataFrame) -> DataFrame:
 
 
 def sorted_from_farthest(trees: DataFrame) -> DataFrame:
-    """The same rows in the order of distance within their tree, equal distances by label."""
-    # Every tip but the last of a tree is followed by a comma sooner or later.
-    n_tips = trees.agg(F.sum(F.regexp_count("newick", F.lit(",")) + 1)).first()[0] or 0
+    """The same rows in the order of distance within their tree, equal distances by label.
+
+    They are stored once, since counting them, choosing ranges and sorting would each walk along all trees.
+    """
+    found = stored(distances_from_farthest(trees))
     order = ["tree", "d", "species"]
-    return distances_from_farthest(trees).repartitionByRange(n_parts(trees, n_tips), *order).sortWithinPartitions(*order)
+    return found.repartitionByRange(n_parts(found, found.count()), *order).sortWithinPartitions(*order)
+
+
+# Summed lengths carry rounding noise; distances are compared at this many digits.
+_DIGITS = 9
 
 
 def pair_distances(trees: DataFrame, pairs: DataFrame, max_tips: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,10 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 #: them at once, so parts are small; a table of some hundred thousand rows has several already.
 PART_ROWS = 25_000
 
+#: The same where no step holds more than a sort or two. Two shuffles in a row exchange parts times parts
+#: pieces, so where rows are many parts must not be small.
+LARGE_PART_ROWS = 250_000
+
 # Widest row derived from one group row: a species with all words of a trait set.
 _GROUP_ROW_BYTES = 400
 
@@ -51,19 +56,19 @@ def spread_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return df
 
 
-def n_parts(df: DataFrame, rows: int) -> int:
-    """Parts of at most ``PART_ROWS`` of the counted rows, and as many as the session's shuffles have."""
+def n_parts(df: DataFrame, rows: int, part_rows: int | None = None) -> int:
+    """Parts of at most ``part_rows`` (``PART_ROWS``) of the counted rows, and as many as the session's shuffles have."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // PART_ROWS))
+    return max(least, -(-rows // (part_rows or PART_ROWS)))
 
 
-def spread_by(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+def spread_by(df: DataFrame, rows: int, *keys: str, part_rows: int | None = None) -> DataFrame:
     """Shuffle by the keys into parts that grow in number and not in size with the counted rows.
 
     Grouping and windows over these keys, or over them and further columns, then need no
     other shuffle, and their sorts stay small whatever the session's number of partitions.
     """
-    return df.repartition(n_parts(df, rows), *keys)
+    return df.repartition(n_parts(df, rows, part_rows), *keys)
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -72,6 +77,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame that several jobs read as a Parquet table to the checkpoint folder; it is computed once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Groups:
     """A pinned ``(trait, species, grp)`` table with its counted size."""

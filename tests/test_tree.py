@@ -126,3 +126,48 @@ def test_sorted_output_comes_in_parts_that_follow_the_tips(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 18
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == 90 and rows == sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+
+
+def counted(trees, folder):
+    """The same trees, with a file in ``folder`` for each time that they are computed."""
+    def run(batches):
+        import tempfile
+
+        tempfile.mkstemp(dir=folder)
+        yield from batches
+
+    return trees.coalesce(1).mapInArrow(run, trees.schema)
+
+
+def test_sorted_output_walks_along_the_trees_once(spark, tmp_path):
+    trees = spark.createDataFrame([(f"t{k:02d}", f"(b:1,(a:{k + 2},c:1)n:1);") for k in range(20)], "tree string, newick string")
+    found = T.sorted_from_farthest(counted(trees, str(tmp_path))).collect()
+    assert sorted(map(tuple, found), key=lambda r: (r[0], r[2], r[1])) == [tuple(r) for r in found]
+    assert sorted(found) == sorted(T.distances_from_farthest(trees).collect())
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_trees_walked_together_do_not_meet(spark, monkeypatch):
+    """Brackets without tips, without partners and without names, repeated names, lengths that are no numbers."""
+    from cladewise.operators import walks
+
+    texts = [
+        "(()m:3,(x:2,y:5)n:2)r;", "()r;", "((", "", "(a:Infinity,b:1,c:NaN)z;", "(a:1,(b:2,c:3", "d:1)e:2)f;",
+        "('it''s':2,'p q:1':3,(:4,:4)u:1)v;", "(k:1e300,l:1,(m:2,n:1e-9):3)w;", "(a:4,a:4,(a:4,b:4)c)d;", "((((x:1)a:1)b:1)c:1,y:9)d;", "only;",
+    ]
+    trees = spark.createDataFrame([(f"t{k:02d}", text) for k, text in enumerate(texts * 3)], "tree string, newick string")
+    batches = trees.coalesce(1).select("tree", T.token_lengths().alias("tokens")).toArrow().combine_chunks().to_batches()
+
+    def rows():
+        return [[repr(r) for r in batch.to_pylist()] for batch in walks.farthest_rows(iter(batches))]
+
+    together = rows()
+    monkeypatch.setattr(walks, "_AT_ONCE", 1)
+    alone = rows()
+    assert len(together) == 1 and sorted(sum(together, [])) == sorted(sum(alone, [])) and len(alone) > 20
+    one = {r.species: r.d for r in T.distances_from_farthest(trees.where("tree = 't00'")).collect()}
+    assert one == {None: None, "x": 0.0, "y": 7.0}
+    names = {r.species for r in T.distances_from_farthest(trees.where("tree = 't07'")).collect()}
+    assert names == {"it's", "p_q:1", None}
+    pair = T.farthest_tip(trees.where("tree = 't09'")).first()
+    assert (pair.farthest, pair.partner, pair.max_distance) == ("a", "b", 8.0)
