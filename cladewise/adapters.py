@@ -196,11 +196,11 @@ def order_trees(spark: SparkSession, sf_dir: str, part_rows: int | None = None)
     )
 
 
-def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def neighbour_pairs(spark: SparkSession, sf_dir: str, part_rows: int | None = None) -> DataFrame:
     """Each tip of an order tree with the next tip in name order."""
     order = Window.partitionBy("tree").orderBy("tip")
     return (
-        order_lines(spark, sf_dir)
+        order_lines(spark, sf_dir, part_rows)
         .select("tree", F.col("tip").alias("a"), F.lead("tip").over(order).alias("b"))
         .where(F.col("b").isNotNull())
     )

@@ -244,7 +244,9 @@ def sorted_from_farthest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def patristic_distance(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = T.pair_distances(A.order_trees(spark, sf), A.neighbour_pairs(spark, sf))
+    pairs = T.pair_distances(
+        A.order_trees(spark, sf, LARGE_PART_ROWS), A.neighbour_pairs(spark, sf, LARGE_PART_ROWS)
+    )
     return pairs.select("tree", pair_key(F.col("a"), F.col("b")).alias("pair"), "d")
 
 

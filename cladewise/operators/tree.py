@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.operators import walks
-from cladewise.plans.sizing import n_parts, spread_by, stored
+from cladewise.plans.sizing import n_parts, stored
 
 # One bracket, comma or node text; bracketed comments are removed before.
 _TOKEN = r"[(),]|'(?:[^']|'')*'(?:\s*:\s*[^(),\s;]+)?|[^(),\s;']+"
@@ -141,42 +141,6 @@ def tree_tips(trees: DataFrame) -> DataFrame:
     )
 
 
-def root_distances(trees: DataFrame) -> DataFrame:
-    """Tips in file order with their root distance and the low points around them.
-
-    ``low`` is the depth and root distance of the shallowest bracket open
-    between a tip and the next one, ``low_before`` the same before the tip.
-    """
-    tokens = _matched(tree_tokens(trees))
-    length = F.coalesce("length", F.lit(0.0))
-    step = (
-        F.when(F.col("kind") == "open", length)
-        .when(F.col("kind") == "close", -length)
-        .otherwise(0.0)
-    )
-    order = Window.partitionBy("tree").orderBy("at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    is_tip = F.col("kind") == "tip"
-    # Tips are numbered from 1; a closing bracket counts to the tip before it. An
-    # opening bracket lies deeper than the token before it and is never a low point.
-    placed = tokens.select(
-        "tree",
-        "kind",
-        "depth",
-        "label",
-        length.alias("length"),
-        F.sum(step).over(so_far).alias("here"),
-        F.count_if(is_tip).over(so_far).cast("int").alias("nth"),
-    ).where(F.col("kind") != "open")
-    tips = placed.groupBy("tree", "nth").agg(
-        F.max(F.when(is_tip, F.col("label"))).alias("label"),
-        F.max(F.when(is_tip, F.col("here") + F.col("length"))).alias("root_distance"),
-        F.min(F.struct("depth", "here")).alias("low"),
-    )
-    in_order = Window.partitionBy("tree").orderBy("nth")
-    return tips.withColumn("low_before", F.lag("low").over(in_order))
-
-
 def token_lengths() -> Column:
     """The tokens of ``newick`` in order, each with its length."""
     return F.transform(_token_texts(), lambda token: F.struct(token.alias("text"), _length(token).alias("length")))
@@ -226,65 +190,23 @@ def sorted_from_farthest(trees: DataFrame) -> DataFrame:
     return found.repartitionByRange(n_parts(found, found.count()), *order).sortWithinPartitions(*order)
 
 
-# Summed lengths carry rounding noise; distances are compared at this many digits.
-_DIGITS = 9
+# Pairs asked of a tree that one row holds.
+_PAIRS = 200_000
 
 
-def pair_distances(trees: DataFrame, pairs: DataFrame, max_tips: int | None = None) -> DataFrame:
+def pair_distances(trees: DataFrame, pairs: DataFrame) -> DataFrame:
     """Path length between the tips of given pairs ``(tree, a, b)``.
 
-    Each tip carries the lowest points over the 1, 2, 4, ... gaps between tips
-    from it on and up to it, built by doubling. The run from the first tip on
-    and the run up to the second together cover the stretch between them. The
-    full pair matrix of a tree is never formed.
+    The pairs of a tree meet it as lists of bounded length and are answered from
+    the lowest points over the 1, 2, 4, ... gaps between tips: the run from
+    the first tip on and the run up to the second together cover the stretch
+    between them. The full pair matrix of a tree is never formed.
     """
-    # Every tip but the last of a tree is followed by a comma sooner or later.
-    commas = F.regexp_count("newick", F.lit(","))
-    sizes = trees.agg(F.max(commas).alias("most"), F.sum(commas + 1).alias("tips")).first()
-    n_tips = sizes["tips"] or 0
-    if max_tips is None:
-        max_tips = 1 + (sizes["most"] or 0)
-    steps = max_tips.bit_length()
-    order = Window.partitionBy("tree").orderBy("nth")
-    tips = root_distances(trees).withColumns({"on0": F.col("low"), "upto0": F.col("low_before")})
-    for k in range(1, steps):
-        half = 2 ** (k - 1)
-        tips = tips.withColumns(
-            {
-                f"on{k}": F.least(f"on{k - 1}", F.lead(f"on{k - 1}", half).over(order)),
-                f"upto{k}": F.least(f"upto{k - 1}", F.lag(f"upto{k - 1}", half).over(order)),
-            }
-        )
-    tips = tips.select(
-        "tree",
-        "label",
-        F.struct(
-            "nth",
-            "root_distance",
-            F.array(*[f"on{k}" for k in range(steps)]).alias("on"),
-            F.array(*[f"upto{k}" for k in range(steps)]).alias("upto"),
-        ).alias("tip"),
-    )
-
-    def end(side: str) -> DataFrame:
-        named = tips.select("tree", F.col("label").alias(side), F.col("tip").alias(f"tip_{side}"))
-        return spread_by(named, n_tips, "tree", side)
-
-    swap = F.col("tip_a.nth") > F.col("tip_b.nth")
-    placed = pairs.join(end("a"), ["tree", "a"]).join(end("b"), ["tree", "b"]).select(
-        "tree",
-        "a",
-        "b",
-        F.when(swap, F.col("tip_b")).otherwise(F.col("tip_a")).alias("x"),
-        F.when(swap, F.col("tip_a")).otherwise(F.col("tip_b")).alias("y"),
-    )
-    gaps = F.greatest(F.col("y.nth") - F.col("x.nth"), F.lit(1))
-    k = F.floor(F.log2(gaps.cast("double"))).cast("int")
-    meet = F.least(F.get("x.on", k), F.get("y.upto", k))["here"]
-    distance = F.round(F.col("x.root_distance") + F.col("y.root_distance") - 2 * meet, _DIGITS)
-    return placed.select(
-        "tree",
-        "a",
-        "b",
-        F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(distance).alias("d"),
+    order = Window.partitionBy("tree").orderBy("a")
+    lists = (
+        pairs.select("tree", "a", "b", F.floor((F.row_number().over(order) - 1) / _PAIRS).alias("nth"))
+        .groupBy("tree", "nth")
+        .agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     )
+    asked = trees.join(lists, "tree").select("tree", "newick", "pairs")
+    return _walked(asked, walks.pair_rows, "tree string, a string, b string, d double")

@@ -217,3 +217,60 @@ def farthest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ],
                 ["tree", "label", "d", "partner", "max_distance"],
             )
+
+
+def _ends(p: Places, codes: np.ndarray, row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places with the asked labels of the asked trees: which question, which place."""
+    tips = np.flatnonzero(codes >= 0)
+    key = p.row[tips] * n + codes[tips]
+    order = np.argsort(key, kind="stable")
+    key, asked = key[order], np.where(code >= 0, row * n + code, -1)
+    lo = np.searchsorted(key, asked, side="left")
+    times = np.searchsorted(key, asked, side="right") - lo
+    question = np.repeat(np.arange(len(asked)), times)
+    nth = np.arange(len(question)) - np.repeat(np.cumsum(times) - times, times)
+    return question, tips[order[lo[question] + nth]]
+
+
+def _between(p: Places, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The lowest point from place ``x`` on and before ``y`` behind it: two runs of 1, 2, 4, ... gaps cover the stretch."""
+    k = np.frexp((y - x).astype(float))[1] - 1
+    out, runs = np.zeros(len(x), dtype=np.int64), p.low
+    by_k = np.argsort(k, kind="stable")
+    ends = np.searchsorted(k[by_k], np.arange(k.max(initial=-1) + 2))
+    for step in range(len(ends) - 1):
+        q = by_k[ends[step] : ends[step + 1]]
+        out[q] = np.minimum(runs[x[q]], runs[y[q] - 2**step])
+        runs = np.minimum(runs[: -(2**step)], runs[2**step :])
+    return out
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``tree, a, b, d`` of the ``pairs`` asked of each tree whose labels are there, once for each tip of that name."""
+    for batch in batches:
+        pairs = batch.column("pairs")
+        offsets = _offsets(pairs)
+        for lo, hi, p in _portions(batch):
+            asked = pairs.values.slice(offsets[lo], offsets[hi] - offsets[lo])
+            a, b = asked.flatten()
+            row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+            names = pa.concat_arrays([p.label, a, b]).dictionary_encode()
+            codes = names.indices.fill_null(-1).to_numpy().astype(np.int64)
+            n, of_a, of_b = len(names.dictionary) + 1, len(p.label), len(p.label) + len(a)
+            pair, left = _ends(p, codes[:of_a], row, codes[of_a:of_b], n)
+            again, right = _ends(p, codes[:of_a], row[pair], codes[of_b:][pair], n)
+            pair, left = pair[again], left[again]
+            x, y = np.minimum(left, right), np.maximum(left, right)
+            d = np.zeros(len(pair))
+            apart = np.flatnonzero(codes[of_a:of_b][pair] != codes[of_b:][pair])
+            x, y = x[apart], y[apart]
+            d[apart] = _rounded(p.root_distance[x] + p.root_distance[y] - 2 * p.low_at[_between(p, x, y)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("tree").slice(lo, hi - lo).take(pa.array(row[pair])),
+                    a.take(pa.array(pair)),
+                    b.take(pa.array(pair)),
+                    pa.array(d),
+                ],
+                ["tree", "a", "b", "d"],
+            )

@@ -171,3 +171,30 @@ def test_trees_walked_together_do_not_meet(spark, monkeypatch):
     assert names == {"it's", "p_q:1", None}
     pair = T.farthest_tip(trees.where("tree = 't09'")).first()
     assert (pair.farthest, pair.partner, pair.max_distance) == ("a", "b", 8.0)
+
+
+def test_pairs_meet_their_trees_once(spark, tmp_path, monkeypatch):
+    """Long lists of pairs are dealt out; repeated names give a row each, missing ones none."""
+    monkeypatch.setattr(T, "_PAIRS", 3)
+    texts = {f"t{k}": f"((a:1,b:2)m:1,(c:{k},(d:2,e:1)n:2)o:1,a:5)r;" for k in range(12)}
+    trees = spark.createDataFrame(list(texts.items()), "tree string, newick string")
+    asked = [(tree, x, y) for tree in texts for x in "abcde" for y in "bcde"]
+    asked += [("t1", "b", "c"), ("t1", "b", None), ("t1", None, "b"), ("t1", "b", "z"), ("no", "a", "b"), (None, "a", "b")]
+    pairs = spark.createDataFrame(asked, "tree string, a string, b string")
+    found = [tuple(r) for r in T.pair_distances(counted(trees, str(tmp_path)), pairs).collect()]
+    assert len(list(tmp_path.iterdir())) == 1
+    assert len(found) == 12 * (4 * 4 + 2 * 4) + 1
+    got = {}
+    for tree, a, b, d in found:
+        got.setdefault((tree, a, b), []).append(d)
+    assert sorted(got["t3", "a", "c"]) == [6.0, 9.0] and sorted(got["t3", "a", "b"]) == [3.0, 8.0]
+    assert got["t1", "b", "c"] == [5.0, 5.0] and got["t4", "c", "e"] == [7.0] and got["t4", "d", "d"] == [0.0]
+
+
+def test_neighbours_of_a_tree_are_not_shuffled_with_tables_of_gaps(spark, sf_dir):
+    """Trees meet lists of pairs by one join, on the parts where the lines of a tree already are."""
+    from cladewise.catalog import QUERIES
+
+    plan = QUERIES["patristic_distance"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    behind = plan[: plan.index("MapInArrow") + plan[plan.index("MapInArrow") :].index("Join")]
+    assert "Exchange" not in behind and plan.count("Window [") <= 2
